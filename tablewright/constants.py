@@ -76,7 +76,7 @@ COMPARE_KEY_HINTS = ("手机", "订单", "编号", "邮箱")
 
 PHONE_PATTERN = r"(?U)^1[3-9]\d{9}\z"
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z"
-NAME_PATTERN = r"^[一-鿿·]{2,8}\z"
+NAME_CHARACTER = "[一-鿿·]"
 
 SOURCE_COLUMN = "来源文件"
 SOURCE_COLUMN_TAKEN = "来源文件_原表"

@@ -6,49 +6,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.text import cell_text, is_blank, repair, ustrip
+from tablewright.functions.text import is_blank, repair, ustrip
 
 MONTH = r"(1[0-2]|0[1-9]|[1-9])"
 DAY = r"(3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9])"
 CLOCK = r"(?:2[0-3]|[0-1]\d|\d):(?:[0-5]\d|\d):(?:[0-5]\d|\d)"
 GAP = r"[-/\s\x1c-\x1f]"
 
-# (pattern, replacement giving year-month-day); tried in this order.  The month
-# comes first in slashed dates, day first only when that reading fails.
-DATE_PATTERNS = (
-    (rf"^(\d{{4}})([-/.]){MONTH}\2{DAY}\z", "$1-$3-$4"),
-    (rf"^(\d{{4}}){MONTH}{DAY}\z", "$1-$2-$3"),
-    (rf"(?U)^(\d{{4}})([-/]){MONTH}\2{DAY}\s+{CLOCK}\z", "$1-$3-$4"),
-    (rf"^(\d{{4}})年{MONTH}月{DAY}日\z", "$1-$2-$3"),
-    (rf"^{MONTH}/{DAY}/(\d{{4}})\z", "$3-$1-$2"),
-    (rf"^{DAY}/{MONTH}/(\d{{4}})\z", "$3-$2-$1"),
+# Readings that name their fields, as one alternation.  The month comes first in
+# slashed dates, and day first only where that reading cannot be a month.
+SHAPES = (
+    rf"(\d{{4}})([-/]){MONTH}\2{DAY}(?:\s+{CLOCK})?",
+    rf"(\d{{4}})\.{MONTH}\.{DAY}",
+    rf"(\d{{4}}){MONTH}{DAY}",
+    rf"(\d{{4}})年{MONTH}月{DAY}日",
+    rf"{MONTH}/{DAY}/(\d{{4}})",
+    rf"{DAY}/{MONTH}/(\d{{4}})",
 )
+NAMED_DATE = rf"(?U)^(?:{'|'.join(SHAPES)})\z"
+# groups left out by the alternative that matched are empty
+NAMED_FIELDS = "$1$5$8$11$16$19-$3$6$9$12$14$18-$4$7$10$13$15$17"
 # last resort: year, month and day split by any separators, anything after them ignored
 LOOSE_DATE = rf"(?U)^{GAP}*(\d{{4}}){GAP}+\+?0*(\d{{1,2}}){GAP}+\+?0*(\d{{1,2}})(?:{GAP}.*)?\z"
 
 
-def _calendar_date(text: Column) -> Column:
-    day = F.try_to_date(F.replace(text, F.lit(" "), F.lit("")), "yyyy-M-d")
-    return F.when(day >= F.lit("0001-01-01").cast("date"), day)
+# what a sink shows as a day: no time, midnight, or a zero time further back
+SHOWN_DAY = (
+    rf"(?Us)^(\d{{4}})([-/]){MONTH}\2{DAY}(?:\s+00?:00?:00?| (?:.* )?00?:00:00.*)?\z"
+)
+SHOWN_MOMENT = rf"(?U)^(\d{{4}})([-/]){MONTH}\2{DAY}\s+({CLOCK})\z"
 
 
 def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Date of a cell or null.  ``coalesce`` stops at the first pattern that fits."""
+    """Date of a cell or null."""
     dtype = dtype or T.StringType()
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    raw = cell_text(c if isinstance(dtype, T.StringType) else c.cast("string"))
-    readings = [
-        F.when(raw.rlike(pattern), _calendar_date(F.regexp_replace(raw, pattern, order)))
-        for pattern, order in DATE_PATTERNS
-    ]
+    raw = ustrip(c if isinstance(dtype, T.StringType) else c.cast("string"))
     loose = F.translate(raw, "年月./日", "----")
-    readings.append(
-        F.when(loose.rlike(LOOSE_DATE), _calendar_date(F.regexp_replace(loose, LOOSE_DATE, "$1-$2-$3")))
+    fields = F.when(raw.rlike(NAMED_DATE), F.regexp_replace(raw, NAMED_DATE, NAMED_FIELDS)).when(
+        loose.rlike(LOOSE_DATE), F.regexp_replace(loose, LOOSE_DATE, "$1-$2-$3")
     )
-    return F.coalesce(*readings)
+    return F.try_to_date(F.replace(fields, F.lit(" "), F.lit("")), "yyyy-M-d")
 
 
 def iso_text(day: Column) -> Column:
@@ -81,31 +82,15 @@ def date_cell(c: Column, dtype: T.DataType | None = None) -> Column:
     if not isinstance(dtype, T.StringType):
         return c
     text = ustrip(c)
-    date_only = rf"^(\d{{4}})([-/]){MONTH}\2{DAY}"
-    timed = rf"(?U)^(\d{{4}})([-/]){MONTH}\2{DAY}\s+({CLOCK})\z"
-    day = F.when(text.rlike(date_only + r"\z"), _calendar_date(F.regexp_replace(text, date_only + r"\z", "$1-$3-$4")))
-    moment = F.when(
-        text.rlike(timed),
-        F.try_to_timestamp(
-            F.concat(
-                F.replace(F.regexp_replace(text, timed, "$1-$3-$4"), F.lit(" "), F.lit("")),
-                F.lit(" "),
-                F.regexp_replace(text, timed, "$5"),
-            ),
-            F.lit("yyyy-M-d H:m:s"),
-        ),
-    )
-    moment_text = F.when(moment == F.date_trunc("day", moment), iso_text(moment)).otherwise(
-        F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
-    )
-    head = F.split_part(text, F.lit(" "), F.lit(1))
-    zero_tail = F.when(
-        (text.contains(" 0:00:00") | text.contains(" 00:00:00")) & head.rlike(date_only + r"\z"),
-        _calendar_date(F.regexp_replace(head, date_only + r"\z", "$1-$3-$4")),
+    day = F.try_to_date(F.replace(F.regexp_replace(text, SHOWN_DAY, "$1-$3-$4"), F.lit(" "), F.lit("")), "yyyy-M-d")
+    moment = F.try_to_timestamp(
+        F.replace(F.regexp_replace(text, SHOWN_MOMENT, "$1-$3-$4T$5"), F.lit(" "), F.lit("")),
+        F.lit("yyyy-M-d'T'H:m:s"),
     )
-    return F.when(text == "", F.lit(None)).otherwise(
-        F.coalesce(iso_text(day), moment_text, iso_text(zero_tail), c)
+    shown = F.when(text.rlike(SHOWN_DAY), iso_text(day)).when(
+        text.rlike(SHOWN_MOMENT), F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
     )
+    return F.coalesce(shown, F.when(text != "", c))
 
 
 def month_key(c: Column, dtype: T.DataType | None = None) -> Column:

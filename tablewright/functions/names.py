@@ -1,9 +1,21 @@
-"""Column references for arbitrary header text."""
+"""Column references for arbitrary header text, and columns computed once."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def named(name: str) -> Column:
     """Reference a column whose header may hold dots, spaces or back-ticks."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add computed columns that later steps read as plain attributes.
+
+    A ``select`` would do for the result, but the optimizer inlines projected
+    expressions into every later use and into pushed-down filters, and layered
+    repairs then grow exponentially.  Generating the one row keeps each
+    expression evaluated once, inside whole-stage code, while filters on the
+    original columns still move below it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -12,11 +12,12 @@ from tablewright.constants import (
     BLANK_BUCKET,
     BLANK_TOKENS,
     EMAIL_PATTERN,
-    NAME_PATTERN,
+    NAME_CHARACTER,
     PHONE_PATTERN,
     WHITESPACE,
 )
 
+SPACE = r"[\s\x1c-\x1f]"
 NUMERIC_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 SCIENTIFIC_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]\d+\z"
 INTEGRAL_POINT_ZERO = r"^(?:\d+-?\d*|-\d+)\.0\z"
@@ -54,10 +55,10 @@ def _double_text(c: Column) -> Column:
 
 def is_blank(c: Column, mode: str = "clean") -> Column:
     """Never null.  ``mode`` picks one of the four meanings of blank."""
-    tokens = BLANK_TOKENS[mode]
-    if not tokens:
+    tokens = [t for t in BLANK_TOKENS[mode] if t]
+    if not BLANK_TOKENS[mode]:
         return c.isNull()
-    return c.isNull() | F.lower(ustrip(c)).isin(*tokens)
+    return F.coalesce(c.rlike(rf"(?iU)^{SPACE}*(?:{'|'.join(tokens)})?{SPACE}*\z"), F.lit(True))
 
 
 def cell_text(c: Column) -> Column:
@@ -66,22 +67,30 @@ def cell_text(c: Column) -> Column:
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(cell_text(c), r"(?U)\D", "")
+    """Digits of a cell; the tokens that mean blank hold none."""
+    return F.regexp_replace(c, r"(?U)\D", "")
+
+
+# The tests below look at the untrimmed cell: each reads it once, which keeps
+# expressions built on them small.
 
 
 def looks_like_phone(c: Column) -> Column:
-    only = digits(c)
-    return (F.length(only) >= 10) & only.startswith("1")
+    """At least ten digits, the first of them a 1."""
+    return c.rlike(r"(?U)^\D*1(?:\D*\d){9}")
 
 
 def looks_like_email(c: Column) -> Column:
-    text = cell_text(c)
-    return text.contains("@") & text.contains(".")
+    return c.contains("@") & c.contains(".")
+
+
+def is_written_name(c: Column) -> Column:
+    """Two to eight Chinese characters, spaces between them allowed."""
+    return c.rlike(rf"(?U)^{SPACE}*{NAME_CHARACTER}(?: *{NAME_CHARACTER}){{1,7}}{SPACE}*\z")
 
 
 def looks_like_chinese_name(c: Column) -> Column:
-    named = F.replace(cell_text(c), F.lit(" "), F.lit("")).rlike(NAME_PATTERN)
-    return named & ~looks_like_phone(c) & ~looks_like_email(c)
+    return is_written_name(c) & ~looks_like_phone(c) & ~looks_like_email(c)
 
 
 def classify_contact(c: Column) -> Column:
@@ -90,19 +99,21 @@ def classify_contact(c: Column) -> Column:
         F.when(is_blank(c), F.lit("blank"))
         .when(looks_like_phone(c), F.lit("phone"))
         .when(looks_like_email(c), F.lit("email"))
-        .when(looks_like_chinese_name(c), F.lit("name"))
+        .when(is_written_name(c), F.lit("name"))
         .otherwise(F.lit("unknown"))
     )
 
 
 def repair(c: Column, candidate: Column, valid: Column, problem: str) -> Column:
-    """struct<value, fixed, problem>: take ``candidate`` when ``valid``, else keep and report."""
-    blank = is_blank(c)
-    fixed = ~blank & valid & (candidate != cell_text(c))
+    """struct<value, fixed, problem>: take ``candidate`` when ``valid``, else keep and report.
+
+    ``valid`` must be false for blank cells.
+    """
+    fixed = F.coalesce(valid & (candidate != ustrip(c)), F.lit(False))
     return F.struct(
         F.when(fixed, candidate).otherwise(c).alias("value"),
-        F.coalesce(fixed, F.lit(False)).alias("fixed"),
-        F.when(~blank & ~valid, F.lit(problem)).alias("problem"),
+        fixed.alias("fixed"),
+        F.when(~F.coalesce(valid, F.lit(False)) & ~is_blank(c), F.lit(problem)).alias("problem"),
     )
 
 
@@ -112,7 +123,7 @@ def fix_phone(c: Column) -> Column:
 
 
 def fix_email(c: Column) -> Column:
-    text = F.replace(F.lower(cell_text(c)), F.lit(" "), F.lit(""))
+    text = F.replace(F.lower(ustrip(c)), F.lit(" "), F.lit(""))
     return repair(c, text, text.rlike(EMAIL_PATTERN), "invalid_email")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.constants import LABELS
-from tablewright.functions.names import named
+from tablewright.functions.names import bind, named
 from tablewright.functions.text import key_parts, label_text, plain_text, ustrip
 from tablewright.operators.identity import ROW_ID, block_counts, rank_in_block
 from tablewright.operators.schema import data_columns, order_columns, require_columns
@@ -82,7 +82,7 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = RO
         F.when(~_same_cell(cell("_a", c), cell("_b", c), types_a.get(c), types_b.get(c)), F.lit(c)) for c in columns
     ]
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    flagged = joined.select("*", F.when(both, F.concat_ws("、", *differs)).alias("changed_fields"))
+    flagged = bind(joined, {"changed_fields": F.when(both, F.concat_ws("、", *differs))})
     status = (
         F.when(F.col("_b").isNull(), F.when(F.col("_in_b") > 0, F.lit("only_a_surplus")).otherwise(F.lit("only_a")))
         .when(F.col("_a").isNull(), F.when(F.col("_in_a") > 0, F.lit("only_b_surplus")).otherwise(F.lit("only_b")))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tablewright.constants import LABELS, SOURCE_COLUMN, SOURCE_COLUMN_TAKEN
 from tablewright.functions.names import named
 from tablewright.functions.text import is_blank, plain_text
-from tablewright.operators.schema import align_headers, data_columns
+from tablewright.operators.schema import align_headers, data_columns, normalize_header
 
 SOURCE = "_source_file"
 ORDER = "_source_order"
@@ -206,7 +206,7 @@ def header_matrix(
     """Merged column by source: the header the source has for it, or that it has none."""
     rows = []
     for g, group in enumerate(groups):
-        for before, after in zip(group.headers, group.aligned(aliases)):
+        for before, after in zip(map(normalize_header, group.headers), group.aligned(aliases)):
             rows.append((g, after, before if before == after else f"{before}→{after}"))
     spark = stats.sparkSession
     members = [(order, g) for g, group in enumerate(groups) for order, _ in group.sources]

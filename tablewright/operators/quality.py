@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import parse_date
-from tablewright.functions.names import named
+from tablewright.functions.names import bind, named
 from tablewright.functions.text import fix_email, fix_phone, is_blank, plain_text
 from tablewright.operators.repair import plan_shift, role_slots
 from tablewright.operators.schema import ContactRoles, blank_row, contact_roles, data_columns
@@ -40,7 +40,7 @@ def quality_profile(df: DataFrame, roles: ContactRoles | None = None) -> DataFra
     tests["blank_rows"] = blank_row(df, columns)
     work = folded
     if slots:
-        work = work.select("*", F.struct(*[c.alias(k) for k, c in slots.items()]).alias("_was"))
+        work = bind(work, {"_was": F.struct(*[c.alias(k) for k, c in slots.items()])})
         work = plan_shift(work, list(slots))
         checks = [
             fixer(F.col(f"_was.{k}"))["problem"].isNotNull().alias(k)
@@ -48,7 +48,7 @@ def quality_profile(df: DataFrame, roles: ContactRoles | None = None) -> DataFra
             if k in slots
         ]
         if checks:
-            work = work.select("*", F.struct(*checks).alias("_bad"))
+            work = bind(work, {"_bad": F.struct(*checks)})
         tests["shifted"] = F.col("_shift.fixed") | F.col("_shift.problem").isNotNull()
         for k in ("phone", "email"):
             if k in slots:
@@ -62,7 +62,7 @@ def quality_profile(df: DataFrame, roles: ContactRoles | None = None) -> DataFra
         cell = plain_text(named(roles.date), types[roles.date])
         tests["bad_date"] = ~is_blank(cell) & parse_date(named(roles.date), types[roles.date]).isNull()
 
-    flagged = work.select("_copies", *[t.alias(m) for m, t in tests.items() if m != "dup_rows"])
+    flagged = bind(work, {m: t for m, t in tests.items() if m != "dup_rows"})
     copies = F.col("_copies")
 
     def total(value: Column) -> Column:

@@ -1,7 +1,7 @@
 """Repairs of contact and date cells with a per-row audit.
 
-Each step adds one struct column in its own ``select``; an expensive
-intermediate is then computed once and read by field.  Nothing here shuffles.
+Each step binds one struct column, so an expensive intermediate is computed once
+and read by field.  Nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import fix_date, parse_date
-from tablewright.functions.names import named
+from tablewright.functions.names import bind, named
 from tablewright.functions.shift import KINDS, shift_plan
 from tablewright.functions.text import (
     cell_text,
@@ -48,17 +48,13 @@ def role_slots(df: DataFrame, roles: ContactRoles) -> dict[str, Column]:
     return {k: plain_text(named(c), types[c]) for k, c in present.items()}
 
 
-def classify_slots(df: DataFrame, slots: list[str], source: str = "_was") -> DataFrame:
-    return df.select("*", F.struct(*[classify_contact(F.col(f"{source}.{k}")).alias(k) for k in slots]).alias("_kind"))
-
-
 def plan_shift(df: DataFrame, slots: list[str], source: str = "_was", strict: bool = False) -> DataFrame:
     """Add ``_kind`` and ``_shift`` for the contact values held in struct ``source``."""
-    kinded = classify_slots(df, slots, source)
+    kinded = bind(df, {"_kind": F.struct(*[classify_contact(F.col(f"{source}.{k}")).alias(k) for k in slots])})
     plan = shift_plan(
         {k: F.col(f"{source}.{k}") for k in slots}, {k: F.col(f"_kind.{k}") for k in slots}, strict
     )
-    return kinded.select("*", plan.alias("_shift"))
+    return bind(kinded, {"_shift": plan})
 
 
 def _fix(seq: int, field: str, old: Column, new: Column, reason: str, when: Column) -> Column:
@@ -96,12 +92,12 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
     if slots:
         # the name is trimmed before anything looks at it
         trim = steps.trim_names and "name" in slots and isinstance(types[column_of["name"]], T.StringType)
-        work = work.select("*", F.struct(*[c.alias(k) for k, c in original.items()]).alias("_raw"))
+        work = bind(work, {"_raw": F.struct(*[c.alias(k) for k, c in original.items()])})
         first = {k: F.col(f"_raw.{k}") for k in slots}
         if trim:
             raw_name = first["name"]
             first["name"] = F.when(is_blank(raw_name), raw_name).otherwise(ustrip(raw_name))
-        work = work.select("*", F.struct(*[c.alias(k) for k, c in first.items()]).alias("_was"))
+        work = bind(work, {"_was": F.struct(*[c.alias(k) for k, c in first.items()])})
         if trim:
             old, new = F.col("_raw.name"), F.col("_was.name")
             fixes.append(_fix(1, column_of["name"], old, new, "fix_trim", new != old))
@@ -120,18 +116,19 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
 
     repaired: list[Column] = []
     untouched = problem.isNull()  # rows under shift review keep phone and email as they are
-    for k, wanted, fixer in (("phone", steps.phones, fix_phone), ("email", steps.emails, fix_email)):
-        if wanted and k in slots:
-            repaired.append(fixer(F.when(untouched, now[k])).alias(f"{k}"))
     if slots:
-        work = work.select("*", F.struct(*[c.alias(k) for k, c in now.items()]).alias("_now"))
+        checked = {f"check_{k}": F.when(untouched, now[k]) for k in ("phone", "email") if k in slots}
+        work = bind(work, {"_now": F.struct(*[c.alias(k) for k, c in {**now, **checked}.items()])})
         now = {k: F.col(f"_now.{k}") for k in slots}
+    for k, wanted, fixer in (("phone", steps.phones, fix_phone), ("email", steps.emails, fix_email)):
+        if wanted and k in slots:
+            repaired.append(fixer(F.col(f"_now.check_{k}")).alias(k))
     date_column = roles.date if steps.dates else None
     if date_column:
-        work = work.select("*", parse_date(named(date_column), types[date_column]).alias("_day"))
+        work = bind(work, {"_day": parse_date(named(date_column), types[date_column])})
         repaired.append(fix_date(named(date_column), F.col("_day"), types[date_column]).alias("date"))
     if repaired:
-        work = work.select("*", F.struct(*repaired).alias("_fix"))
+        work = bind(work, {"_fix": F.struct(*repaired)})
 
     for seq, k, wanted, reason in (
         (5, "phone", steps.phones, "fix_phone"),
@@ -156,10 +153,11 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
             if k in slots:
                 reviews.append(_review(column_of[k], F.when(is_blank(now[k]), F.lit(f"missing_{k}"))))
 
+    after = {f"_new{i}": c for i, c in enumerate(out.values())}
+    work = bind(work, {**after, "_fixes": _present(fixes, FIX_TYPE), "_reviews": _present(reviews, REVIEW_TYPE)})
+    renamed = dict(zip(out, after))
     return work.select(
-        *[out[c].alias(c) if c in out else named(c) for c in df.columns],
-        _present(fixes, FIX_TYPE).alias("_fixes"),
-        _present(reviews, REVIEW_TYPE).alias("_reviews"),
+        *[F.col(renamed[c]).alias(c) if c in renamed else named(c) for c in df.columns], "_fixes", "_reviews"
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright import constants as K
 from tablewright.functions.dates import date_cell, parse_date
-from tablewright.functions.names import named
+from tablewright.functions.names import bind, named
 from tablewright.functions.text import (
     classify_contact,
     is_blank,
@@ -175,15 +175,15 @@ def role_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     }
     types = {f.name: f.dataType for f in df.schema.fields}
     # classify once per cell below the aggregate
-    cells = df.select(
-        *[
-            F.struct(
+    cells = bind(
+        df.select(*[named(c) for c in columns]),
+        {
+            f"p{i}": F.struct(
                 classify_contact(plain_text(named(c), types[c])).alias("kind"),
                 parse_date(named(c), types[c]).isNotNull().alias("is_date"),
-                named(c).alias("cell"),
-            ).alias(f"p{i}")
+            )
             for i, c in enumerate(columns)
-        ]
+        },
     )
     measures = []
     for i in range(len(columns)):
@@ -193,7 +193,7 @@ def role_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
         ]
         measures.append(F.count_if(F.col(f"p{i}.is_date")).alias(f"p{i}_date"))
         if distinct:
-            measures.append(F.approx_count_distinct(f"p{i}.cell").alias(f"p{i}_distinct"))
+            measures.append(F.approx_count_distinct(named(columns[i])).alias(f"p{i}_distinct"))
     kinds = ["blank", "phone", "email", "name", "unknown", "date"] + (["distinct"] if distinct else [])
     rows = F.array(
         *[

@@ -47,35 +47,39 @@ def discover_tables(spark: SparkSession, paths: list[str], suffixes: tuple[str,
     return list(found)
 
 
-def _open(path: str):
-    from pyarrow import fs
+def _header_reader():
+    """Task-side reader of first records and footers.
 
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        path = "file:///" + path[len("file:/") :]
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
+    It is built here as a closure over library modules only, so executors can run
+    it without this package installed.
+    """
 
+    def opened(path: str):
+        from pyarrow import fs
 
-def _csv_header(path: str) -> list[str]:
-    system, inner = _open(path)
-    with system.open_input_stream(inner, compression="detect") as stream:
-        head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-    return next(csv.reader(io.StringIO(head)), [])
+        if "://" not in path:
+            return fs.LocalFileSystem(), path.removeprefix("file:")
+        return fs.FileSystem.from_uri(path)
 
+    def csv_header(path: str) -> list[str]:
+        system, inner = opened(path)
+        with system.open_input_stream(inner, compression="detect") as stream:
+            head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
+        return next(csv.reader(io.StringIO(head)), [])
 
-def _parquet_header(path: str) -> list[str]:
-    import pyarrow.parquet as pq
+    def parquet_header(path: str) -> list[str]:
+        import pyarrow.parquet as pq
 
-    system, inner = _open(path)
-    return pq.read_schema(inner, filesystem=system).names
+        system, inner = opened(path)
+        return pq.read_schema(inner, filesystem=system).names
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            readers = [csv_header if f == "csv" else parquet_header for f in batch["format"]]
+            batch["headers"] = [header(path) for header, path in zip(readers, batch["path"])]
+            yield batch
 
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        readers = [_csv_header if f == "csv" else _parquet_header for f in batch["format"]]
-        batch["headers"] = [read(path) for read, path in zip(readers, batch["path"])]
-        yield batch
+    return read
 
 
 def file_format(path: str) -> str:
@@ -87,7 +91,7 @@ def read_headers(spark: SparkSession, files: list[str]) -> list[tuple[int, str,
     rows = [(i, f, file_format(f)) for i, f in enumerate(files)]
     tasks = max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4))
     listing = spark.createDataFrame(rows, "place int, path string, format string").repartition(tasks, "place")
-    read = listing.mapInPandas(_read_headers, "place int, path string, format string, headers array<string>")
+    read = listing.mapInPandas(_header_reader(), "place int, path string, format string, headers array<string>")
     return sorted((r["place"], r["path"], tuple(h or "" for h in r["headers"])) for r in read.toLocalIterator())
 
 

@@ -18,7 +18,8 @@ def _save(df: DataFrame, path: str, fmt: str, mode: str, parts: list[str] | None
     if parts:
         writer = writer.partitionBy(*parts)
     if fmt == "csv":
-        writer.csv(path, header=True, escape='"')
+        # the writer would trim cells otherwise
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt == "parquet":
         writer.parquet(path)
     else:

@@ -1,4 +1,8 @@
-"""Contact values that slipped into the wrong column, as one closed expression."""
+"""Contact values that slipped into the wrong column, as closed expressions.
+
+Kinds are bits, so that "which kinds were found" and "does one occur twice" are
+integer arithmetic: generated code stays small enough for the JIT compiler.
+"""
 
 from __future__ import annotations
 
@@ -7,38 +11,58 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KINDS = ("name", "phone", "email")
+from tablewright.functions.text import is_blank, is_written_name, looks_like_email, looks_like_phone
+
+BITS = {"name": 1, "phone": 2, "email": 4}
+UNKNOWN = 8
+KNOWN = 7
+KINDS = tuple(BITS)
+
+
+def kind_bit(c: Column) -> Column:
+    """0 for blank, one bit of ``BITS`` for a recognised kind, ``UNKNOWN`` otherwise."""
+    return (
+        F.when(is_blank(c), F.lit(0))
+        .when(looks_like_phone(c), F.lit(BITS["phone"]))
+        .when(looks_like_email(c), F.lit(BITS["email"]))
+        .when(is_written_name(c), F.lit(BITS["name"]))
+        .otherwise(F.lit(UNKNOWN))
+    )
+
+
+def _any_bits(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+def found_kinds(kinds: dict[str, Column]) -> Column:
+    return _any_bits(list(kinds.values())).bitwiseAND(KNOWN)
 
 
-def shift_plan(values: dict[str, Column], kinds: dict[str, Column], strict: bool = False) -> Column:
-    """struct<problem, fixed, name, phone, email> for the slots present in ``values``.
+def kinds_met_twice(kinds: dict[str, Column]) -> Column:
+    bits = list(kinds.values())
+    pairs = [a.bitwiseAND(b) for i, a in enumerate(bits) for b in bits[i + 1 :]]
+    return _any_bits(pairs or [F.lit(0)]).bitwiseAND(KNOWN)
 
-    Values move only when each kind occurs once and no unrecognised text sits in
-    a slot that a found value belongs to.  A foreign value whose own slot does
-    not exist is blanked, or with ``strict`` reported and left alone.
+
+def misplaced_kinds(kinds: dict[str, Column]) -> Column:
+    return _any_bits([k.bitwiseAND(KNOWN & ~BITS[slot]) for slot, k in kinds.items()])
+
+
+def blocked_slots(kinds: dict[str, Column], found: Column, strict: bool) -> Column:
+    """Slots whose unrecognised text stands where a found value belongs.
+
+    With ``strict``, also kinds whose own slot the table does not have.
     """
-    slots = [k for k in KINDS if k in values]
-    found = {k: _any([kinds[s] == k for s in slots]) for k in KINDS}
-    twice = _any([(kinds[a] == kinds[b]) & kinds[a].isin(*KINDS) for i, a in enumerate(slots) for b in slots[i + 1 :]])
-    misplaced = _any([kinds[s].isin(*KINDS) & (kinds[s] != s) for s in slots])
-    blocked = _any([(kinds[s] == "unknown") & found[s] for s in slots])
+    held = [F.when((k == UNKNOWN), found.bitwiseAND(BITS[slot])).otherwise(0) for slot, k in kinds.items()]
     if strict:
-        homeless = [k for k in KINDS if k not in slots]
-        blocked = blocked | _any([found[k] for k in homeless])
-    problem = F.when(twice, F.lit("shift_ambiguous")).when(misplaced & blocked, F.lit("shift_unrecognised"))
-    fixed = misplaced & ~twice & ~blocked
-
-    def moved(slot: str) -> Column:
-        held = F.coalesce(*[F.when(kinds[s] == slot, values[s]) for s in slots])
-        foreign = kinds[slot].isin(*[k for k in KINDS if k != slot])
-        return F.when(fixed & found[slot], held).when(fixed & foreign, F.lit("")).otherwise(values[slot])
-
-    return F.struct(
-        problem.alias("problem"),
-        fixed.alias("fixed"),
-        *[(moved(k) if k in values else F.lit(None).cast("string")).alias(k) for k in KINDS],
-    )
+        homeless = sum(bit for slot, bit in BITS.items() if slot not in kinds)
+        held.append(found.bitwiseAND(homeless))
+    return _any_bits(held)
+
+
+def moved_value(slot: str, values: dict[str, Column], kinds: dict[str, Column], found: Column) -> Column:
+    """Value a slot gets when a row is repaired: its own kind wherever it stands, else nothing foreign."""
+    own = BITS[slot]
+    held = F.coalesce(*[F.when(kinds[s] == own, v) for s, v in values.items()])
+    foreign = kinds[slot].bitwiseAND(KNOWN) > 0
+    return F.when(found.bitwiseAND(own) > 0, held).when(foreign, F.lit("")).otherwise(values[slot])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.dates import parse_date
 from tablewright.functions.names import bind, named
+from tablewright.functions.shift import BITS, UNKNOWN
 from tablewright.functions.text import fix_email, fix_phone, is_blank, plain_text
 from tablewright.operators.repair import plan_shift, role_slots
 from tablewright.operators.schema import ContactRoles, blank_row, contact_roles, data_columns
@@ -54,7 +55,7 @@ def quality_profile(df: DataFrame, roles: ContactRoles | None = None) -> DataFra
             if k in slots:
                 # another contact kind in the cell counts as shifted, not as bad
                 kind = F.col(f"_kind.{k}")
-                tests[f"bad_{k}"] = ((kind == k) & F.col(f"_bad.{k}")) | (kind == "unknown")
+                tests[f"bad_{k}"] = ((kind == BITS[k]) & F.col(f"_bad.{k}")) | (kind == UNKNOWN)
         missing = [is_blank(F.col(f"_was.{k}")) for k in ("name", "phone") if k in slots]
         if missing:
             tests["missing_key"] = missing[0] | missing[-1]

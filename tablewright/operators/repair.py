@@ -14,10 +14,18 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import fix_date, parse_date
 from tablewright.functions.names import bind, named
-from tablewright.functions.shift import KINDS, shift_plan
+from tablewright.functions.shift import (
+    BITS,
+    KINDS,
+    KNOWN,
+    blocked_slots,
+    found_kinds,
+    kind_bit,
+    kinds_met_twice,
+    misplaced_kinds,
+    moved_value,
+)
 from tablewright.functions.text import (
-    cell_text,
-    classify_contact,
     fix_email,
     fix_phone,
     is_blank,
@@ -49,34 +57,70 @@ def role_slots(df: DataFrame, roles: ContactRoles) -> dict[str, Column]:
 
 
 def plan_shift(df: DataFrame, slots: list[str], source: str = "_was", strict: bool = False) -> DataFrame:
-    """Add ``_kind`` and ``_shift`` for the contact values held in struct ``source``."""
-    kinded = bind(df, {"_kind": F.struct(*[classify_contact(F.col(f"{source}.{k}")).alias(k) for k in slots])})
-    plan = shift_plan(
-        {k: F.col(f"{source}.{k}") for k in slots}, {k: F.col(f"_kind.{k}") for k in slots}, strict
+    """Add ``_kind`` (kind bits) and ``_shift`` for the contact values held in struct ``source``.
+
+    ``_shift`` holds problem, fixed and the moved values.  Values move only when
+    each kind occurs once and no unrecognised text stands where one belongs.  A
+    foreign value whose own column does not exist is blanked, or with ``strict``
+    reported and left alone.
+    """
+    values = {k: F.col(f"{source}.{k}") for k in slots}
+    kinds = {k: F.col(f"_kind.{k}") for k in slots}
+    work = bind(df, {"_kind": F.struct(*[kind_bit(values[k]).alias(k) for k in slots])})
+    work = bind(work, {"_found": found_kinds(kinds)})
+    work = bind(
+        work,
+        {
+            "_twice": kinds_met_twice(kinds) > 0,
+            "_misplaced": misplaced_kinds(kinds) > 0,
+            "_blocked": blocked_slots(kinds, F.col("_found"), strict) > 0,
+        },
+    )
+    problem = F.when(F.col("_twice"), F.lit("shift_ambiguous")).when(
+        F.col("_misplaced") & F.col("_blocked"), F.lit("shift_unrecognised")
     )
-    return bind(kinded, {"_shift": plan})
+    work = bind(work, {"_problem": problem, "_fixed": F.expr("_misplaced AND NOT _twice AND NOT _blocked")})
+    moved = [
+        (
+            F.when(F.col("_fixed"), moved_value(k, values, kinds, F.col("_found"))).otherwise(values[k])
+            if k in values
+            else F.lit(None).cast("string")
+        ).alias(k)
+        for k in KINDS
+    ]
+    shift = F.struct(F.col("_problem").alias("problem"), F.col("_fixed").alias("fixed"), *moved)
+    return bind(work, {"_shift": shift})
+
 
+Entry = tuple[Column, Column]  # (condition, audit struct)
 
-def _fix(seq: int, field: str, old: Column, new: Column, reason: str, when: Column) -> Column:
+
+def _fix(seq: int, field: str, old: Column, new: Column, reason: str, when: Column) -> Entry:
     entry = F.struct(
         F.lit(seq).alias("seq"),
         F.lit(field).alias("field"),
-        F.when(is_blank(old), F.lit("")).otherwise(old).alias("old"),
-        F.when(is_blank(new), F.lit("")).otherwise(new).alias("new"),
+        old.alias("old"),
+        new.alias("new"),
         F.lit(reason).alias("reason"),
     )
-    return F.when(when, entry)
+    return when, entry
 
 
-def _review(field: str, reason: Column, when: Column | None = None) -> Column:
+def _review(field: str, reason: Column, when: Column | None = None) -> Entry:
     entry = F.struct(F.lit(field).alias("field"), reason.alias("reason"))
-    return F.when(reason.isNotNull() if when is None else when & reason.isNotNull(), entry)
+    return reason.isNotNull() if when is None else when & reason.isNotNull(), entry
+
 
+def _present(entries: list[Entry], kind: str) -> Column:
+    """Array of the entries whose condition holds.
 
-def _present(entries: list[Column], kind: str) -> Column:
+    Concatenation of one-element arrays compiles; dropping nulls from an array
+    afterwards would be interpreted row by row.
+    """
+    none = F.array().cast(kind)
     if not entries:
-        return F.array().cast(kind)
-    return F.array_compact(F.array(*entries)).cast(kind)
+        return none
+    return F.concat(*[F.when(condition, F.array(entry).cast(kind)).otherwise(none) for condition, entry in entries])
 
 
 def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> DataFrame:
@@ -85,8 +129,8 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
     original = role_slots(df, roles)
     slots = list(original)
     column_of = {k: getattr(roles, k) for k in slots}
-    fixes: list[Column] = []
-    reviews: list[Column] = []
+    fixes: list[Entry] = []
+    reviews: list[Entry] = []
     work = df
 
     if slots:
@@ -108,11 +152,13 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
         work = plan_shift(work, slots, "_was", steps.strict_shift)
         problem = F.col("_shift.problem")
         for seq, k in enumerate(slots, start=2):
-            was, becomes = F.col(f"_was.{k}"), F.col(f"_shift.{k}")
-            moved = F.col("_shift.fixed") & (cell_text(becomes) != cell_text(was))
-            fixes.append(_fix(seq, column_of[k], was, becomes, "fix_shift", moved))
-            reviews.append(_review(column_of[k], problem, ~F.col(f"_kind.{k}").isin("blank", k)))
-            now[k] = F.when(moved, becomes).otherwise(was)
+            kind, becomes = F.col(f"_kind.{k}"), F.col(f"_shift.{k}")
+            filled = (kind == 0) & (F.col("_found").bitwiseAND(BITS[k]) > 0)
+            foreign = kind.bitwiseAND(KNOWN & ~BITS[k]) > 0
+            was = F.when(kind == 0, F.lit("")).otherwise(F.col(f"_was.{k}"))
+            fixes.append(_fix(seq, column_of[k], was, becomes, "fix_shift", F.col("_shift.fixed") & (filled | foreign)))
+            reviews.append(_review(column_of[k], problem, ~kind.isin(0, BITS[k])))
+            now[k] = becomes
 
     repaired: list[Column] = []
     untouched = problem.isNull()  # rows under shift review keep phone and email as they are
@@ -151,10 +197,12 @@ def repair_contacts(df: DataFrame, roles: ContactRoles, steps: RepairSteps) -> D
     if steps.required:
         for k in ("name", "phone"):
             if k in slots:
-                reviews.append(_review(column_of[k], F.when(is_blank(now[k]), F.lit(f"missing_{k}"))))
+                reviews.append((is_blank(now[k]), _review(column_of[k], F.lit(f"missing_{k}"))[1]))
 
     after = {f"_new{i}": c for i, c in enumerate(out.values())}
-    work = bind(work, {**after, "_fixes": _present(fixes, FIX_TYPE), "_reviews": _present(reviews, REVIEW_TYPE)})
+    # one bind each: a generated method past 8 KB would be left to the bytecode interpreter
+    work = bind(work, {**after, "_reviews": _present(reviews, REVIEW_TYPE)})
+    work = bind(work, {"_fixes": _present(fixes, FIX_TYPE)})
     renamed = dict(zip(out, after))
     return work.select(
         *[F.col(renamed[c]).alias(c) if c in renamed else named(c) for c in df.columns], "_fixes", "_reviews"
@@ -171,7 +219,7 @@ def _touched(slot: str, steps: RepairSteps, dtype: T.DataType) -> bool:
 
 def review_reasons(reviews: Column) -> Column:
     """Distinct reasons of a row in the order they were found."""
-    return F.array_distinct(F.transform(reviews, lambda r: r["reason"]))
+    return F.array_distinct(reviews["reason"])
 
 
 def row_markers(fixes: Column, reviews: Column, fixed: str = "fixed", to_review: str = "to_review") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import is_blank, repair, ustrip
 
+YEAR = r"((?!0000)\d{4})"
 MONTH = r"(1[0-2]|0[1-9]|[1-9])"
 DAY = r"(3[0-1]|[1-2]\d|0[1-9]|[1-9]| [1-9])"
 CLOCK = r"(?:2[0-3]|[0-1]\d|\d):(?:[0-5]\d|\d):(?:[0-5]\d|\d)"
@@ -16,25 +17,25 @@ GAP = r"[-/\s\x1c-\x1f]"
 # Readings that name their fields, as one alternation.  The month comes first in
 # slashed dates, and day first only where that reading cannot be a month.
 SHAPES = (
-    rf"(\d{{4}})([-/]){MONTH}\2{DAY}(?:\s+{CLOCK})?",
-    rf"(\d{{4}})\.{MONTH}\.{DAY}",
-    rf"(\d{{4}}){MONTH}{DAY}",
-    rf"(\d{{4}})年{MONTH}月{DAY}日",
-    rf"{MONTH}/{DAY}/(\d{{4}})",
-    rf"{DAY}/{MONTH}/(\d{{4}})",
+    rf"{YEAR}([-/]){MONTH}\2{DAY}(?:\s+{CLOCK})?",
+    rf"{YEAR}\.{MONTH}\.{DAY}",
+    rf"{YEAR}{MONTH}{DAY}",
+    rf"{YEAR}年{MONTH}月{DAY}日",
+    rf"{MONTH}/{DAY}/{YEAR}",
+    rf"{DAY}/{MONTH}/{YEAR}",
 )
 NAMED_DATE = rf"(?U)^(?:{'|'.join(SHAPES)})\z"
 # groups left out by the alternative that matched are empty
 NAMED_FIELDS = "$1$5$8$11$16$19-$3$6$9$12$14$18-$4$7$10$13$15$17"
 # last resort: year, month and day split by any separators, anything after them ignored
-LOOSE_DATE = rf"(?U)^{GAP}*(\d{{4}}){GAP}+\+?0*(\d{{1,2}}){GAP}+\+?0*(\d{{1,2}})(?:{GAP}.*)?\z"
+LOOSE_DATE = rf"(?U)^{GAP}*{YEAR}{GAP}+\+?0*(\d{{1,2}}){GAP}+\+?0*(\d{{1,2}})(?:{GAP}.*)?\z"
 
 
 # what a sink shows as a day: no time, midnight, or a zero time further back
 SHOWN_DAY = (
-    rf"(?Us)^(\d{{4}})([-/]){MONTH}\2{DAY}(?:\s+00?:00?:00?| (?:.* )?00?:00:00.*)?\z"
+    rf"(?Us)^{YEAR}([-/]){MONTH}\2{DAY}(?:\s+00?:00?:00?| (?:.* )?00?:00:00.*)?\z"
 )
-SHOWN_MOMENT = rf"(?U)^(\d{{4}})([-/]){MONTH}\2{DAY}\s+({CLOCK})\z"
+SHOWN_MOMENT = rf"(?U)^{YEAR}([-/]){MONTH}\2{DAY}\s+({CLOCK})\z"
 
 
 def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:

@@ -8,9 +8,11 @@ from tablewright.plans.jobs import (
     merge_job,
     sales_report,
     split_job,
+    with_wording,
 )
 from tablewright.sources.files import discover_tables, scan_many, scan_table
 from tablewright.sources.sinks import output_layout, write_report, write_result, write_split
+from tablewright.sources.workbook import scan_workbooks
 
 __all__ = [
     "CleanOptions",
@@ -24,7 +26,9 @@ __all__ = [
     "sales_report",
     "scan_many",
     "scan_table",
+    "scan_workbooks",
     "split_job",
+    "with_wording",
     "write_report",
     "write_result",
     "write_split",

@@ -13,14 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.constants import LABELS
 from tablewright.functions.names import bind, named
-from tablewright.functions.text import key_parts, label_text, plain_text, ustrip
+from tablewright.functions.text import key_parts, plain_text, ustrip
 from tablewright.operators.identity import ROW_ID, block_counts, rank_in_block
 from tablewright.operators.schema import data_columns, order_columns, require_columns
 
-ONLY = ("only_a", "only_b", "only_a_surplus", "only_b_surplus")
-
 
 def _keyed(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -179,7 +176,3 @@ def sink_order() -> list[Column]:
     )
     surplus = F.col("_status").endswith("_surplus")
     return [section, surplus, F.array_join("_key", "||"), F.col("_ord")]
-
-
-def status_text(code: Column) -> Column:
-    return label_text(code, {k: LABELS[k] for k in (*ONLY, "changed", "same")})

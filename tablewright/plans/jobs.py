@@ -184,6 +184,25 @@ def removal_text(code: Column, options: CleanOptions) -> Column:
     return label_text(code, {k: LABELS[k] for k in ("blank_row", "full_duplicate")} | {"key_duplicate": keyed})
 
 
+CODED = ("reason", REASON, "level", "advice", "note", "_status", "marker", "reasons")
+
+
+def with_wording(table: DataFrame) -> DataFrame:
+    """Replace the codes of a report table by the wording people read."""
+
+    def worded(name: str) -> Column:
+        cell = named(name)
+        if name == "reasons":
+            return F.array_join(F.transform(cell, lambda r: label_text(r, LABELS)), "；")
+        if name == "marker":
+            for code in ("fixed", "to_review"):
+                cell = F.replace(cell, F.lit(code), F.lit(LABELS[code]))
+            return cell
+        return label_text(cell, LABELS)
+
+    return table.select(*[worded(c).alias(c) if c in CODED else named(c) for c in table.columns])
+
+
 def merge_job(
     groups: list[mrg.HeaderGroup], add_source: bool = True, aliases: dict[str, str] | None = None
 ) -> JobResult:

@@ -68,10 +68,12 @@ def _header_reader():
         return next(csv.reader(io.StringIO(head)), [])
 
     def parquet_header(path: str) -> list[str]:
+        """Names, then types: files are scanned together only when both agree."""
         import pyarrow.parquet as pq
 
         system, inner = opened(path)
-        return pq.read_schema(inner, filesystem=system).names
+        schema = pq.read_schema(inner, filesystem=system)
+        return [*schema.names, *map(str, schema.types)]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,14 +123,13 @@ def scan_group(
     number inside the partition: a partition never holds more rows than bytes,
     and splits of one file lie at least a partition's bytes apart.
     """
-    names = clean_headers(headers)
-    kind = file_format(next(iter(files)))
     reader = spark.read
-    if kind == "parquet":
+    if file_format(next(iter(files))) == "parquet":
         scanned = reader.parquet(*files)
         place = F.col("_metadata.row_index")
         names = clean_headers(scanned.columns)
     else:
+        names = clean_headers(headers)
         raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
         scanned = reader.schema(raw).csv(list(files), header=True, escape='"', multiLine=multi_line)
         inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << MONOTONIC_BITS) - 1))
@@ -142,7 +143,10 @@ def scan_group(
         F.col("_metadata.file_path").alias("_file"),
         place.alias("_place"),
     )
-    rows = rows.join(_file_order(spark, files), "_file")
+    if len(files) == 1:
+        rows = rows.withColumn(ORDER, F.lit(next(iter(files.values()))))
+    else:
+        rows = rows.join(_file_order(spark, files), "_file")
     row_id = F.shiftleft(F.col(ORDER).cast("bigint"), FILE_BITS) + F.col("_place")
     rows = rows.select(*[named(n) for n in names], F.col(SOURCE), F.col(ORDER), row_id.alias(ROW_ID))
     sources = tuple(sorted((order, file.rsplit("/", 1)[-1]) for file, order in files.items()))
@@ -151,6 +155,8 @@ def scan_group(
 
 def scan_many(spark: SparkSession, files: list[str], multi_line: bool = False) -> list[HeaderGroup]:
     """One scan per distinct header row, however many files there are; empty files are left out."""
+    if len(files) == 1 and file_format(files[0]) == "parquet":
+        return [scan_group(spark, (), {files[0]: 0})]
     by_header: dict[tuple, dict[str, int]] = {}
     for order, file, headers in read_headers(spark, files):
         if headers:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import CleanOptions, ContactRoles, clean_table
+from tablewright import CleanOptions, ContactRoles, clean_table, with_wording
 from tablewright.functions.names import named
 from tablewright.operators.dedupe import mark_duplicates, split_kept_removed
 from tablewright.operators.quality import health_score, quality_profile
@@ -167,3 +167,26 @@ def test_report_wording(table):
     codes = table([("blank_row",), ("key_duplicate",)], ["code"])
     texts = [r[0] for r in codes.select(removal_text(named("code"), options)).collect()]
     assert texts == ["空白行", "按姓名 + 手机号去重（保留最后一条）"]
+
+
+def test_report_tables_in_words(table):
+    report = clean_table(table(UNTIDY, HEADERS), REPAIR).report
+    review = {r["result_row"]: r["reasons"] for r in with_wording(report["review"]).collect()}
+    assert review[4] == "手机号不正确，需人工核对；邮箱不正确，需人工核对；日期格式不对，需人工核对"
+    markers = [r["marker"] for r in with_wording(report["review_view"]).orderBy("result_row").collect()]
+    assert markers == ["", "已修复", "已修复", "待核对", "待核对"]
+    assert with_wording(report["quality"]).first()["level"] == "较差"
+    reasons = {r["reason"] for r in with_wording(report["fixed"]).collect()}
+    assert "窜行自动归位（按内容换回正确列）" in reasons
+
+
+def test_repairs_run_on_a_stream(spark, table, tmp_path):
+    df = table(UNTIDY, HEADERS)
+    df.write.parquet(str(tmp_path / "in"))
+    roles = ContactRoles(name="姓名", phone="手机号", email="邮箱", date="最近下单")
+    steps = RepairSteps(True, True, True, True, True, True)
+    stream = repair_contacts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), roles, steps)
+    query = stream.writeStream.format("memory").queryName("repaired_rows").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    streamed = {tuple(r)[:4] for r in spark.table("repaired_rows").collect()}
+    assert streamed == {tuple(r)[:4] for r in repair_contacts(df, roles, steps).collect()}

@@ -86,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _layered(df: DataFrame, *layers: tuple[str, ...]) -> DataFrame:
     for layer in layers:
-        if layer[0] == "*":
+        if layer[0] == "*" or len(layers) == 1:
             df = df.selectExpr(*layer)
         else:
             df = df.select(F.inline(F.array(F.struct(*[F.expr(e) for e in layer]))))

@@ -76,7 +76,9 @@ def mark_duplicates(
         wanted = [F.col(row_id), key.alias("_key")]
         if mode == "latest":
             wanted.append(recency(df, latest_column, unparseable).alias("_recency"))
-        keyed = candidates.select(*wanted).filter(F.col("_key").isNotNull())
+        # blank keys fold into one row per map task; filtering them here would move
+        # below the aggregate over all columns and keep its shuffle from being shared
+        keyed = candidates.select(*wanted)
         best = {
             "first": F.min(row_id),
             "last": F.max(row_id),

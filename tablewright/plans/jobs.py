@@ -88,14 +88,18 @@ class CleanOptions:
         )
 
 
+def _keeps_latest(options: CleanOptions) -> bool:
+    return bool(options.dedupe_columns) and keep_mode(options.dedupe_keep) == "latest"
+
+
 def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | None = None) -> DataFrame:
     """Every input row repaired, with ``_fixes``, ``_reviews`` and ``_removed_reason``."""
     if not options.chosen():
         raise ValueError("choose at least one cleaning step")
     if options.dedupe_columns:
         require_columns(df, list(options.dedupe_columns), "dedupe column")
-        if keep_mode(options.dedupe_keep) == "latest":
-            require_columns(df, [options.dedupe_latest_column], "date column for keeping the latest row")
+    if _keeps_latest(options):
+        require_columns(df, [options.dedupe_latest_column], "date column for keeping the latest row")
     roles = roles or contact_roles(data_columns(df))
     marked = mark_blank_rows(df) if options.drop_blank_rows else df
     repaired = repair_contacts(marked, roles, options.steps())
@@ -115,7 +119,7 @@ def with_result_row(kept: DataFrame, options: CleanOptions, name: str = "result_
     Keeping the latest row leaves the result in old-to-new order; otherwise rows
     stay in table order.
     """
-    if options.dedupe_columns and keep_mode(options.dedupe_keep) == "latest":
+    if _keeps_latest(options):
         age = recency(kept, options.dedupe_latest_column, options.unparseable)
         return rank_rows(kept.withColumn("_recency", age), [F.col("_recency"), F.col(ROW_ID)], name).drop("_recency")
     numbered = global_position(kept, ROW_ID, name)
@@ -163,8 +167,11 @@ def clean_table(df: DataFrame, options: CleanOptions, roles: ContactRoles | None
     roles = roles or contact_roles(columns)
     marked = stage(mark_cleaned(table, options, roles), "cleaned")
     kept, removed = split_kept_removed(marked)
-    # the numbered rows serve the result, the fix log and the review tables
-    numbered = stage(with_result_row(kept, options), "cleaned-rows")
+    # the numbered rows serve the result, the fix log and the review tables; ranking
+    # by recency has staged them already
+    numbered = with_result_row(kept, options)
+    if not _keeps_latest(options):
+        numbered = stage(numbered, "cleaned-rows")
     markers = row_markers(F.col("_fixes"), F.col("_reviews"))
     report = {
         "quality": health_score(quality_profile(table.select(*[named(c) for c in columns]), roles)),

@@ -116,6 +116,9 @@ LABELS = {
     "all_empty": "全空",
     "absent": "本表无此列",
     "absent_header": "—（本表无此列）",
+    "blank_key": "待人工补全拆分字段",
+    "renamed": "文件名重复已自动加后缀",
+    "short": "本批未满",
     "good": "良好",
     "fair": "一般",
     "poor": "较差",

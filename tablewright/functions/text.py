@@ -61,11 +61,6 @@ def is_blank(c: Column, mode: str = "clean") -> Column:
     return F.coalesce(c.rlike(rf"(?iU)^{SPACE}*(?:{'|'.join(tokens)})?{SPACE}*\z"), F.lit(True))
 
 
-def cell_text(c: Column) -> Column:
-    """Trimmed text, "" when blank."""
-    return F.when(is_blank(c), F.lit("")).otherwise(ustrip(c))
-
-
 def digits(c: Column) -> Column:
     """Digits of a cell; the tokens that mean blank hold none."""
     return F.regexp_replace(c, r"(?U)\D", "")

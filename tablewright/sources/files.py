@@ -19,7 +19,6 @@ from tablewright.operators.merge import ORDER, SOURCE, HeaderGroup
 from tablewright.operators.schema import distinct_headers, normalize_header, normalize_text_columns
 
 SUFFIXES = ("csv", "parquet")
-HEADER_BYTES = 1 << 20
 BROADCAST_FILES = 100_000  # file-order rows (a path and an int) sent to every executor
 
 
@@ -64,8 +63,8 @@ def _header_reader():
     def csv_header(path: str) -> list[str]:
         system, inner = opened(path)
         with system.open_input_stream(inner, compression="detect") as stream:
-            head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-        return next(csv.reader(io.StringIO(head)), [])
+            text = io.TextIOWrapper(stream, "utf-8-sig", errors="replace", newline="")
+            return next(csv.reader(text), [])
 
     def parquet_header(path: str) -> list[str]:
         """Names, then types: files are scanned together only when both agree."""

@@ -105,6 +105,7 @@ def test_classify_contact(spark):
         None: "blank",
     }
     assert column(spark, list(cases), X.classify_contact) == list(cases.values())
+    assert column(spark, ["张三", "张三13800138001", "abc"], X.looks_like_chinese_name) == [True, False, False]
 
 
 def test_text_cell(spark):

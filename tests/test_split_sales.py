@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import SalesRoles, output_layout, sales_report, split_job, write_split
-from tablewright.operators.split import split_manifest
+from tablewright import SalesRoles, output_layout, sales_report, split_job, with_wording, write_split
 
 
 def test_split_by_field(spark, tmp_path):
@@ -28,6 +27,8 @@ def test_labels_that_collide_and_blank_values(table):
         ("空值_2", "空值", 1, "renamed"),
     ]
     assert sorted(r["_row_id"] for r in job.report["review"].collect()) == [4, 5]
+    notes = {r["file_label"]: r["note"] for r in with_wording(job.report["manifest"]).collect()}
+    assert notes["a_b_2"] == "文件名重复已自动加后缀" and notes["空值"] == "待人工补全拆分字段"
 
 
 def test_split_by_rows(table):

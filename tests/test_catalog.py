@@ -6,8 +6,10 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
 from scripts.check_queries import rows_of  # noqa: E402
+from tablewright.catalog.oracles import ORACLES  # noqa: E402
+from tablewright.catalog.queries import QUERIES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -21,10 +23,10 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_sql(spark, sql, name):
-    got = queries()[name](spark, SF_DIR)
-    cursor = sql.execute(oracle_sql()[name])
+    got = QUERIES[name](spark, SF_DIR)
+    cursor = sql.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows_of(got.columns, got.collect()) == rows_of(columns, cursor.fetchall())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, toxicity
+from tablewright.llm import bpe, hyperminhash, toxicity
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,39 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar at 0.8 or more."""
+    return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+ORACLES["op8_hyperminhash"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || chr(10) || w[i + 1])
+        ELSE w END) AS s
+    FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+numbered AS (SELECT doc_id, s, n, count(*) OVER (PARTITION BY s) AS f FROM shingles JOIN sizes USING (doc_id)),
+-- two sets that share four fifths of their union share one of the first n - ceil(0.8 n) + 1 shingles in any common order
+ranked AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS r FROM numbered),
+prefix AS (SELECT doc_id, s, n FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+candidates AS (
+    SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM prefix x JOIN prefix y ON x.s = y.s AND x.doc_id < y.doc_id
+        AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+both_in AS (
+    SELECT a, b, count(*) AS c FROM candidates JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s GROUP BY a, b),
+links AS (
+    SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.other = ways.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

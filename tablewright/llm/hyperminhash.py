@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts
+from tablewright.llm.common import WORD_PATTERN, keyed_texts
 from tablewright.llm.components import components
 from tablewright.operators.staging import stage
 
@@ -287,3 +287,24 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
         .select("doc_id", "n_shingles", label.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, less all but one document of each group (its smallest id stays).
+
+    Rows without words or without an id stay.  Of several rows with words under one id, one stays.
+    """
+    found = stage(near_duplicates(df, width, percent, key, text), "duplicates")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(f"`{key}`").cast("bigint").alias("_key"))
+    rows = rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    repeated = found.where("n_shingles > 0 AND kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = repeated.select(F.col("doc_id").alias("_again"))
+    if repeated.limit(1).count():
+        again = F.col("_key") == F.col("_again")
+        content = F.coalesce(F.col("_row")[text], F.lit(""))
+        worded = content.rlike(WORD_PATTERN)
+        single = rows.join(repeated, again & worded, "left_anti")
+        first = rows.where(worded).join(repeated, again, "left_semi").groupBy("_key").agg(F.min_by("_row", F.struct(F.xxhash64(content), content)).alias("_row"))
+        rows = single.select("_row").union(first.select("_row"))
+    return rows.select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, hyperminhash, mixing, toxicity
+from tablewright.llm import bpe, huffman, hyperminhash, mixing, toxicity
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.copies(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of the encoded documents hold, read back."""
+    folder = huffman.new_folder(spark)
+    huffman.write_ids(read_table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
+    return huffman.read_ids(spark, folder, digest_only=True)

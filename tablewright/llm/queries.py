@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chat, huffman, hyperminhash, mixing, toxicity
+from tablewright.llm import bpe, chat, huffman, hyperminhash, mixing, topk, toxicity
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,26 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_c
     n::BIGINT AS formatted_chars
 FROM whole
 """
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("vector"))
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector with all others."""
+    rows = _vectors(spark, sf_dir)
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+ORACLES["op9_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+    FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

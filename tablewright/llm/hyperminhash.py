@@ -8,12 +8,16 @@ a chance equal to their Jaccard similarity even if they are tiny.
 
 Links.  Documents with equal sets form a class (smallest id first); only one
 row of a class goes on.  Rows that share a band meet in a bucket.  First each
-row is tried against the bucket's smallest id, the most similar of those it
-meets; links give components; then every pair of a bucket that still lies in
-different components is tried.  So groups of copies never expand into all
-pairs, and yet no pair that shares a band and could change the components goes
-untested.  A pair passes on to the check on full sets unless its estimate is
-five standard deviations below the threshold.
+row is tried against the hubs of its buckets (a bucket's hub is the row that
+meets most others, which in a group of edited copies is close to all of them),
+and checked against the hub most similar by estimate.  Those links give
+components.  In each bucket that still holds several, the component with most
+rows is the pivot, the others' rows are strays.  Strays of a pivot are compared
+with all its rows and with each other, in blocks of ``BLOCK_ROWS``, inside
+tasks that return only links which join components.  So a group of copies
+never becomes rows for all its pairs, yet every pair that shares a bucket is
+either in one component already or tested.  A pair is checked on full sets
+unless its estimate is five standard deviations below the threshold.
 
 Rows without words (null, empty or blank texts) have an empty set and are
 linked with nothing.  Rows that repeat an id are one document: what one of
@@ -41,6 +45,7 @@ MANTISSA = 10
 VALUE_BITS = 40
 DEVIATIONS = 5.0
 BLOCK_BYTES = 2_000_000
+BLOCK_ROWS = 512
 
 _RANDOM = np.random.default_rng(88)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,13 +196,17 @@ def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text")
     return keyed_texts(df, key, text).mapInArrow(run, schema)
 
 
+def least_estimate(percent: int) -> float:
+    return percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+
+
 def similar_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose corrected estimate doesn't rule the threshold out, with the estimate."""
     a = rows.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a"))
     b = rows.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b"))
     # sizes alone rule many pairs out
     joined = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,33 +221,111 @@ def similar_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint, estimate double")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their whole shingle sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def with_sets(df: DataFrame, rows: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """``rows`` (rep, ...) with the whole shingle set of each as packed 64-bit hashes, made anew from the texts."""
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in blocks(batch, 1):
                 sets = [s.tobytes() for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
+    sets = keyed_texts(df, key, text).join(wanted, "doc_id", "left_semi").mapInArrow(run, "rep bigint, shingles binary")
+    # an id with several texts has several sets; its sizes tell which is which
+    return sets.withColumn("n_shingles", F.expr("cast(length(shingles) / 8 as bigint)")).join(rows, ["rep", "n_shingles"])
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    place = np.searchsorted(y, x)
+    place[place == len(y)] = 0
+    return int((y[place] == x).sum())
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their whole shingle sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                place = np.searchsorted(y, x)
-                place[place == len(y)] = 0
-                both = int((y[place] == x).sum()) if len(y) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
+                both = shared(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = keyed_texts(df, key, text).join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id bigint, shingles binary")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+class _Joined(dict):
+    """Components as they grow inside a block."""
+
+    def top(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+
+def links_of_block(strays: list[tuple], rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between strays and rows (rep, comp, registers, shingles), as many as join components."""
+    least, joined = least_estimate(percent), _Joined()
+    reps, comps = [r[0] for r in rows], [r[1] for r in rows]
+    registers = np.stack([np.frombuffer(r[2], np.uint16) for r in rows])
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    for rep, comp, own_registers, own in strays:
+        own, own_registers = np.frombuffer(own, np.uint64), np.frombuffer(own_registers, np.uint16)
+        by_chance = chance_equal(sizes, np.full(len(sizes), len(own)))
+        estimate = ((registers == own_registers).mean(axis=1) - by_chance) / (1 - by_chance)
+        fit = (estimate >= least) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+        hopeful = np.flatnonzero(fit)
+        for i in hopeful[np.argsort(-estimate[hopeful], kind="stable")]:
+            mine, other = joined.top(comp), joined.top(comps[i])
+            if mine == other:
+                continue
+            both = shared(own, sets[i])
+            if 100 * both >= percent * (len(own) + len(sets[i]) - both):
+                joined[max(mine, other)] = min(mine, other)
+                yield (rep, reps[i])
+
+
+def stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the strays (pivot, rep) of each pivot and its members or other strays."""
+    everyone = members.union(strays)
+    n_strays = strays.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    n_rows = everyone.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
+    counts = n_strays.join(n_rows, "pivot")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    cut = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+    all_parts, all_cuts = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("parts", "cuts"))
+    left = strays.join(counts, "pivot").select("pivot", "rep", part.alias("part"), F.explode(all_cuts).alias("cut"), F.lit(True).alias("stray"))
+    right = everyone.join(counts, "pivot").select("pivot", "rep", F.explode(all_parts).alias("part"), cut.alias("cut"), F.lit(False).alias("stray"))
+    payload = sets.select("rep", "comp", "registers", "shingles")
+    rows = left.union(right.select("pivot", "rep", "part", "cut", "stray")).join(payload, "rep")
+    placed = rows.repartition("pivot", "part", "cut").sortWithinPartitions("pivot", "part", "cut", "stray", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sides = None, ([], [])
+
+        def flush() -> pa.RecordBatch:
+            found = list(links_of_block(sides[1], sides[0], percent)) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if row[:3] != place:
+                    yield flush()
+                    place, sides = row[:3], ([], [])
+                sides[row[3]].append(row[4:])
+        yield flush()
+
+    columns = placed.select("pivot", "part", "cut", "stray", "rep", "comp", "registers", "shingles")
+    return columns.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id) and kept, for every row of ``df``."""
     drawn = stage(sketches(df, width, key, text), "sketches")
@@ -256,29 +343,31 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     # a class written by several rows of its first id comes once
     reps = reps.dropDuplicates(["rep", "registers"])
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    met = stage(banded.join(hubs.select("band", "hub"), "band"), "buckets")
-
-    to_hub = met.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    near = stage(similar_enough(to_hub, reps, percent), "near")
-    best = near.groupBy("b").agg(F.max(F.struct("estimate", -F.col("a"))).alias("best"))
-    best = best.select((-F.col("best")["col2"]).alias("a"), "b")
+    crowds = banded.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    met = stage(banded.join(crowds, "band"), "buckets")
+    sets = stage(with_sets(df, reps.select("rep", "n_shingles", "registers").join(met.select("rep").distinct(), "rep"), width, key, text), "sets")
+
+    meetings = met.join(met.groupBy("rep").agg(F.sum("crowd").alias("meetings")), "rep")
+    hubs = meetings.groupBy("band").agg(F.max(F.struct("meetings", (-F.col("rep")).alias("first"))).alias("hub"))
+    hubs = hubs.select("band", (-F.col("hub.first")).alias("hub"))
+    to_hub = met.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    near = similar_enough(to_hub, reps, percent)
+    best = near.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("first"))).alias("best"))
+    best = best.select((-F.col("best.first")).alias("a"), "b")
     # an id of several classes belongs to all of them
     several = rows.where("rep IS NOT NULL AND doc_id > rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = several.where("a < b").select("a", "b").union(several.where("a < b").select("a", F.col("doc_id").alias("b")))
-    links = stage(confirmed(best, df, width, percent, key, text).union(several), "links")
-    joined = components(links)
-
-    labelled = met.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_bands = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    apart = labelled.select("rep", "band", "comp").join(open_bands.select("band"), "band")
-    apart = stage(apart, "apart")
-    left = apart.select("band", F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
-    right = apart.select("band", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = left.join(right, "band").where("a < b AND comp_a <> comp_b").select("a", "b").distinct()
-    tried = near.join(best, ["a", "b"], "left_semi").select("a", "b")
-    rest = similar_enough(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).select("a", "b")
-    more = confirmed(stage(rest, "rest"), df, width, percent, key, text)
+    joined = components(stage(confirmed(best, sets, percent).union(several), "links"))
+
+    own = F.coalesce("component", "rep").alias("comp")
+    labelled = stage(met.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", own), "labels")
+    shares = labelled.groupBy("band", "comp").agg(F.count("*").alias("share")).groupBy("band")
+    pivots = shares.agg(F.max(F.struct("share", (-F.col("comp")).alias("first"))).alias("top"), F.count("*").alias("comps"))
+    pivots = pivots.where("comps > 1").select("band", (-F.col("top.first")).alias("pivot"))
+    strays = stage(labelled.join(pivots, "band").where("comp <> pivot").select("pivot", "rep").distinct(), "strays")
+    members = labelled.select(F.col("comp").alias("pivot"), "rep").distinct().join(strays.select("pivot").distinct(), "pivot")
+    known = sets.join(labelled.select("rep", "comp").distinct(), "rep")
+    more = stray_links(strays, members, known, percent)
     final = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     label = F.coalesce("component", "rep", "doc_id")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, bpe, chat, huffman, hyperminhash, mixing, topk, toxicity
+from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, mixing, topk, toxicity, urls
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,75 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors found for every hundredth one."""
     rows = _vectors(spark, sf_dir)
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: a part of it moved, a part left out, a word put in."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def draw(number: int, most: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(number), "doc_id"), most + 1)
+
+    def change(number: int, gone: int, taken: int) -> Column:
+        start = draw(number, size)
+        piece = F.substring("text", (draw(number + 10, size) + 1).cast("int"), draw(number + 20, F.lit(taken)).cast("int"))
+        return F.struct(start.alias("start"), (start + draw(number + 30, F.lit(gone))).alias("end"), piece.alias("replacement"))
+
+    return edits.recounted(docs.withColumn("edits", F.array(change(1, 40, 40), change(2, 120, 0), change(3, 0, 9))))
+
+
+def _drawn(text: str, spark_sql: bool) -> str:
+    """A number from the md5 of a text, written for Spark or for DuckDB."""
+    digits = f"substr(md5({text}), 1, 7)"
+    return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if spark_sql else f"('0x' || {digits})::BIGINT"
+
+
+@query
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by dated block and allow lists over hosts, domains and paths of the pages themselves."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", 18_000 + F.expr(_drawn("CAST(page_id AS STRING)", True)) % 1_000)
+    named = pages.select(F.explode(urls.keys_of(urls.host_of(F.col("url")), F.slice(urls.path_parts(F.col("url")), 1, 1))).alias("key")).distinct()
+    dated = named.crossJoin(F.broadcast(spark.sql("SELECT explode(array('allow', 'block')) AS list"))).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    text = "concat_ws('|', list, key, CAST(place AS STRING))"
+    dated = dated.where(F.expr(_drawn("concat_ws('|', list, key)", True)) % 3 == 0)
+    entries = dated.select(
+        "list",
+        "key",
+        (18_000 + F.expr(_drawn(text, True)) % 1_000).alias("day"),
+        F.when(F.expr(_drawn(f"concat({text}, '!')", True)) % 2 == 0, "add").otherwise("remove").alias("action"),
+    )
+    return urls.judged(captures, entries)
+
+
+ORACLES["op6_url_lists"] = f"""
+WITH captures AS (
+    SELECT page_id, 18000 + {_drawn("page_id::VARCHAR", False)} % 1000 AS day,
+        nullif(regexp_replace(lower(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\\s]+)', 1)), '\\.$', ''), '') AS host,
+        list_filter(string_split(regexp_extract(url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+    FROM pages),
+lookups AS (
+    SELECT page_id, day, host, unnest(list_concat(
+        list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+        list_transform(range(1, least(len(parts), 2) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key,
+        len(parts) > 1 AND host IS NOT NULL AS deep, parts
+    FROM captures WHERE host IS NOT NULL),
+named AS (
+    SELECT DISTINCT key FROM lookups WHERE NOT (len(parts) > 1 AND key = host || '/' || array_to_string(parts[1:2], '/'))),
+dated AS (
+    SELECT list, key, 18000 + {_drawn("concat_ws('|', list, key, place::VARCHAR)", False)} % 1000 AS day,
+        CASE WHEN {_drawn("concat_ws('|', list, key, place::VARCHAR) || '!'", False)} % 2 = 0 THEN 'add' ELSE 'remove' END AS action
+    FROM named, (VALUES ('allow'), ('block')) l(list), range(0, 6) p(place)
+    WHERE {_drawn("concat_ws('|', list, key)", False)} % 3 = 0),
+daily AS (SELECT list, key, day, max(action) AS action FROM dated GROUP BY list, key, day),
+spans AS (SELECT list, key, action, day AS since, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM daily),
+active AS (
+    SELECT page_id, l.key, s.list, row_number() OVER (PARTITION BY page_id ORDER BY length(l.key) DESC, s.list = 'allow' DESC, s.list DESC, l.key DESC) AS r,
+        count(*) OVER (PARTITION BY page_id) AS n
+    FROM lookups l JOIN spans s ON s.key = l.key AND s.action = 'add' AND since <= day AND (until IS NULL OR day < until))
+SELECT c.page_id, host, day, coalesce(n, 0) AS n_active, CASE WHEN r IS NULL THEN '' ELSE list || ':' || key END AS decided_by,
+    CASE WHEN list <> 'allow' THEN 'drop' ELSE 'keep' END AS verdict
+FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND r = 1
+"""

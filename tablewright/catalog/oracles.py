@@ -454,4 +454,25 @@ ORACLES: dict[str, str] = {
     "scan_many_headers": f"""
         SELECT CASE WHEN name = 'NaN' THEN NULL ELSE name END AS "姓名", CASE WHEN {blank('phone')} THEN NULL ELSE {trim('phone')} END AS "手机号",
           CASE WHEN _row_id % 3 <> 0 THEN city END AS city FROM ({PERSONS_SQL}) t""",
+    "scan_odd_cells": """
+        SELECT 'k' || doc_id AS k, length(substr(text, 1, 400)) + 3 AS n FROM documents
+        UNION ALL SELECT 'cell ' || CASE WHEN doc_id % 3 > 0 THEN 'd' || (doc_id % 5) ELSE '-' END, count(*) FROM documents GROUP BY 1""",
+    "reserved_headers": """
+        SELECT DISTINCT event_type AS kind, (event_id % 7)::VARCHAR AS _chunk, (event_id % 3)::VARCHAR AS _row_id FROM events""",
+    "merge_ordered": """
+        SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS place
+        FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+    "merge_widened": """
+        SELECT 'a' AS 来源文件, round(sum(p_size)::DOUBLE, 2) AS total, round(max(p_size)::DOUBLE, 2) AS most FROM part
+        UNION ALL SELECT 'b', round(sum(p_partkey)::DOUBLE, 2), round(max(p_partkey)::DOUBLE, 2) FROM part
+        UNION ALL SELECT 'c', round(sum(p_retailprice), 2), round(max(p_retailprice), 2) FROM part""",
+    "occurrence_blocks": """
+        SELECT event_id * 100003 AS _row_id, nullif(event_type, 'click') AS kind,
+          row_number() OVER (PARTITION BY nullif(event_type, 'click') ORDER BY event_id) AS nth FROM events""",
+    "positions_blocks": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 + 1 AS chunk FROM orders",
+    "compare_blocks": f"SELECT cast(customer as varchar) AS key, ord, result AS status FROM ({COMPARED}) c",
+    "row_id_ties": """
+        SELECT reason AS _removed_reason, count(*) AS n, count(*) AS ids FROM (
+          SELECT CASE WHEN row_number() OVER (PARTITION BY p_size, p_brand) > 1 THEN 'full_duplicate' END AS reason FROM part) p GROUP BY 1""",
+    "split_ordered": "SELECT event_type, count(*) AS n, 0::BIGINT AS out_of_order FROM events GROUP BY 1",
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.catalog.dirty import order_text, orders_later, orders_now, persons, table
@@ -16,7 +17,7 @@ from tablewright.operators import merge as mrg
 from tablewright.operators import sales as sls
 from tablewright.operators import split as spl
 from tablewright.operators.dedupe import mark_blank_rows, mark_duplicates, split_kept_removed
-from tablewright.operators.identity import global_position, occurrence_ordinal
+from tablewright.operators.identity import global_position, occurrence_ordinal, with_row_id
 from tablewright.operators.quality import health_score, quality_profile
 from tablewright.operators.repair import (
     RepairSteps,
@@ -559,4 +560,103 @@ def scan_many_headers(spark, sf):
     early, late = _scratch(spark, "csv-a"), _scratch(spark, "csv-b")
     write_result(people.filter("_row_id % 3 = 0").select(F.col("name").alias("联系人"), F.col("phone").alias("电话")), early, "csv")
     write_result(people.filter("_row_id % 3 <> 0").select(F.col("phone").alias("手机"), F.col("name").alias("姓名"), "city"), late, "csv")
-    return mrg.merge_tables(scan_many(spark, discover_tables(spark, [early, late])), add_source=False)
+    return mrg.merge_tables(scan_many(spark, discover_tables(spark, [early, late])), add_source=False).drop("_row_id")
+
+
+@query
+def scan_odd_cells(spark, sf):
+    """Texts with line breaks and quotes, and a column with missing cells alone, written as CSV and scanned back."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").substr(1, 400).alias("text"))
+    wide, narrow = _scratch(spark, "csv-wide"), _scratch(spark, "csv-narrow")
+    write_result(docs.select(F.concat(F.lit("k"), "doc_id").alias("k"), F.concat(F.lit('"'), "text", F.lit('",')).alias("text")), wide, "csv")
+    alone = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("d"), F.col("doc_id") % 5))
+    write_result(docs.select(alone.alias("cell")), narrow, "csv")
+    cells = scan_table(spark, narrow).groupBy("cell").agg(F.count("*").alias("n"))
+    texts = scan_table(spark, wide).select("k", F.length("text").cast("bigint").alias("n"))
+    return texts.unionByName(cells.select(F.concat(F.lit("cell "), F.coalesce("cell", F.lit("-"))).alias("k"), "n"))
+
+
+@query
+def reserved_headers(spark, sf):
+    """Columns under names of our bookkeeping stay columns of the table from scan to result."""
+    events = table(spark, sf, "events").select(
+        F.col("event_type").alias("kind"),
+        (F.col("event_id") % 7).cast("string").alias("_chunk"),
+        (F.col("event_id") % 3).cast("string").alias("_row_id_"),
+    )
+    first, second = _scratch(spark, "csv"), _scratch(spark, "csv")
+    events.withColumnRenamed("_row_id_", "_row_id").write.csv(first, header=True)
+    cleaned = clean_table(scan_table(spark, first), CleanOptions(drop_duplicates=True))
+    write_result(cleaned.result, second, "csv")
+    return spark.read.csv(second, header=True)
+
+
+@query
+def merge_ordered(spark, sf):
+    """Three tables whose first and last share headers: rows stay in the order of their tables."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    folder = _scratch(spark, "parts")
+    for i, status in enumerate("FOP"):
+        part = orders.filter(F.col("o_orderstatus") == status).drop("o_orderstatus").orderBy("o_orderkey").coalesce(1)
+        part = part.select("o_orderkey", "o_orderpriority") if i != 1 else part.select("o_orderpriority", "o_orderkey")
+        part.write.parquet(f"{folder}/{i}")
+    groups = scan_many(spark, discover_tables(spark, [f"{folder}/{i}" for i in range(3)]))
+    merged = mrg.merge_tables(groups, add_source=False)
+    placed = global_position(merged, "_row_id", "place", bits=30)
+    return placed.select("o_orderkey", "o_orderpriority", "place")
+
+
+@query
+def merge_widened(spark, sf):
+    """Whole numbers of two widths and fractions under one header become numbers, not text."""
+    parts = table(spark, sf, "part")
+    groups = [
+        mrg.named_table(parts.select(F.col("p_size").alias("v")), "a", 0),
+        mrg.named_table(parts.select(F.col("p_partkey").alias("v")), "b", 1),
+        mrg.named_table(parts.select(F.col("p_retailprice").alias("v")), "c", 2),
+    ]
+    merged = mrg.merge_tables(groups)
+    return merged.groupBy("来源文件").agg(F.round(F.sum("v"), 2).alias("total"), F.round(F.max("v"), 2).alias("most"))
+
+
+@query
+def occurrence_blocks(spark, sf):
+    """Ids spread over many blocks, and a null key that recurs in them."""
+    events = table(spark, sf, "events").select(
+        (F.col("event_id") * 100_003).alias("_row_id"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("kind")
+    )
+    return occurrence_ordinal(events, ["kind"], name="nth")
+
+
+@query
+def positions_blocks(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * 70_001).alias("_row_id"))
+    return spl.chunk_by_rows(orders, 700).select("o_orderkey", F.col("_chunk").alias("chunk"))
+
+
+@query
+def compare_blocks(spark, sf):
+    """The comparison of ``compare_status`` with blocks of 64 ids, which its keys cross."""
+    rows = cmp.compare_tables(orders_now(spark, sf), orders_later(spark, sf), ["customer"], bits=6)
+    return rows.select(F.array_join("_key", "||").alias("key"), F.col("_ord").alias("ord"), F.col("_status").alias("status"))
+
+
+@query
+def row_id_ties(spark, sf):
+    """Row ids from a column with repeats are ranks, one for each row, so removing duplicates counts right."""
+    parts = table(spark, sf, "part").select("p_size", "p_brand")
+    marked = mark_duplicates(with_row_id(parts, ["p_size"]), full=True)
+    return marked.groupBy("_removed_reason").agg(F.count("*").alias("n"), F.countDistinct("_row_id").alias("ids"))
+
+
+@query
+def split_ordered(spark, sf):
+    """Place of every row inside its written part."""
+    path = _scratch(spark, "split")
+    events = table(spark, sf, "events").select("event_type", "event_id", F.col("event_id").alias("_row_id"))
+    write_split(split_job(events, "column", "event_type").result, path)
+    read = spark.read.parquet(path)
+    inside = F.col("_metadata.row_index").alias("place")
+    placed = read.select("event_type", "event_id", F.col("_metadata.file_path").alias("file"), inside)
+    wrong = F.lag("event_id").over(W.partitionBy("file").orderBy("place")) > F.col("event_id")
+    return placed.withColumn("wrong", wrong).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("wrong").alias("out_of_order"))

@@ -46,7 +46,7 @@ def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     raw = ustrip(c if isinstance(dtype, T.StringType) else c.cast("string"))
-    loose = F.translate(raw, "年月./日", "----")
+    loose = F.translate(raw, "年月./０１２３４５６７８９日", "----0123456789")
     fields = F.when(raw.rlike(NAMED_DATE), F.regexp_replace(raw, NAMED_DATE, NAMED_FIELDS)).when(
         loose.rlike(LOOSE_DATE), F.regexp_replace(loose, LOOSE_DATE, "$1-$2-$3")
     )

@@ -10,12 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.names import bind, named
 from tablewright.functions.text import key_parts, plain_text, ustrip
-from tablewright.operators.identity import ROW_ID, block_counts, rank_in_block
+from tablewright.operators.identity import BLOCK_BITS, ROW_ID, block_of, rank_in_block
 from tablewright.operators.schema import data_columns, order_columns, require_columns
 
 
@@ -26,13 +27,33 @@ def _keyed(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     return df.select(F.col(row_id).alias(ROW_ID), key.alias("_key"), payload.alias("_row"))
 
 
-def _ordered(side: DataFrame, counts: DataFrame, other_totals: DataFrame) -> DataFrame:
-    """Rows with their ordinal and the number of rows the other table has for their key."""
-    blocks = counts.join(other_totals, "_key", "left").select(
-        "_key", "_block", "_offset", F.coalesce("_total", F.lit(0)).alias("_other")
+def _paired(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """(_key, _ord, _a, _b, _in_a, _in_b): the n-th rows of a key side by side, and how often each table has the key.
+
+    Both tables are numbered at once: one count per (key, side, block) gives the
+    offsets of the blocks and the totals of both sides, and the n-th rows of the
+    two sides meet in one aggregate.
+    """
+    empty_a, empty_b = (F.lit(None).cast(t.schema["_row"].dataType) for t in (left, right))
+    rows = left.select("_key", ROW_ID, F.lit(False).alias("_right"), F.col("_row").alias("_a"), empty_b.alias("_b"))
+    rows = rows.union(right.select("_key", ROW_ID, F.lit(True).alias("_right"), empty_a.alias("_a"), F.col("_row").alias("_b")))
+    counts = rows.groupBy("_key", "_right", block_of(F.col(ROW_ID), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    of_key = W.partitionBy("_key")
+    earlier = W.partitionBy("_key", "_right").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.select(
+        "_key",
+        "_right",
+        "_block",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum(F.when(~F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_a"),
+        F.coalesce(F.sum(F.when(F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_b"),
     )
-    ranked = rank_in_block(side, ["_key"]).join(blocks, ["_key", "_block"])
-    return ranked.select("_key", (F.col("_local") + F.col("_offset")).cast("bigint").alias("_ord"), "_other", "_row")
+    ranked = rank_in_block(rows, ["_key", "_right"], ROW_ID, bits).join(blocks, ["_key", "_right", "_block"])
+    ordinal = (F.col("_local") + F.col("_offset")).cast("bigint")
+    # at most one row of either side has a key's n-th place
+    sides = [F.first(c, ignorenulls=True).alias(c) for c in ("_a", "_b")]
+    totals = [F.first(c).alias(c) for c in ("_in_a", "_in_b")]
+    return ranked.groupBy("_key", ordinal.alias("_ord")).agg(*sides, *totals)
 
 
 def _same_cell(a: Column, b: Column, left: T.DataType | None, right: T.DataType | None) -> Column:
@@ -46,7 +67,7 @@ def _same_cell(a: Column, b: Column, left: T.DataType | None, right: T.DataType
     return text(a, left) == text(b, right)
 
 
-def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID) -> DataFrame:
+def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per pair or unmatched row.
 
     Columns: ``_key``, ``_ord``, ``_status``, ``changed_fields`` and every
@@ -56,16 +77,7 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = RO
         raise ValueError("choose at least one key column")
     require_columns(a, keys, "key column of table A")
     require_columns(b, keys, "key column of table B")
-    left, right = _keyed(a, keys, row_id), _keyed(b, keys, row_id)
-    counts = {"a": block_counts(left, ["_key"]), "b": block_counts(right, ["_key"])}
-    totals = {s: c.groupBy("_key").agg(F.sum("_n").alias("_total")) for s, c in counts.items()}
-    ranked_a = _ordered(left, counts["a"], totals["b"]).select(
-        "_key", "_ord", F.col("_other").alias("_in_b"), F.col("_row").alias("_a")
-    )
-    ranked_b = _ordered(right, counts["b"], totals["a"]).select(
-        "_key", "_ord", F.col("_other").alias("_in_a"), F.col("_row").alias("_b")
-    )
-    joined = ranked_a.join(ranked_b, ["_key", "_ord"], "full_outer")
+    joined = _paired(_keyed(a, keys, row_id), _keyed(b, keys, row_id), bits)
 
     types_a = {f.name: f.dataType for f in a.schema.fields}
     types_b = {f.name: f.dataType for f in b.schema.fields}

@@ -11,6 +11,8 @@ The second term comes from a pre-aggregated table of block counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,16 +34,17 @@ def block_of(row_id: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(row_id, bits)
 
 
-def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+def with_row_id(df: DataFrame, order_by: list[str] | None = None, unique: bool = False) -> DataFrame:
     """Add ``_row_id``.
 
-    One integral ordering column is used as it is (no job).  Other orders are
-    ranked; without an order the rows keep the order they arrive in.  The last
-    two write a stage, so the ids stay fixed however often they are read.
+    One integral ordering column that the caller vouches for as ``unique`` (and
+    not null) is used as it is, without a job.  Other orders are ranked, equal
+    rows in any order; without an order the rows keep the order they arrive in.
+    The last two write a stage, so the ids stay fixed however often they are read.
     """
     if ROW_ID in df.columns:
         return df
-    if order_by and len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
+    if order_by and unique and len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
         return df.withColumn(ROW_ID, F.col(order_by[0]).cast("bigint"))
     if order_by:
         return rank_rows(df, [named(c) for c in order_by], ROW_ID, start=0)
@@ -64,11 +67,14 @@ def rank_in_block(df: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: in
 def occurrence_ordinal(
     df: DataFrame, keys: list[str], row_id: str = ROW_ID, name: str = "_ord", bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """1-based number of a row among the rows of its (non-null) key, in table order."""
+    """1-based number of a row among the rows of its key, in table order; null is a key like any other."""
     # a key's first block needs no correction: the table joined is empty or small
     # unless keys repeat over long stretches of the table
     offsets = block_counts(df, keys, row_id, bits).filter("_offset > 0").drop("_n")
-    ranked = rank_in_block(df, keys, row_id, bits).join(offsets, [*keys, "_block"], "left")
+    offsets = offsets.select(*[named(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_block").alias("_ob"), "_offset")
+    same = reduce(lambda a, b: a & b, [named(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
+    ranked = rank_in_block(df, keys, row_id, bits)
+    ranked = ranked.join(offsets, same & (F.col("_block") == F.col("_ob")), "left")
     ordinal = (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint")
     return ranked.select(*[named(c) for c in df.columns], ordinal.alias(name))
 

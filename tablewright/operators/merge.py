@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tablewright.constants import LABELS, SOURCE_COLUMN, SOURCE_COLUMN_TAKEN
 from tablewright.functions.names import named
 from tablewright.functions.text import is_blank, plain_text
+from tablewright.operators.identity import ROW_ID
 from tablewright.operators.schema import align_headers, data_columns, normalize_header
 
 SOURCE = "_source_file"
@@ -50,7 +51,8 @@ def _aligned_rows(group: HeaderGroup, add_source: bool, aliases: dict[str, str]
     after = group.aligned(aliases)
     if add_source:
         after = [SOURCE_COLUMN_TAKEN if c == SOURCE_COLUMN else c for c in after]
-    return group.rows.select(F.col(SOURCE), F.col(ORDER), *[named(b).alias(a) for b, a in zip(before, after)])
+    place = [F.col(ROW_ID)] if ROW_ID in group.rows.columns else []
+    return group.rows.select(F.col(SOURCE), F.col(ORDER), *place, *[named(b).alias(a) for b, a in zip(before, after)])
 
 
 def merged_columns(
@@ -65,13 +67,30 @@ def merged_columns(
     return list(seen)
 
 
+def widened(types: set[T.DataType]) -> T.DataType:
+    """The narrowest type that holds the values of all; text where there is none."""
+    if len(types) == 1:
+        return next(iter(types))
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return max(types, key=lambda t: ("tinyint", "smallint", "int", "bigint").index(t.simpleString()))
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in types):
+        scale = max(t.scale for t in types if isinstance(t, T.DecimalType))
+        whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in types)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if all(isinstance(t, T.NumericType) for t in types):
+        return T.DoubleType()
+    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in types):
+        return T.TimestampType()
+    return T.StringType()
+
+
 def _common_types(frames: list[DataFrame]) -> dict[str, T.DataType]:
-    """Type of every column: its own where all sources agree, text otherwise."""
+    """Type of every column: its own where all sources agree, else a wider one."""
     held: dict[str, set] = {}
     for frame in frames:
         for field in frame.schema.fields:
             held.setdefault(field.name, set()).add(field.dataType)
-    return {n: next(iter(t)) if len(t) == 1 else T.StringType() for n, t in held.items()}
+    return {n: widened(t) for n, t in held.items()}
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -80,7 +99,13 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     def agree(frame: DataFrame) -> DataFrame:
         return frame.select(
             *[
-                named(f.name) if f.dataType == types[f.name] else plain_text(named(f.name), f.dataType).alias(f.name)
+                named(f.name)
+                if f.dataType == types[f.name]
+                else (
+                    plain_text(named(f.name), f.dataType)
+                    if isinstance(types[f.name], T.StringType)
+                    else named(f.name).cast(types[f.name])
+                ).alias(f.name)
                 for f in frame.schema.fields
             ]
         )
@@ -93,8 +118,9 @@ def merge_tables(
 ) -> DataFrame:
     """All rows under common headers, the source file first.
 
-    With ``audit`` the bookkeeping columns ``_source_file`` and ``_source_order``
-    stay, for the reports below.
+    Where every source has row ids they stay, as ``_row_id``: sources in their
+    order, rows as they stand in them.  With ``audit`` the bookkeeping columns
+    ``_source_file`` and ``_source_order`` stay, for the reports below.
     """
     if not groups:
         raise ValueError("none of the tables has data to merge")
@@ -104,6 +130,8 @@ def merge_tables(
         columns.insert(0, F.col(SOURCE).alias(SOURCE_COLUMN))
     if audit:
         columns += [F.col(SOURCE), F.col(ORDER)]
+    if all(ROW_ID in g.rows.columns for g in groups):
+        columns.append(F.col(ROW_ID))
     return merged.select(*columns)
 
 
@@ -193,10 +221,8 @@ def alignment_warnings(stats: DataFrame) -> DataFrame:
 
 
 def warning_text(warnings: DataFrame) -> DataFrame:
-    some = F.format_string("「%s」仅在部分文件有数据，以下文件该列为空：%s", F.col("column"), F.col("missing_in"))
-    twin = F.format_string(
-        "疑似未对齐：「%s」与「%s」各在不同文件有数据，可能是同一字段但列名不同", F.col("column"), F.col("other_column")
-    )
+    some = F.format_string("列「%s」在这些来源里没有内容：%s", F.col("column"), F.col("missing_in"))
+    twin = F.format_string("列「%s」与列「%s」从不同时有内容，请核对是否同一字段", F.col("column"), F.col("other_column"))
     return warnings.withColumn("message", F.when(F.col("kind") == "partly_filled", some).otherwise(twin))
 
 

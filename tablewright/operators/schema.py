@@ -47,9 +47,13 @@ def normalize_header(name: object) -> str:
 
 
 def distinct_headers(names: list[str | None]) -> list[str]:
-    """Header cells as unique column names: empty ones are numbered, repeats get .1, .2, …"""
+    """Header cells as unique column names: empty ones are numbered, repeats get .1, .2, …
+
+    A header that reads like one of our bookkeeping columns counts as a repeat
+    of it, so it stays a column of the table.
+    """
     out: list[str] = []
-    taken: set[str] = set()
+    taken: set[str] = set(BOOKKEEPING)
     for position, raw in enumerate(names):
         base = raw if raw else f"Unnamed: {position}"
         name, repeat = base, 0
@@ -160,6 +164,20 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in BOOKKEEPING]
 
 
+def refuse_reserved(df: DataFrame, allowed: tuple[str, ...] = ("_row_id", "_source_file", "_source_order")) -> DataFrame:
+    """``df`` as it is, or an error if it brings columns under names a job keeps for its own."""
+    clash = sorted(BOOKKEEPING.intersection(df.columns).difference(allowed))
+    if clash:
+        raise ValueError(f"rename these columns first, their names are reserved: {', '.join(clash)}")
+    return df
+
+
+def restored_header(name: str, others: list[str]) -> str:
+    """A header that a scan had to tell apart from bookkeeping, as it stood in the file."""
+    plain = name.removesuffix(".1")
+    return plain if plain in BOOKKEEPING and plain not in others else name
+
+
 def role_profile(df: DataFrame, distinct: bool = True) -> DataFrame:
     """One row per column: the role its header suggests and what its cells look like."""
     columns = data_columns(df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.constants import BLANK_BUCKET, DEFAULT_ROWS_PER_CHUNK
 from tablewright.functions.names import named
 from tablewright.functions.text import is_blank, plain_text, safe_label
-from tablewright.operators.identity import ROW_ID, global_position, occurrence_ordinal, rank_rows
+from tablewright.operators.identity import BLOCK_BITS, ROW_ID, global_position, occurrence_ordinal, rank_rows
 from tablewright.operators.schema import require_columns
 
 BUCKET = "_bucket"
@@ -78,11 +78,13 @@ def group_sequence(manifest: DataFrame) -> DataFrame:
     return rank_rows(manifest, [turn], "seq")
 
 
-def chunk_by_rows(df: DataFrame, rows: int = DEFAULT_ROWS_PER_CHUNK, row_id: str = ROW_ID) -> DataFrame:
+def chunk_by_rows(
+    df: DataFrame, rows: int = DEFAULT_ROWS_PER_CHUNK, row_id: str = ROW_ID, bits: int = BLOCK_BITS
+) -> DataFrame:
     """Add the 1-based ``_chunk``: chunk i holds rows (i-1)*rows … i*rows-1 in table order."""
     if rows < 1:
         raise ValueError("rows per part must be at least 1")
-    placed = global_position(df, row_id, "_at")
+    placed = global_position(df, row_id, "_at", bits)
     return placed.withColumn(CHUNK, F.expr(f"_at div {int(rows)} + 1")).drop("_at")
 
 

@@ -31,6 +31,7 @@ from tablewright.operators.schema import (
     contact_roles,
     data_columns,
     normalize_text_columns,
+    refuse_reserved,
     require_columns,
     sales_roles,
 )
@@ -162,7 +163,7 @@ def clean_table(df: DataFrame, options: CleanOptions, roles: ContactRoles | None
     The marked rows are written once; the result and all six report tables read
     that stage, each only the columns it needs.
     """
-    table = normalize_text_columns(with_row_id(df))
+    table = normalize_text_columns(with_row_id(refuse_reserved(df)))
     columns = data_columns(table)
     roles = roles or contact_roles(columns)
     marked = stage(mark_cleaned(table, options, roles), "cleaned")
@@ -237,7 +238,7 @@ def split_job(
     mode = (mode or "column").strip().lower()
     if mode not in ("column", "sheet", "rows"):
         raise ValueError("split mode must be column, sheet or rows")
-    table = with_row_id(df)
+    table = with_row_id(refuse_reserved(df))
     if mode == "rows":
         chunked = spl.chunk_by_rows(table, rows)
         return JobResult(chunked, {"manifest": spl.chunk_manifest(chunked, rows)})
@@ -251,7 +252,7 @@ def split_job(
 
 def compare_job(a: DataFrame, b: DataFrame, keys: list[str]) -> JobResult:
     """Difference list, with only-A, only-B, changed and a summary."""
-    left, right = with_row_id(normalize_text_columns(a)), with_row_id(normalize_text_columns(b))
+    left, right = (with_row_id(normalize_text_columns(refuse_reserved(t))) for t in (a, b))
     columns = cmp.compared_columns(left, right, keys)
     compared = stage(cmp.compare_tables(left, right, keys), "compared")
     report = {

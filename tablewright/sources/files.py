@@ -29,7 +29,8 @@ def discover_tables(spark: SparkSession, paths: list[str], suffixes: tuple[str,
     listing is what every Spark scan holds on the driver anyway.
     """
     found: dict[str, None] = {}
-    wildcard = "*.{" + ",".join(s for suffix in suffixes for s in (suffix, suffix.upper())) + "}"
+    any_case = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in suffixes)
+    wildcard = "*.{" + ",".join(any_case) + "}"
     for path in paths:
         try:
             # the content column is pruned: files are listed, not read
@@ -112,11 +113,29 @@ def _file_order(spark: SparkSession, files: dict[str, int]) -> DataFrame:
     return F.broadcast(joined) if len(files) <= BROADCAST_FILES else joined
 
 
+def _without_surplus(scanned: DataFrame, raw: T.StructType) -> DataFrame:
+    """The rows of a text scan; a record with more cells than the header fails the job instead of losing them.
+
+    Spark hands over the text of records whose cells don't match the header;
+    only those are read once more, with room for one more cell.
+    """
+    wider = ", ".join(f"c{i} string" for i in range(len(raw.fields) + 1))
+    surplus = F.from_csv("_record", wider, {"escape": '"'}).getField(f"c{len(raw.fields)}")
+    # Spark reads the text of records only together with a cell
+    begins = F.coalesce("c0", F.lit(""))
+    told = F.concat(F.lit("a record has more cells than its header; it begins with "), begins, F.lit(": "), F.substring("_record", 1, 200))
+    fine = F.when(F.col("_record").isNotNull() & surplus.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    return scanned.filter(fine)
+
+
 def scan_group(
-    spark: SparkSession, headers: tuple[str, ...], files: dict[str, int], multi_line: bool = False
+    spark: SparkSession, headers: tuple[str, ...], files: dict[str, int], multi_line: bool = True
 ) -> HeaderGroup:
     """One scan over all files that share a header row.
 
+    Cells may hold line breaks, so a text file is read by one task; with
+    ``multi_line=False``, for files known to hold none, it is split.
+
     ``_row_id`` is file order and place inside the file.  For parquet the place
     is the row index.  For text it is the byte offset of the split plus the row
     number inside the partition: a partition never holds more rows than bytes,
@@ -130,13 +149,15 @@ def scan_group(
     else:
         names = clean_headers(headers)
         raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        scanned = reader.schema(raw).csv(list(files), header=True, escape='"', multiLine=multi_line)
+        held = T.StructType([*raw.fields, T.StructField("_record", T.StringType())])
+        reader = reader.schema(held).option("columnNameOfCorruptRecord", "_record")
+        scanned = _without_surplus(reader.csv(list(files), header=True, escape='"', multiLine=multi_line), raw)
         inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << MONOTONIC_BITS) - 1))
         place = F.col("_metadata.file_block_start") + inside
     rows = scanned.select(
         *[
             (null_tokens(named(f.name)) if isinstance(f.dataType, T.StringType) else named(f.name)).alias(n)
-            for n, f in zip(names, scanned.schema.fields)
+            for n, f in zip(names, (f for f in scanned.schema.fields if f.name != "_record"))
         ],
         F.col("_metadata.file_name").alias(SOURCE),
         F.col("_metadata.file_path").alias("_file"),
@@ -146,13 +167,15 @@ def scan_group(
         rows = rows.withColumn(ORDER, F.lit(next(iter(files.values()))))
     else:
         rows = rows.join(_file_order(spark, files), "_file")
-    row_id = F.shiftleft(F.col(ORDER).cast("bigint"), FILE_BITS) + F.col("_place")
+    too_wide = F.raise_error(F.lit("a file is too large, or there are too many files, for row ids of 63 bits"))
+    fits = (F.col("_place") < F.lit(1 << FILE_BITS)) & (F.col(ORDER) < F.lit(1 << (63 - FILE_BITS)))
+    row_id = F.when(fits, F.shiftleft(F.col(ORDER).cast("bigint"), FILE_BITS) + F.col("_place")).otherwise(too_wide.cast("bigint"))
     rows = rows.select(*[named(n) for n in names], F.col(SOURCE), F.col(ORDER), row_id.alias(ROW_ID))
     sources = tuple(sorted((order, file.rsplit("/", 1)[-1]) for file, order in files.items()))
     return HeaderGroup(normalize_text_columns(rows), tuple(names), sources)
 
 
-def scan_many(spark: SparkSession, files: list[str], multi_line: bool = False) -> list[HeaderGroup]:
+def scan_many(spark: SparkSession, files: list[str], multi_line: bool = True) -> list[HeaderGroup]:
     """One scan per distinct header row, however many files there are; empty files are left out."""
     if len(files) == 1 and file_format(files[0]) == "parquet":
         return [scan_group(spark, (), {files[0]: 0})]
@@ -163,7 +186,7 @@ def scan_many(spark: SparkSession, files: list[str], multi_line: bool = False) -
     return [scan_group(spark, headers, members, multi_line) for (_, headers), members in by_header.items()]
 
 
-def scan_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def scan_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One table from a file or a folder of equally headed files, with ``_row_id`` and ``_source_file``."""
     groups = scan_many(spark, discover_tables(spark, [path]), multi_line)
     if not groups:

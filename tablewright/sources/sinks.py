@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.names import named
 from tablewright.operators.identity import ROW_ID
-from tablewright.operators.schema import data_columns, sink_cells
+from tablewright.operators.schema import data_columns, restored_header, sink_cells
 from tablewright.operators.split import BUCKET, CHUNK
 
 RECORDS_PER_FILE = 5_000_000
 
 
-def _save(df: DataFrame, path: str, fmt: str, mode: str, parts: list[str] | None = None) -> None:
-    writer = df.write.mode(mode).option("maxRecordsPerFile", RECORDS_PER_FILE)
+def _save(
+    df: DataFrame, path: str, fmt: str, mode: str, parts: list[str] | None = None, records_per_file: int = RECORDS_PER_FILE
+) -> None:
+    df = df.toDF(*[restored_header(c, df.columns) for c in df.columns])
+    cells = [f for f in df.schema.fields if f.name not in (parts or [])]
+    if fmt == "csv" and len(cells) == 1 and isinstance(cells[0].dataType, T.StringType):
+        # a missing cell alone in its row would be a blank line, which readers skip
+        df = df.withColumns({cells[0].name: F.coalesce(named(cells[0].name), F.lit(""))})
+    writer = df.write.mode(mode).option("maxRecordsPerFile", records_per_file)
     if parts:
         writer = writer.partitionBy(*parts)
     if fmt == "csv":
@@ -43,8 +51,11 @@ def write_split(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     task's work.
     """
     part = BUCKET if BUCKET in df.columns else CHUNK
-    cells = sink_cells(df.select(*[named(c) for c in data_columns(df)], F.col(part).cast("string").alias("part")))
-    _save(cells.hint("rebalance", "part"), path, fmt, mode, ["part"])
+    place = [F.col(ROW_ID)] if ROW_ID in df.columns else []
+    cells = sink_cells(df.select(*[named(c) for c in data_columns(df)], F.col(part).cast("string").alias("part"), *place))
+    # in table order inside each file; the writer keeps an order that begins with the part
+    ordered = cells.hint("rebalance", "part").sortWithinPartitions("part", *place)
+    _save(ordered.drop(ROW_ID), path, fmt, mode, ["part"])
 
 
 def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

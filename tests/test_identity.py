@@ -41,7 +41,7 @@ def test_rank_rows_is_total_and_independent_of_partitions(spark):
 
 def test_row_ids(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, `odd.name` string")
-    assert [r["_row_id"] for r in with_row_id(df, ["k"]).orderBy("k").collect()] == [1, 2]
+    assert [r["_row_id"] for r in with_row_id(df, ["k"], unique=True).orderBy("k").collect()] == [1, 2]
     named = with_row_id(df, ["odd.name", "k"]).orderBy("k").collect()
     assert [r["_row_id"] for r in named] == [0, 1]
     arrival = with_row_id(df.coalesce(1)).orderBy("_row_id").collect()

@@ -33,7 +33,7 @@ def test_different_orders_and_a_missing_column(spark):
     assert stats[("c", "手机号")] == (300, 0, 300, "absent")
     assert stats[("a", "手机号")] == (400, 400, 0, "normal")
     warnings = [r["message"] for r in job.report["warnings"].collect()]
-    assert warnings == ["「手机号」仅在部分文件有数据，以下文件该列为空：c"]
+    assert warnings == ["列「手机号」在这些来源里没有内容：c"]
 
 
 def test_columns_that_look_like_one_field(table):

@@ -79,4 +79,4 @@ def test_many_workbooks_merge_by_header(spark, tmp_path):
     job = merge_job(scan.groups)
     rows = sorted(tuple(r) for r in job.result.drop("_row_id").collect())
     assert rows == [("B.xlsx", "李四", "13900139001"), ("a.xlsx", "张三", "13800138001")]
-    assert job.result.columns == ["来源文件", "姓名", "手机号"]
+    assert job.result.columns == ["来源文件", "姓名", "手机号", "_row_id"]

@@ -94,15 +94,15 @@ LABELS = {
     "invalid_phone": "手机号不正确，需人工核对",
     "invalid_email": "邮箱不正确，需人工核对",
     "bad_date": "日期格式不对，需人工核对",
-    "shift_ambiguous": "疑似窜行但无法唯一归位，需人工核对",
-    "shift_unrecognised": "疑似窜行但夹杂无法识别内容，需人工核对",
-    "missing_name": "关键字段缺失：姓名为空，需人工补全",
-    "missing_phone": "关键字段缺失：手机号为空，需人工补全",
-    "fix_trim": "姓名去掉首尾空格",
-    "fix_shift": "窜行自动归位（按内容换回正确列）",
-    "fix_phone": "手机号格式整理（去空格/横线等）",
-    "fix_email": "邮箱格式整理（去空格并转小写）",
-    "fix_date": "日期统一为 YYYY-MM-DD",
+    "shift_ambiguous": "内容错列，去处不止一个，请人工判断",
+    "shift_unrecognised": "内容错列，且有认不出的值，请人工判断",
+    "missing_name": "没有姓名，请补上",
+    "missing_phone": "没有手机号，请补上",
+    "fix_trim": "姓名两端空白已去",
+    "fix_shift": "错列的值已放回所属列",
+    "fix_phone": "手机号只留数字",
+    "fix_email": "邮箱去空白并改小写",
+    "fix_date": "日期改写为 YYYY-MM-DD",
     "fixed": "已修复",
     "to_review": "待核对",
     "only_a": "仅在表A",
@@ -122,7 +122,7 @@ LABELS = {
     "good": "良好",
     "fair": "一般",
     "poor": "较差",
-    "advice_good": "问题较少，建议抽查「已自动修复」后即可使用。",
-    "advice_fair": "建议优先核对待人工核对；窜行归位请对照「已自动修复」抽查。",
-    "advice_poor": "建议先处理「待人工核对」，再抽查自动修复；关键字段缺失需补全后再导入系统。",
+    "advice_good": "可以使用；修复过的行请抽看几条。",
+    "advice_fair": "请先看待核对的行，再抽看修复过的行。",
+    "advice_poor": "请先补齐并核对标出的行，之后再使用这张表。",
 }

@@ -19,3 +19,9 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     original columns still move below it.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def option(given: str | None, choices: tuple[str, ...]) -> str | None:
+    """The choice a caller names, whatever the case and the space around it; null if it names none."""
+    folded = {c.casefold(): c for c in choices}
+    return folded.get(given.strip().casefold()) if given else None

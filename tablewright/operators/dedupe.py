@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import latest_key
-from tablewright.functions.names import named
+from tablewright.functions.names import named, option
 from tablewright.functions.text import dedupe_key, plain_text
 from tablewright.operators.identity import ROW_ID
 from tablewright.operators.schema import blank_row, data_columns, require_columns
@@ -32,8 +32,8 @@ def mark_blank_rows(df: DataFrame) -> DataFrame:
 
 
 def keep_mode(keep: str | None) -> str:
-    mode = (keep or "first").strip().lower()
-    return mode if mode in KEEP_MODES else "first"
+    """Which copy of a key stays; anything unknown means the first."""
+    return option(keep, KEEP_MODES) or KEEP_MODES[0]
 
 
 def recency(df: DataFrame, column: str, unparseable: str = "text") -> Column:

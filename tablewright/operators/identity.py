@@ -83,7 +83,8 @@ def global_position(
     df: DataFrame, row_id: str = ROW_ID, name: str = "_position", bits: int = BLOCK_BITS, span_bits: int = SPAN_BITS
 ) -> DataFrame:
     """0-based dense position of every row in ``row_id`` order, without a global sort."""
-    blocks = df.groupBy(block_of(F.col(row_id), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per 65,536 ids, read for the sums of spans and of blocks
+    blocks = stage(df.groupBy(block_of(F.col(row_id), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n")), "block-counts")
     blocks = blocks.withColumn("_span", F.shiftright("_block", span_bits))
     # one row per 2**30 ids: the only window here without a partition
     spans = blocks.groupBy("_span").agg(F.sum("_n").alias("_span_n"))

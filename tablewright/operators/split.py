@@ -10,6 +10,7 @@ from tablewright.functions.names import named
 from tablewright.functions.text import is_blank, plain_text, safe_label
 from tablewright.operators.identity import BLOCK_BITS, ROW_ID, global_position, occurrence_ordinal, rank_rows
 from tablewright.operators.schema import require_columns
+from tablewright.operators.staging import stage
 
 BUCKET = "_bucket"
 CHUNK = "_chunk"
@@ -67,7 +68,8 @@ def split_manifest(df: DataFrame, column: str, row_id: str = ROW_ID) -> DataFram
         .when(F.col("nth") > 1, F.lit("renamed"))
         .otherwise(F.lit(""))
     )
-    return label_groups(distinct_groups(df, column, row_id)).select(
+    # a row per part, which the labels read twice
+    return label_groups(stage(distinct_groups(df, column, row_id), "groups")).select(
         "file_label", F.col(BUCKET).alias("value"), "n_rows", "first_row", note.alias("note")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.constants import DEFAULT_ROWS_PER_CHUNK, LABELS
-from tablewright.functions.names import named
+from tablewright.functions.names import named, option
 from tablewright.functions.text import label_text
 from tablewright.operators import compare as cmp
 from tablewright.operators import merge as mrg
@@ -235,8 +235,8 @@ def split_job(
     Tables read from several sheets or files split by them with
     ``mode="sheet"``: the part is ``_source_file``.
     """
-    mode = (mode or "column").strip().lower()
-    if mode not in ("column", "sheet", "rows"):
+    mode = option(mode or "column", ("column", "sheet", "rows"))
+    if mode is None:
         raise ValueError("split mode must be column, sheet or rows")
     table = with_row_id(refuse_reserved(df))
     if mode == "rows":

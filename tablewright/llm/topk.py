@@ -1,23 +1,26 @@
 """Exact top-k inner products by columnar branch-and-bound.
 
 Vectors lie in blocks, a dimension after the other (vertical layout).  A block
-of queries meets a block of rows in one task; for each query the products are
-added up ``STEP`` dimensions at a time, for all rows of the block at once.
-After each step what is still missing of a row's product is at most the length
-of the query's remaining part times the length of the row's (Cauchy-Schwarz on
-the remaining mass).  A row whose bound lies below the k-th best product the
-query already has for certain leaves, and the survivors' columns are compacted.
-What a block returns are its k best; the k best of those are the answer.
+of queries meets a block of rows in one task; products are added up some
+dimensions at a time, for all rows of the block at once.  After each step what
+is still missing of a row's product is at most the length of the query's
+remaining part times the length of the row's (Cauchy-Schwarz on the remaining
+mass).  A row whose bound lies below the k-th best product a query already has
+for certain is out for that query; rows that are out for all queries leave the
+block, and once few pairs are left those go on one by one, compacted after
+each step.  What a block returns are each query's k best; the k best of those
+are the answer.
 
 The k-th best a query has for certain comes from the full products of the rows
-that lead after the first step.
+that lead after the first step, and from blocks the same task met before; it
+only ever grows.
 
 Rows count with components ``floor(scale * x)``, exact integers.  Vectors that
 are null or hold null, NaN or infinite components take no part; vectors are
 compared with those of the same number of dimensions only, an empty vector
 with none.  A row never answers its own id; rows that repeat an id are all
-candidates.  Ties go to the smaller id.  Scores outside the 64-bit range are
-the nearest number in it.  Fewer rows than k give all of them; an empty table
+candidates.  Ties go to the smaller id.  Whole components and scores
+outside the 64-bit range are the nearest number in it.  Fewer rows than k give all of them; an empty table
 gives an empty result.
 """
 
@@ -33,10 +36,13 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.staging import stage
 
-STEP = 8
+STEP = 8  # dimensions added at a time, at least; a quarter of them if that is more
+SPARSE = 0.1  # share of (query, row) pairs below which the rest goes pair by pair
+PAIRS = 100_000
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 1_024
-EXACT = 2.0**53  # integers up to here are exact in double precision
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+EXACT, EXACT_SINGLE = 2.0**53, 2.0**24  # integers up to here are exact in double and single precision
 
 
 def usable(vector: Column) -> Column:
@@ -55,41 +61,78 @@ def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     return grouped.select("dims", "block", "ids", "values")
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (a row of ``queries``) its index, and ids and products of its k best of a block (dims x rows)."""
-    dims = len(columns)
+def _first_k(query: np.ndarray, row_ids: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, product) the k best of each query, ties to the smaller id."""
+    order = np.lexsort((row_ids, -sums, query))
+    query, row_ids, sums = query[order], row_ids[order], sums[order]
+    starts = np.flatnonzero(np.diff(query, prepend=-1))
+    within = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return query[within < k], row_ids[within < k], sums[within < k]
+
+
+def best_of_block(
+    queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int, certain: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, product) of the k best of a block (dims x rows) for each query (queries x dims).
+
+    ``certain`` holds the k-th best product each query is sure of; it is raised in place.
+    """
+    dims, n = columns.shape
     order = np.argsort(-np.abs(columns).sum(axis=1), kind="stable")  # dimensions with most mass first
-    columns, queries = np.ascontiguousarray(columns[order]), queries[:, order]
-    ends = [*range(STEP, dims, STEP), dims]
-    squares = np.cumsum(columns[::-1] ** 2, axis=0)[::-1]
-    remaining = [np.sqrt(squares[e]) if e < dims else np.zeros(len(ids)) for e in ends]
-    own_squares = np.cumsum(queries[:, ::-1] ** 2, axis=1)[:, ::-1]
-    first = queries[:, : ends[0]] @ columns[: ends[0]]
-    for q, query in enumerate(queries):
-        alive = np.flatnonzero(ids != query_ids[q])
-        sums = first[q][alive]
-        certain = -np.inf
-        if len(alive) > 4 * k:
-            leaders = alive[np.argpartition(-sums, 2 * k)[: 2 * k]]
-            full = query @ columns[:, leaders]
-            certain = np.partition(full, len(full) - k)[len(full) - k]
-        part, compact = columns, False
-        for step, end in enumerate(ends):
-            if step:
-                begin = ends[step - 1]
-                sums = sums + query[begin:end] @ (part[begin:end] if compact else part[begin:end][:, alive])
-            if end < dims:
-                bound = sums + np.sqrt(own_squares[q, end]) * remaining[step][alive]
-                # the slack covers rounding in the two lengths
-                kept = bound * (1 + 1e-9) + 1e-6 >= certain if certain >= 0 else bound + np.abs(bound) * 1e-9 + 1e-6 >= certain
-                if not kept.all():
-                    alive, sums = alive[kept], sums[kept]
-                    part, compact = (part[:, kept] if compact else part[:, alive]), True
-        if len(alive) > k:
-            least = np.partition(sums, len(sums) - k)[len(sums) - k]
-            alive, sums = alive[sums >= least], sums[sums >= least]
-        best = np.lexsort((ids[alive], -sums))[:k]
-        yield q, ids[alive][best], sums[best]
+    kind = np.float32 if np.abs(columns).max() * np.abs(queries).max() * dims < EXACT_SINGLE else np.float64
+    columns, queries = columns[order].astype(kind), queries[:, order].astype(kind)
+    step = max(STEP, -(-dims // 4))
+    ends = [*range(step, dims, step), dims]
+    row_squares = np.cumsum(columns[::-1].astype(np.float64) ** 2, axis=0)[::-1]
+    own_squares = np.cumsum(queries[:, ::-1].astype(np.float64) ** 2, axis=1)[:, ::-1]
+    by_id = np.argsort(ids, kind="stable")
+    left, right = (np.searchsorted(ids[by_id], query_ids, side=x) for x in ("left", "right"))
+    own = [(q, by_id[i]) for q in np.flatnonzero(right > left) for i in range(left[q], right[q])]
+    alive, sums, begin = np.arange(n), None, 0
+    for end in ends:
+        part = queries[:, begin:end] @ columns[begin:end, alive]
+        sums = part if sums is None else sums + part
+        if begin == 0:
+            for q, i in own:
+                sums[q, i] = -np.inf
+            if n > 4 * k:
+                lead = np.argpartition(-sums, 2 * k, axis=1)[:, : 2 * k]
+                full = np.einsum("qd,dqk->qk", queries, columns[:, lead])
+                full[np.isneginf(np.take_along_axis(sums, lead, 1))] = -np.inf
+                np.maximum(certain, np.partition(full, k, axis=1)[:, k], out=certain)
+        begin = end
+        if end == dims:
+            break
+        # half a unit covers rounding of the bounds: products are whole numbers
+        bound = np.sqrt(own_squares[:, end]).astype(kind)[:, None] * np.sqrt(row_squares[end, alive]).astype(kind)[None, :]
+        possible = sums + bound * kind(1 + 1e-5) >= (certain - 0.5).astype(kind)[:, None]
+        if possible.mean() < SPARSE:
+            query, row = np.nonzero(possible)
+            sums, row = sums[query, row].astype(np.float64), alive[row]
+            return _sparse_rest(queries, columns, ids, query, row, sums, ends, end, own_squares, row_squares, certain, k)
+        used = possible.any(axis=0)
+        if used.mean() < 0.9:
+            alive, sums = alive[used], sums[:, used]
+    if len(alive) > k:
+        least = np.partition(sums, len(alive) - k, axis=1)[:, len(alive) - k]
+        query, row = np.nonzero((sums >= least[:, None]) & ~np.isneginf(sums))
+    else:
+        query, row = np.nonzero(~np.isneginf(sums))
+    return _first_k(query, ids[alive[row]], sums[query, row].astype(np.float64), k)
+
+
+def _sparse_rest(queries, columns, ids, query, row, sums, ends, begin, own_squares, row_squares, certain, k):
+    """The steps from ``begin`` on for the few pairs (query, row) left, which are compacted after each."""
+    for end in (e for e in ends if e > begin):
+        more = np.empty(len(query))
+        for i in range(0, len(query), PAIRS):
+            some = slice(i, i + PAIRS)
+            more[some] = np.einsum("pd,dp->p", queries[query[some], begin:end], columns[begin:end, row[some]], dtype=np.float64)
+        sums, begin = sums + more, end
+        rest = 0 if end == len(columns) else np.sqrt(own_squares[query, end] * row_squares[end, row])
+        kept = sums + rest * (1 + 1e-5) >= certain[query] - 0.5
+        query, row, sums = query[kept], row[kept], sums[kept]
+    return _first_k(query, ids[row], sums, k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0) -> DataFrame:
@@ -101,36 +144,37 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0)
     asked = stage(in_blocks(queries.where(usable(F.col("vector"))).select("vec_id", whole.alias("vector")), BLOCK_QUERIES), "query-blocks")
     asked = asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     # a stated set of queries against all rows, a block of each at a time
-    met = data.join(asked, "dims").repartition("dims", "block", "q_block")
+    met = data.join(asked, "dims").repartition("dims", "block", "q_block").sortWithinPartitions("dims", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, certain = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                dims, ids, values, q_ids, q_values = (batch.column(i)[row] for i in range(5))
+                dims, q_block, ids, values, q_ids, q_values = (batch.column(i)[row] for i in range(6))
                 n = dims.as_py()
                 ids, q_ids = ids.values.to_numpy(), q_ids.values.to_numpy()
                 columns = values.values.to_numpy().reshape(-1, n).T
                 asked = q_values.values.to_numpy().reshape(-1, n)
+                if block != (n, q_block.as_py()):
+                    block, certain = (n, q_block.as_py()), np.full(len(q_ids), -np.inf)
                 if np.abs(columns).max() * np.abs(asked).max() * n >= EXACT:
-                    found = exact_of_block(asked, q_ids, columns, ids, k)
+                    query, vec, score = exact_of_block(asked, q_ids, columns, ids, k)
                 else:
-                    found = best_of_block(asked, q_ids, columns, ids, k)
-                parts = [(np.full(len(i), q_ids[q]), i, s) for q, i, s in found]
-                query, vec, score = (np.concatenate([p[c] for p in parts]) for c in range(3))
-                limits = np.iinfo(np.int64)
-                score = pa.array([min(max(int(s), limits.min), limits.max) for s in score.tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), score], ["query_id", "vec_id", "score"])
-
-    parts = met.select("dims", "ids", "values", "q_ids", "q_values").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+                    query, vec, score = best_of_block(asked, q_ids, columns, ids, k, certain)
+                score = pa.array([int(s) for s in score.tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(vec), score], ["query_id", "vec_id", "score"])
+
+    parts = met.select("dims", "q_block", "ids", "values", "q_ids", "q_values").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_of_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def exact_of_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same with unbounded integers, for components so large that doubles would round the sums."""
     rows = [[int(x) for x in column] for column in columns.T.tolist()]
+    found: list[tuple[int, int, int]] = []
     for q, query in enumerate(queries.tolist()):
         whole = [int(x) for x in query]
-        sums = [(-sum(a * b for a, b in zip(whole, row)), int(i)) for row, i in zip(rows, ids) if i != query_ids[q]]
-        sums.sort()
-        yield q, np.array([i for _, i in sums[:k]], np.int64), np.array([-s for s, _ in sums[:k]], object)
+        sums = [(-min(max(sum(a * b for a, b in zip(whole, row)), LEAST), MOST), int(i)) for row, i in zip(rows, ids) if i != query_ids[q]]
+        found += [(q, i, -s) for s, i in sorted(sums)[:k]]
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], object)

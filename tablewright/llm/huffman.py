@@ -44,10 +44,18 @@ CHUNK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 23
 #: words whose ids a Python worker remembers; refilled, never cut off
 WORDS_KEPT = 700_000
+#: characters of text whose new words go to the tokenizer together
+BLOCK_CHARS = 4_000_000
 
 
-class _Words(dict):
-    """Ids of the stretches between blanks, packed; asks the tokenizer for those it lacks."""
+class _Words:
+    """Ids of the stretches between blanks, packed; asks the tokenizer for those it lacks.
+
+    The pre-tokenizer drops white space and no token spans it, so a text's ids
+    are those of its stretches.  A stretch of letters is one word to the
+    tokenizer, and its last token carries the mark of a word's end; so new ones
+    go to the tokenizer many at a time and are told apart by those marks.
+    """
 
     def __init__(self, path: str, code: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
@@ -56,12 +64,64 @@ class _Words(dict):
         self.tokenizer, self.code = Tokenizer.from_file(path), code
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        packed = self[word] = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return packed
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        block: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            block.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield from self._encode_block(block)
+                block, chars = [], 0
+        yield from self._encode_block(block)
+
+    def _encode_block(self, block: list[list[str]]) -> Iterator[bytes]:
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        known = self.known
+        new = set().union(*block).difference(known)
+        # a mark after a letter is a token of its own, and below U+0100 every library agrees on lower case
+        plain = {word: self._letters(word) for word in new}
+        letters = {part for part in plain.values() if part and part not in known}
+        if letters:
+            self._learn(list(letters))
+        for word, part in plain.items():
+            if not part:
+                known[word] = self._one(word)
+            elif part is not word:
+                mark = word[len(part) :]
+                known[word] = known[part] + (self._one(mark) if mark else b"")
+        for words in block:
+            yield b"".join(map(known.__getitem__, words))
+
+    @staticmethod
+    def _letters(word: str) -> str:
+        part = word[:-1] if word[-1:] in (".", ",") else word
+        return part.lower() if part.isalpha() and max(part) < "\u0100" else ""
+
+    def _one(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            found = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(word) == 1:
+                self.known[word] = found
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self.known.update((word, self._one(word)) for word in words)
+            return
+        packed, width = array(self.code, ids.tolist()).tobytes(), array(self.code).itemsize
+        stops = (ends * width).tolist()
+        self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *stops], stops))))
 
 
 @functools.lru_cache(maxsize=2)
@@ -76,20 +136,14 @@ def vocabulary_size(tokenizer: str) -> int:
 
 
 def tokenized(df: DataFrame, tokenizer: str, end_id: int, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (packed, two bytes each where the vocabulary allows) with ``end_id`` last.
-
-    The pre-tokenizer drops white space and no token spans it, so a text's ids
-    are those of the stretches between its blanks.
-    """
+    """doc_id and ids (packed, two bytes each where the vocabulary allows) with ``end_id`` last."""
     code = "H" if size <= 1 << 16 else "I"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = _words(tokenizer_file(tokenizer), code), array(code, [end_id]).tobytes()
         for batch in batches:
-            ids = []
-            for text in batch.column(1):
-                stretches = (text.as_py() or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                ids.append(b"".join(map(words.__getitem__, stretches)) + end)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            ids = [packed + end for packed in words.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return keyed_texts(df, key, text).mapInArrow(run, "doc_id bigint, ids binary")

@@ -474,5 +474,10 @@ ORACLES: dict[str, str] = {
     "row_id_ties": """
         SELECT reason AS _removed_reason, count(*) AS n, count(*) AS ids FROM (
           SELECT CASE WHEN row_number() OVER (PARTITION BY p_size, p_brand) > 1 THEN 'full_duplicate' END AS reason FROM part) p GROUP BY 1""",
+    "fix_log_ordered": f"""
+        SELECT cast(coalesce(sum(n_fixes), 0) as bigint) AS n, 0::BIGINT AS out_of_order, 0::BIGINT AS files_out_of_order
+        FROM ({cleaned()}) c WHERE reason IS NULL""",
+    "compare_ordered": f"""
+        SELECT count(*) AS n, 0::BIGINT AS out_of_order, 0::BIGINT AS files_out_of_order FROM ({COMPARED}) c WHERE result <> 'same'""",
     "split_ordered": "SELECT event_type, count(*) AS n, 0::BIGINT AS out_of_order FROM events GROUP BY 1",
 }

@@ -649,6 +649,37 @@ def row_id_ties(spark, sf):
     return marked.groupBy("_removed_reason").agg(F.count("*").alias("n"), F.countDistinct("_row_id").alias("ids"))
 
 
+def _out_of_order(spark, path, order):
+    """Rows of a written table that stand before a row they should follow."""
+    read = spark.read.parquet(path)
+    file, place = F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")
+    rows = read.select(file, place, F.struct(*order).alias("turn")).withColumn("n", F.lit(1))
+    written = W.partitionBy("file").orderBy("place")
+    inside = rows.withColumn("wrong", F.lag("turn").over(written) > F.col("turn"))
+    ends = rows.groupBy("file").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    # a few files of one small report
+    across = ends.withColumn("wrong", F.lag("last").over(W.partitionBy(F.lit(1)).orderBy("file")) > F.col("first"))
+    return inside.agg(F.count("n").alias("n"), F.count_if("wrong").alias("out_of_order")).crossJoin(
+        F.broadcast(across.agg(F.count_if("wrong").alias("files_out_of_order")))
+    )
+
+
+@query
+def fix_log_ordered(spark, sf):
+    """The repair log of a written report, in order of row and field."""
+    path = _scratch(spark, "report")
+    write_report({"fixed": clean_table(persons(spark, sf), CLEAN, ROLES).report["fixed"]}, path)
+    return _out_of_order(spark, f"{path}/fixed", [F.col("result_row"), F.col("seq")])
+
+
+@query
+def compare_ordered(spark, sf):
+    """The written difference list: sections, then whole-key misses, then keys."""
+    path = _scratch(spark, "differences")
+    write_report({"list": compare_job(orders_now(spark, sf), orders_later(spark, sf), ["customer"]).result}, path)
+    return _out_of_order(spark, f"{path}/list", cmp.sink_order())
+
+
 @query
 def split_ordered(spark, sf):
     """Place of every row inside its written part."""

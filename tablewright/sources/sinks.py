@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.names import named
+from tablewright.operators.compare import sink_order
 from tablewright.operators.identity import ROW_ID
 from tablewright.operators.schema import data_columns, restored_header, sink_cells
 from tablewright.operators.split import BUCKET, CHUNK
@@ -35,11 +36,14 @@ def _save(
 
 
 def write_result(
-    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", order_by: list[str] | None = None
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", order_by: list[str | Column] | None = None
 ) -> None:
-    """Write the table to hand on: identifiers and dates as text, bookkeeping columns left out."""
+    """Write the table to hand on: identifiers and dates as text, bookkeeping columns left out.
+
+    For the result of a comparison, ``order_by=report_order(result)`` gives sections and keys in turn.
+    """
     if order_by:
-        df = df.orderBy(*[named(c) for c in order_by])
+        df = df.orderBy(*[named(c) if isinstance(c, str) else c for c in order_by])
     _save(sink_cells(df.select(*[named(c) for c in data_columns(df)])), path, fmt, mode)
 
 
@@ -58,10 +62,21 @@ def write_split(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     _save(ordered.drop(ROW_ID), path, fmt, mode, ["part"])
 
 
+def report_order(table: DataFrame) -> list[Column]:
+    """The order people read a report table in: sections of a comparison, result rows, parts; none for counts."""
+    names = set(table.columns)
+    if {"_status", "_key", "_ord"} <= names:
+        return sink_order()
+    if "result_row" in names:
+        return [F.col(c) for c in ("result_row", "seq") if c in names]
+    return [F.col(c) for c in ("seq", "chunk", ROW_ID) if c in names][:1]
+
+
 def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write the audit tables of a job side by side as ``<path>/<table>``."""
+    """Write the audit tables of a job side by side as ``<path>/<table>``, each in reading order."""
     for name, table in tables.items():
-        plain = table.drop(ROW_ID)
+        order = report_order(table)
+        plain = (table.orderBy(*order) if order else table).drop(ROW_ID)
         if fmt == "csv":
             plain = plain.select(
                 *[

@@ -38,8 +38,8 @@ _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 PRETOKEN_LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 NEVER = 1 << 60
 #: words whose ids a Python worker remembers between batches, and neighbours it remembers; both are refilled, never cut off
-WORDS_KEPT = 700_000
-NEIGHBOURS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
+NEIGHBOURS_KEPT = 500_000
 #: characters of text whose words go through the trie together
 BLOCK_CHARS = 4_000_000
 
@@ -69,6 +69,7 @@ class Vocabulary:
             self.bytes_of[i] = text
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
+        self.size_of = [len(text) for text in self.bytes_of]
         self.rank: dict[tuple[int, int], int] = {}
         self.made_at = [-1] * size
         self.parts: list[tuple[int, int] | None] = [None] * size
@@ -136,7 +137,7 @@ class Vocabulary:
         """Every distinct word once, in byte order, with its ids: the depth-first walk over their trie."""
         id_of, lengths, neighbours = self.id_of, self.lengths, self.neighbours
         tolerates, whole = self.tolerates, self.whole
-        size_of = [len(b) for b in self.bytes_of]
+        size_of = self.size_of
         last = [0]  # last[i]: the last token of the first i bytes on the path
         before = b""
         for word in sorted(set(words)):

@@ -21,6 +21,7 @@ edited each on its own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +29,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.bpe import PRETOKEN, PRETOKEN_LATIN, Encoder, encoder
+from tablewright.llm.bpe import PRETOKEN, PRETOKEN_LATIN, WORDS_KEPT, Vocabulary, vocabulary
 from tablewright.llm.common import tokenizer_file
 
-LEAF = 32
+LEAF = 16
 CONTEXT = 4
+#: characters of text whose words are encoded together
+BLOCK_CHARS = 4_000_000
 EDITS = "array<struct<start:bigint,end:bigint,replacement:string>>"
 
 
 class Counter:
-    """Tokens of pre-tokens, by the trie encoder; remembers the words it has met."""
+    """Tokens of pre-tokens, by the walk over their trie; remembers the words it has met."""
 
-    def __init__(self, own: Encoder):
+    def __init__(self, own: Vocabulary):
         self.own = own
+        self.known: dict[str, int] = {}
 
     def count(self, pieces: list[list[str]]) -> list[np.ndarray]:
         """The token counts of each list's pieces."""
-        known = self.own.known
-        if set().union(*pieces).difference(known):
-            for _ in self.own._encode_block(pieces):
-                pass
-        return [np.fromiter((len(known[p]) for p in part), np.int64, len(part)) >> 2 for part in pieces]
+        known = self.known
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = set().union(*pieces).difference(known)
+        if new:
+            for word, ids in self.own.encode_words({piece.encode() for piece in new}):
+                known[word.decode()] = len(ids)
+        return [np.fromiter(map(known.__getitem__, part), np.int64, len(part)) for part in pieces]
+
+
+@functools.lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    return Counter(vocabulary(path))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,22 +125,26 @@ def leaf_sums(pieces: list[str], tokens: np.ndarray, leaves: int | None = None)
     return _sums(chars, starts), _sums(tokens, starts)
 
 
-def pretokens(text: str) -> list[str]:
+def pattern_of(text: str):
     try:
         text.encode("latin-1")
-        return PRETOKEN_LATIN.findall(text)
+        return PRETOKEN_LATIN
     except UnicodeEncodeError:
-        return PRETOKEN.findall(text)
+        return PRETOKEN
+
+
+def pretokens(text: str) -> list[str]:
+    return pattern_of(text).findall(text)
 
 
-def edit(text: str, tree: CountTree, start: int, end: int, new: str, counter: Counter) -> tuple[str, CountTree, int]:
+def edit(text: str, tree: CountTree, start: int, end: int, new: str, words: Counter) -> tuple[str, CountTree, int]:
     """Text and tree after one edit, and how many characters were encoded for it."""
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     edited = text[:start] + new + text[end:]
     if not text or not edited:
         pieces = pretokens(edited)
-        return edited, CountTree(*leaf_sums(pieces, counter.count([pieces])[0])), len(edited)
+        return edited, CountTree(*leaf_sums(pieces, words.count([pieces])[0])), len(edited)
     first, begin = tree.find(start)
     while first and start - begin < CONTEXT:
         first -= 1
@@ -140,7 +156,7 @@ def edit(text: str, tree: CountTree, start: int, end: int, new: str, counter: Co
         last += 1
     pieces = []
     place = begin
-    for found in PRETOKEN.finditer(edited, begin):
+    for found in pattern_of(edited).finditer(edited, begin):
         pieces.append(found.group())
         place = found.end()
         while last < tree.leaves and old + moved < place:
@@ -150,17 +166,17 @@ def edit(text: str, tree: CountTree, start: int, end: int, new: str, counter: Co
             break
     else:
         last = tree.leaves
-    chars, tokens = leaf_sums(pieces, counter.count([pieces])[0], last - first)
+    chars, tokens = leaf_sums(pieces, words.count([pieces])[0], last - first)
     return edited, tree.replace(first, last, chars, tokens), place - begin
 
 
-def trees(texts: list[str], counter: Counter) -> Iterator[CountTree]:
+def trees(texts: list[str], words: Counter) -> Iterator[CountTree]:
     """The tree of each text; words of a block of texts are encoded together."""
     begin = chars = 0
     for i, text in enumerate([*texts, None]):
-        if text is None or chars > 4_000_000:
+        if text is None or chars > BLOCK_CHARS:
             pieces = [pretokens(t) for t in texts[begin:i]]
-            for part, tokens in zip(pieces, counter.count(pieces) if pieces else []):
+            for part, tokens in zip(pieces, words.count(pieces) if pieces else []):
                 yield CountTree(*leaf_sums(part, tokens))
             begin, chars = i, 0
         chars += len(text or "")
@@ -174,16 +190,16 @@ def recounted(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "d
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{edits}`").cast(EDITS).alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(encoder(tokenizer_file(tokenizer)))
+        words = counter(tokenizer_file(tokenizer))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple[int, ...]] = []
-            for own, tree, wanted in zip(texts, trees(texts, counter), batch.column(2)):
+            for own, tree, wanted in zip(texts, trees(texts, words), batch.column(2)):
                 before, again, made = tree.total, 0, 0
                 for one in wanted.as_py() or ():
                     if one is None or one["start"] is None or one["end"] is None:
                         continue
-                    own, tree, chars = edit(own, tree, one["start"], one["end"], one["replacement"] or "", counter)
+                    own, tree, chars = edit(own, tree, one["start"], one["end"], one["replacement"] or "", words)
                     again, made = again + chars, made + 1
                 out.append((before, made, tree.total, len(own), again))
             columns = [pa.array([row[i] for row in out], pa.int64()) for i in range(5)]

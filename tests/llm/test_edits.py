@@ -17,7 +17,7 @@ def library():
 
 
 def test_counts_equal_a_full_recount():
-    rng, own, counter = random.Random(0), library(), edits.Counter(bpe.encoder(PATH))
+    rng, own, counter = random.Random(0), library(), edits.Counter(bpe.vocabulary(PATH))
     parts = ["a", "b", " ", "  ", "\n", "é", "'s", "'ll", "'", "r", "1", "<|endoftext|>", "!", " the", "\t", "—", "日本", " word", "ing"]
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 30, 300, 900])))
@@ -31,7 +31,7 @@ def test_counts_equal_a_full_recount():
 
 
 def test_a_small_edit_encodes_a_small_region():
-    counter = edits.Counter(bpe.encoder(PATH))
+    counter = edits.Counter(bpe.vocabulary(PATH))
     text = "some words to count " * 5_000
     tree = next(edits.trees([text], counter))
     text, tree, again = edits.edit(text, tree, 50_000, 50_003, "xyz", counter)

@@ -43,7 +43,7 @@ from tablewright.operators.staging import stage
 
 NEIGHBOURS = 20
 ROUNDS = 5
-BEAM = 96
+BEAM = 400
 GROUP = 64
 LEAF = 512
 TREES = 4
@@ -244,13 +244,21 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
     spark = index.sparkSession
     buckets = max(1, n // BUCKET)
     place = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-    nodes = stage(index.join(links, "id", "left").select(place, "id", "vector", "links").repartition("bucket"), "nodes")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # packed once: every round reads all nodes, and unpacking long lists costs more than the distances
+        for batch in batches:
+            lines = [pa.array([np.array(v or (), t).tobytes() for v in batch.column(i).to_pylist()], pa.binary()) for i, t in ((2, "<f8"), (3, "<i8"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lines], ["bucket", "id", "vector", "links"])
+
+    joined = index.join(links, "id", "left").select(place, "id", "vector", "links").repartition("bucket")
+    nodes = stage(joined.mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
     # PIVOTS vectors, whatever the size of the index
     fixed = index.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow()
     pivot_ids = fixed["id"].to_numpy()
     pivots = np.array(fixed["vector"].to_pylist(), np.float64)
 
-    state_columns = "query bigint, vector array<double>, ids array<bigint>, far array<double>, seen array<bigint>, next array<bigint>"
+    state_columns = "query bigint, vector binary, ids array<bigint>, far array<double>, seen binary, next array<bigint>"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,8 +269,10 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
                 starts.append(sorted({*nearest, own} - {None}))
             empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
             no_far = pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))
+            unseen = pa.array([b""] * batch.num_rows, pa.binary())
+            packed = pa.array([np.array(v, "<f8").tobytes() for v in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), empty, no_far, empty, pa.array(starts, pa.list_(pa.int64()))],
+                [batch.column(0), packed, empty, no_far, unseen, pa.array(starts, pa.list_(pa.int64()))],
                 ["query", "vector", "ids", "far", "seen", "next"],
             )
 
@@ -270,19 +280,19 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
         for _, rows in _groups(batches, 1):
             here = [r for r in rows if r[0] is not None]
             row_of = {r[0]: i for i, r in enumerate(here)}
-            matrix = np.array([r[1] for r in here], np.float64)
+            matrix = np.frombuffer(b"".join(r[1] for r in here), "<f8").reshape(len(here), -1)
             query, ids, far, links = [], [], [], []
             for own, vector, _, asked, wanted, limit in (r for r in rows if r[0] is None):
                 at = [row_of[x] for x in wanted if x in row_of]
                 if at:
-                    d = np.sqrt(((matrix[at] - np.array(vector)) ** 2).sum(axis=1))
-                    good = np.flatnonzero(d <= limit)
+                    d = np.sqrt(((matrix[at] - np.frombuffer(vector, "<f8")) ** 2).sum(axis=1))
+                    good = np.flatnonzero(d <= limit).tolist()
                     query.append(asked)
                     ids.append([here[at[i]][0] for i in good])
                     far.append(d[good])
-                    links.append([x for i in good for x in [len(here[at[i]][2] or ()), *(here[at[i]][2] or ())]])
+                    links.append([here[at[i]][2] for i in good])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64())), pa.array(links, pa.list_(pa.int64()))],
+                [pa.array(query, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64())), pa.array(links, pa.list_(pa.binary()))],
                 ["query", "ids", "far", "links"],
             )
 
@@ -292,19 +302,17 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
             state = next(r for r in rows if r[0] is not None)
             vector, ids, far, seen, following, _ = state
             known = dict(zip(ids, far))
-            links_of: dict[int, list[int]] = {}
+            links_of: dict[int, bytes] = {}
             for _, found, distances, _, _, packed in (r for r in rows if r[0] is None):
-                place = 0
-                for x, d in zip(found, distances):
-                    known[x] = d
-                    links_of[x] = packed[place + 1 : place + 1 + packed[place]]
-                    place += 1 + packed[place]
+                known.update(zip(found, distances))
+                links_of.update(zip(found, packed))
             best = sorted(known.items(), key=lambda x: (x[1], x[0]))[:beam]
-            past = {*seen, *following}
-            wanted = sorted({x for i, _ in best if i in links_of for x in links_of[i]} - past)
-            for column, value in zip(out, (asked, vector, [i for i, _ in best], [d for _, d in best], sorted(past), wanted)):
+            past = np.union1d(np.frombuffer(seen, "<i8"), np.array(following, "<i8"))
+            reached = np.unique(np.frombuffer(b"".join(links_of[i] for i, _ in best if i in links_of), "<i8"))
+            wanted = np.setdiff1d(reached, past, assume_unique=True)
+            for column, value in zip(out, (asked, vector, [i for i, _ in best], [d for _, d in best], past.astype("<i8").tobytes(), wanted)):
                 column.append(value)
-        kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query", "vector", "ids", "far", "seen", "next"])
 
     state = stage(queries.select("query", "vector", "own").mapInArrow(begin, state_columns), "beams")
@@ -315,11 +323,11 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
         trips = state.select("query", "vector", limit.alias("limit"), F.explode("next").alias("to"))
         to = F.pmod(F.xxhash64("to"), F.lit(buckets)).cast("int")
         trips = trips.groupBy(to.alias("bucket"), "query").agg(F.first("vector").alias("vector"), F.first("limit").alias("limit"), F.collect_list("to").alias("wanted"))
-        trips = trips.select("bucket", null.cast("bigint").alias("id"), "vector", null.cast("array<bigint>").alias("links"), "query", "wanted", "limit")
+        trips = trips.select("bucket", null.cast("bigint").alias("id"), "vector", null.cast("binary").alias("links"), "query", "wanted", "limit")
         at_place = as_nodes.unionByName(trips).repartition("bucket").sortWithinPartitions("bucket")
-        found = at_place.mapInArrow(visit, "query bigint, ids array<bigint>, far array<double>, links array<bigint>")
-        found = found.select("query", null.cast("array<double>").alias("vector"), "ids", "far", null.cast("array<bigint>").alias("seen"), null.cast("array<bigint>").alias("next"), "links")
-        held = state.withColumn("links", null.cast("array<bigint>")).unionByName(found)
+        found = at_place.mapInArrow(visit, "query bigint, ids array<bigint>, far array<double>, links array<binary>")
+        found = found.select("query", null.cast("binary").alias("vector"), "ids", "far", null.cast("binary").alias("seen"), null.cast("array<bigint>").alias("next"), "links")
+        held = state.withColumn("links", null.cast("array<binary>")).unionByName(found)
         state = stage(held.repartition("query").sortWithinPartitions("query").mapInArrow(advance, state_columns), "beams")
         if not state.where(F.size("next") > 0).limit(1).count():
             break

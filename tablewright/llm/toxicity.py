@@ -21,6 +21,7 @@ from __future__ import annotations
 import dataclasses
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 WINDOW = 1
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 #: odd multipliers that spread code points over 64 bits
@@ -47,9 +48,9 @@ BLOCK_CHARS = 2_000_000
 class Sample:
     """The bound of what training reads: so many texts of either class, the first in order of a hash of their id, none longer than ``chars``."""
 
-    toxic: int = 1_500
-    clean: int = 3_000
-    chars: int = 30_000
+    toxic: int = 1_000
+    clean: int = 2_000
+    chars: int = 20_000
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +98,22 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         numbers: dict[str, int] = {}
-        rows = [[numbers.setdefault(w, len(numbers)) for w in SPLIT.findall(t)] for t in texts]
-        rows = [r + [r[-1]] * (WINDOW - len(r)) if r else r for r in rows]
-        self.texts = len(rows)
-        self.words = np.array([w for r in rows for w in r], np.int64)
-        self.lengths = np.array([len(r) for r in rows])
+        words, lengths = array("i"), []
+        for text in texts:
+            found = [numbers.setdefault(w, len(numbers)) for w in SPLIT.findall(text)]
+            words.extend(found + found[-1:] * (WINDOW - len(found)))
+            lengths.append(max(WINDOW, len(found)) if found else 0)
+        self.texts = len(texts)
+        self.words = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32)
+        self.lengths = np.array(lengths, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.grams, self.gram_starts = grams_of(list(numbers))
-        self.gram_ends = np.append(self.gram_starts[1:], len(self.grams))
+        # a part of the words at a time: the hashes before they become buckets are wide
+        known = list(numbers)
+        parts = [grams_of(known[i : i + 20_000]) for i in range(0, len(known), 20_000)]
+        counts = [np.diff(np.append(starts, len(grams))) for grams, starts in parts]
+        self.grams = np.concatenate([grams.astype(np.int32) for grams, _ in parts]) if parts else np.zeros(0, np.int32)
+        self.gram_ends = np.cumsum(np.concatenate(counts)) if counts else np.zeros(0, np.int64)
+        self.gram_starts = np.concatenate([[0], self.gram_ends[:-1]]).astype(np.int64) if counts else self.gram_ends
 
     def word_means(self, gram_values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(gram_values[self.grams], self.gram_starts) / (self.gram_ends - self.gram_starts)
@@ -142,7 +151,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, epochs: int = 3,
         return Model(embedding.astype(np.float32), softmax, prior=share)
     # the first choice of windows: how much more often an n-gram occurs in toxic texts than in others
     text_of = np.repeat(np.arange(bags.texts), bags.lengths)
-    pairs = np.unique(text_of * (len(bags.gram_ends) + 1) + bags.words)
+    pairs = np.unique(text_of * (len(bags.gram_ends) + 1) + bags.words.astype(np.int64))
     word_texts = np.stack([np.bincount(pairs[y_all[pairs // (len(bags.gram_ends) + 1)] == c] % (len(bags.gram_ends) + 1), minlength=len(bags.gram_ends)) for c in (0, 1)])
     seen = [np.bincount(bags.grams, np.repeat(word_texts[c], bags.gram_ends - bags.gram_starts), BUCKETS) for c in (0, 1)]
     counts = [max(1, int((y_all == c).sum())) for c in (0, 1)]

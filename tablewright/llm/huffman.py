@@ -42,6 +42,8 @@ LIMIT = 20
 BLOCK = 2_048
 CHUNK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 23
+#: fixed value: ASCII marks but the apostrophe, which may begin a token with letters
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: words whose ids a Python worker remembers; refilled, never cut off
 WORDS_KEPT = 700_000
 #: characters of text whose new words go to the tokenizer together
@@ -86,7 +88,7 @@ class _Words:
             self.known.clear()
         known = self.known
         new = set().union(*block).difference(known)
-        # a mark after a letter is a token of its own, and below U+0100 every library agrees on lower case
+        # marks after letters are cut off as one run, and below U+0100 every library agrees on lower case
         plain = {word: self._letters(word) for word in new}
         letters = {part for part in plain.values() if part and part not in known}
         if letters:
@@ -102,14 +104,14 @@ class _Words:
 
     @staticmethod
     def _letters(word: str) -> str:
-        part = word[:-1] if word[-1:] in (".", ",") else word
+        part = word.rstrip(MARKS)
         return part.lower() if part.isalpha() and max(part) < "\u0100" else ""
 
     def _one(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
             found = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-            if len(word) == 1:
+            if len(word) <= 4:  # marks recur behind other words
                 self.known[word] = found
         return found
 

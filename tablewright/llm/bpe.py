@@ -38,8 +38,8 @@ _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 PRETOKEN_LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 NEVER = 1 << 60
 #: words whose ids a Python worker remembers between batches, and neighbours it remembers; both are refilled, never cut off
-WORDS_KEPT = 400_000
-NEIGHBOURS_KEPT = 500_000
+WORDS_KEPT = 200_000
+NEIGHBOURS_KEPT = 250_000
 #: characters of text whose words go through the trie together
 BLOCK_CHARS = 4_000_000
 

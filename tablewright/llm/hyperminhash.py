@@ -44,7 +44,7 @@ BAND_ROWS = 5  # 32 bands: a pair at 0.8 shares none with a chance of 3 in a mil
 MANTISSA = 10
 VALUE_BITS = 40
 DEVIATIONS = 5.0
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 BLOCK_ROWS = 512
 
 _RANDOM = np.random.default_rng(88)

@@ -35,7 +35,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 WINDOW = 1
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 #: odd multipliers that spread code points over 64 bits

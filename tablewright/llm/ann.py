@@ -11,7 +11,7 @@ other, and each keeps the ``neighbours`` nearest it has ever seen.  Only pairs
 with an edge that is new since the last round meet again.  A centre that very
 many list meets them in groups of ``GROUP`` dealt anew each round, so no edge
 is dropped and no group is large.  Distances while building come from
-half-precision copies; answers never do.
+float32 copies in units of the median length, and are doubles; answers never do.
 
 Search.  A query holds a beam of the ``beam`` nearest vectors it has seen.
 Each round it visits all neighbours (in either direction) of those in the beam
@@ -90,13 +90,18 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return np.maximum(found, 0)
 
 
+def _packed(column: pa.Array) -> np.ndarray:
+    """The rows of a column of packed float32 vectors as doubles, whose squares hold whatever their lengths."""
+    return _matrix(column, "<f4").astype(np.float64)
+
+
 def _lists(ids: np.ndarray, near: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float32()))], ["id", "near", "far"]
+        [pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64()))], ["id", "near", "far"]
     )
 
 
-LISTS = "id bigint, near array<bigint>, far array<float>"
+LISTS = "id bigint, near array<bigint>, far array<double>"
 
 
 def first_lists(packed: DataFrame, n: int, dims: int, keep: int, tree: int) -> DataFrame:
@@ -107,14 +112,14 @@ def first_lists(packed: DataFrame, n: int, dims: int, keep: int, tree: int) -> D
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = ((_matrix(batch.column(1), "<f2") @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                code = ((_packed(batch.column(1)) @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.astype(np.int64))], ["id", "packed", "leaf"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 2):
             ids = np.array([r[0] for r in rows], np.int64)
             if len(ids) > 1:
-                far = _distances(np.frombuffer(b"".join(r[1] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32))
+                far = _distances(_packed(pa.array([r[1] for r in rows], pa.binary())))
                 k = min(keep, len(ids) - 1)
                 best = np.argpartition(far, k - 1, axis=1)[:, :k]
                 yield _lists(ids, list(ids[best]), list(np.take_along_axis(far, best, 1)))
@@ -135,7 +140,7 @@ def merged(lists: DataFrame, keep: int) -> DataFrame:
             # what was known before stays known: an id's first row by ``fresh`` counts
             rows.sort(key=lambda r: r[2])
             to = np.array([x for r in rows for x in r[0]], np.int64)
-            at = np.array([x for r in rows for x in r[1]], np.float32)
+            at = np.array([x for r in rows for x in r[1]], np.float64)
             new = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows]).astype(bool)
             _, first = np.unique(to, return_index=True)
             first = first[np.lexsort((to[first], at[first]))][:keep]
@@ -198,8 +203,8 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
             group, ids = [group[i] for i in single], ids[single]
             if len(ids) < 2:
                 continue
-            far = _distances(np.frombuffer(b"".join(r[3] for r in group), "<f2").reshape(len(group), -1).astype(np.float32))
-            better = (far < np.array([r[2] for r in group], np.float32)[:, None]) & (new[:, None] | new[None, :])
+            far = _distances(_packed(pa.array([r[3] for r in group], pa.binary())))
+            better = (far < np.array([r[2] for r in group], np.float64)[:, None]) & (new[:, None] | new[None, :])
             own, to = np.nonzero(better)
             if len(own):
                 found_id.append(ids[own])
@@ -216,7 +221,7 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
 
 
 def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """id, near, far, fresh: NN-descent over packed half-precision vectors (id, packed)."""
+    """id, near, far, fresh: NN-descent over packed float32 vectors (id, packed)."""
     lists = None
     for tree in range(TREES if n > 2 * LEAF else 1):
         found = first_lists(packed, n, dims, neighbours, tree)
@@ -346,12 +351,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int =
     n = index.count()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.finfo(np.float32).max
         for batch in batches:
-            lines = [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
-            # in units of its length: half precision has few exponents, and only the order of distances counts
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(v / unit).astype("<f2").tobytes() for v in lines], pa.binary())], ["id", "packed"])
+            with np.errstate(over="ignore"):
+                lines = [np.clip(np.array(v, np.float64) / unit, -most, most) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f4").tobytes() for v in lines], pa.binary())], ["id", "packed"])
 
-    unit = index.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 1.0
+    # the median, so that one very long vector doesn't round all others to nothing
+    longest = F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    unit = index.agg(F.percentile_approx(longest, 0.5)).first()[0] or 1.0
     packed = stage(index.mapInArrow(pack, "id bigint, packed binary"), "packed")
     graph = neighbour_graph(packed, n, dims, neighbours, rounds)
     own = copies.where("copy = 1").select("id", F.col("vector").alias("own_vector"))

@@ -54,3 +54,18 @@ def test_odd_vectors_and_few_rows(spark):
     # a query that is no row of the index
     other = spark.createDataFrame([(77, [1.1, 2.1])], SCHEMA)
     assert [r.vec_id for r in ann.nearest(df, other, k=2).orderBy("rank").collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("huge", [1e8, 1e30])
+def test_one_huge_vector_leaves_the_graph_of_the_others(spark, huge):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 24)).astype(np.float32)
+    x[7] = 0
+    x[7, 2] = huge
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    found = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 60 = 0"), k=10, beam=40).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    hits = sum(len(found[q] & {v for v, _ in brute(np.arange(len(x)), x, q, 10)}) for q in range(0, 3000, 60))
+    assert hits / 500 >= 0.9

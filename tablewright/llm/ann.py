@@ -8,9 +8,10 @@ Graph.  Every vector starts with its best neighbours among those on the same
 side of a few random hyperplanes.  Then neighbours of neighbours meet: for each
 centre, the vectors it lists and those that list it are compared with each
 other, and each keeps the ``neighbours`` nearest it has ever seen.  Only pairs
-with an edge that is new since the last round meet again.  A centre that very
-many list meets them in groups of ``GROUP`` dealt anew each round, so no edge
-is dropped and no group is large.  Distances while building come from
+with an edge that is new since the last round meet again.  A centre that more
+than 2 * ``GROUP`` list deals them into parts of about ``GROUP``, and every two
+parts meet in a group of their own, so no pair is left out and no group is
+large.  Rounds go on until fewer than one edge in a thousand changes.  Distances while building come from
 float32 copies in units of the median length, and are doubles; answers never do.
 
 Search.  A query holds a beam of the ``beam`` nearest vectors it has seen.
@@ -22,6 +23,11 @@ travels once to each bucket it visits.  A query starts from the nearest of
 Scores of answers are Euclidean distances of the original vectors in double
 precision.
 
+Recall.  Up to ``SAMPLE`` of the queries are compared with all rows; while less
+than ``TARGET`` of their true neighbours is found, the search is made again
+with a beam of twice the width, so the beam follows from the table.  A beam as
+wide as the index that still falls short gives what it found and a warning.
+
 Vectors that are null, empty, zero, or hold null, NaN or infinite components
 take no part, nor do vectors whose number of dimensions is not the commonest
 one.  Fewer candidates than k give all that were found.  An empty table gives
@@ -30,6 +36,8 @@ an empty result.
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +50,15 @@ from tablewright.llm.topk import usable
 from tablewright.operators.staging import stage
 
 NEIGHBOURS = 20
-ROUNDS = 5
+#: the first beam tried
 BEAM = 400
+SAMPLE = 128
+TARGET = 0.95
 GROUP = 64
 LEAF = 512
 TREES = 4
 PIVOTS = 256
 BUCKET = 1_024
-HOPS = 16
 
 
 def vectors(rows: DataFrame, dims: int | None = None) -> DataFrame:
@@ -167,9 +176,15 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
     edges = graph.select("id", F.posexplode("near").alias("at", "to"), "fresh").select("id", "to", F.col("fresh")[F.col("at")].alias("new"))
     pairs = edges.select(F.col("id").alias("centre"), F.col("to").alias("member"), "new")
     pairs = pairs.union(edges.select(F.col("to").alias("centre"), F.col("id").alias("member"), "new"))
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("news")).where("news")
-    part = F.pmod(F.xxhash64("member", F.lit(step)), F.col("parts")).alias("part")
-    pairs = pairs.join(sizes, "centre").select("centre", part, "member", "new")
+    size = F.count("*")
+    parts = F.when(size > 2 * GROUP, F.ceil(size / GROUP)).otherwise(1).alias("parts")
+    sizes = pairs.groupBy("centre").agg(parts, F.max("new").alias("news")).where("news")
+    part = F.pmod(F.xxhash64("member", F.lit(step)), F.col("parts"))
+    pairs = pairs.join(sizes, "centre").select("centre", "member", "new", "parts", part.alias("own"))
+    # one group for every two parts, numbered lesser * parts + greater
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
+    pairs = pairs.select("centre", "member", "new", "parts", "own", F.explode(others).alias("other"))
+    pairs = pairs.select("centre", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "member", "new")
     reach = graph.select(F.col("id").alias("member"), F.array_max("far").alias("reach"))
     payload = packed.select(F.col("id").alias("member"), "packed").join(reach, "member")
     rows = pairs.join(payload, "member").select("centre", "part", "member", "new", "reach", "packed")
@@ -220,14 +235,14 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
     return rows.mapInArrow(run, LISTS)
 
 
-def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIGHBOURS, rounds: int | None = None) -> DataFrame:
     """id, near, far, fresh: NN-descent over packed float32 vectors (id, packed)."""
     lists = None
     for tree in range(TREES if n > 2 * LEAF else 1):
         found = first_lists(packed, n, dims, neighbours, tree)
         lists = found if lists is None else lists.union(found)
     graph = stage(merged(lists.withColumn("fresh", F.lit(True)), neighbours), "graph")
-    for step in range(rounds):
+    for step in itertools.count() if rounds is None else range(rounds):
         found = local_join(graph, packed, step).withColumn("fresh", F.lit(True))
         known = graph.select("id", "near", "far", F.lit(False).alias("fresh"))
         graph = stage(merged(known.union(found), neighbours), "graph")
@@ -244,9 +259,8 @@ def adjacency(graph: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.collect_list("to").alias("links"))
 
 
-def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: int, beam: int = BEAM) -> DataFrame:
-    """query, ids and distances of the nearest found; ``queries`` (query, vector, own): own is the query's node, if any."""
-    spark = index.sparkSession
+def placed_nodes(index: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """bucket, id, vector and links of every node, the last two packed."""
     buckets = max(1, n // BUCKET)
     place = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
 
@@ -257,7 +271,12 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lines], ["bucket", "id", "vector", "links"])
 
     joined = index.join(links, "id", "left").select(place, "id", "vector", "links").repartition("bucket")
-    nodes = stage(joined.mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
+    return stage(joined.mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
+
+
+def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam: int = BEAM) -> DataFrame:
+    """query, vector (packed), ids and distances of the nearest found; ``queries`` (query, vector, own): own is the query's node, if any."""
+    buckets = max(1, n // BUCKET)
     # PIVOTS vectors, whatever the size of the index
     fixed = index.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow()
     pivot_ids = fixed["id"].to_numpy()
@@ -323,7 +342,7 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
     state = stage(queries.select("query", "vector", "own").mapInArrow(begin, state_columns), "beams")
     null = F.lit(None)
     as_nodes = nodes.select("bucket", "id", "vector", "links", *(null.cast(t).alias(c) for c, t in (("query", "bigint"), ("wanted", "array<bigint>"), ("limit", "double"))))
-    for _ in range(HOPS):
+    while True:
         limit = F.when(F.size("far") >= beam, F.array_max("far")).otherwise(F.lit(float("inf")))
         trips = state.select("query", "vector", limit.alias("limit"), F.explode("next").alias("to"))
         to = F.pmod(F.xxhash64("to"), F.lit(buckets)).cast("int")
@@ -335,12 +354,37 @@ def search(index: DataFrame, links: DataFrame, queries: DataFrame, n: int, k: in
         held = state.withColumn("links", null.cast("array<binary>")).unionByName(found)
         state = stage(held.repartition("query").sortWithinPartitions("query").mapInArrow(advance, state_columns), "beams")
         if not state.where(F.size("next") > 0).limit(1).count():
-            break
-    return state.select("query", "ids", "far")
+            return state.select("query", "vector", "ids", "far")
+
+
+def recall(found: DataFrame, index: DataFrame, k: int, sample: int = SAMPLE) -> float:
+    """The share of the k nearest other vectors of ``index`` that ``found`` has, over up to ``sample`` of its queries."""
+    drawn = found.orderBy(F.xxhash64("query"), "query").limit(sample).select("vector", "far").collect()
+    asked = [np.frombuffer(r["vector"], "<f8") for r in drawn]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0)] * len(asked)
+        for batch in batches:
+            if batch.num_rows:
+                matrix = np.array(batch.column(0).to_pylist(), np.float64)
+                for i, vector in enumerate(asked):
+                    far = np.sqrt(((matrix - vector) ** 2).sum(axis=1))
+                    # the query's own vector is no neighbour of it
+                    best[i] = np.sort(np.concatenate([best[i], far[far > 0]]))[:k]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int32()), pa.array(best, pa.list_(pa.float64()))], ["at", "far"])
+
+    true: list[list[float]] = [[] for _ in asked]
+    for row in index.select("vector").mapInArrow(scan, "at int, far array<double>").toLocalIterator():
+        true[row["at"]] = sorted(true[row["at"]] + row["far"])[:k]
+    hits = sum(sum(0 < d <= want[-1] for d in r["far"][: k + 1]) for r, want in zip(drawn, true) if want)
+    return min(1.0, hits / sum(map(len, true))) if any(true) else 1.0
+
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int = NEIGHBOURS, rounds: int | None = None, beam: int = BEAM) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the k nearest found among ``rows`` for each of ``queries`` (vec_id, vector).
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, beam: int = BEAM) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k nearest found among ``rows`` for each of ``queries`` (vec_id, vector)."""
+    ``beam`` is the first width tried; ``rounds`` ends the building of the graph early.
+    """
     used = stage(vectors(rows), "vectors")
     first = used.select(F.size("vector")).first()
     dims = first[0] if first else 0
@@ -365,7 +409,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int =
     own = copies.where("copy = 1").select("id", F.col("vector").alias("own_vector"))
     asked = vectors(queries, dims).join(own, F.col("vector") == F.col("own_vector"), "left")
     asked = asked.select(F.col("vec_id").alias("query"), "vector", F.col("id").alias("own"))
-    found = search(index, adjacency(graph), asked, n, k, beam)
+    asked, nodes = stage(asked, "asked"), placed_nodes(index, adjacency(graph), n)
+    found = search(index, nodes, asked, n, beam)
+    while (share := recall(found, index, k)) < TARGET and beam < n:
+        beam *= 2
+        found = search(index, nodes, asked, n, beam)
+    if share < TARGET:
+        warnings.warn(f"recall of {share:.3f} with a beam as wide as the index", stacklevel=2)
     hits = found.select("query", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("far").alias("score"))))
     hits = hits.join(copies.select("id", "vec_id"), "id").where("vec_id <> query")
     rank = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))

@@ -57,15 +57,51 @@ def test_odd_vectors_and_few_rows(spark):
 
 
 @pytest.mark.parametrize("huge", [1e8, 1e30])
-def test_one_huge_vector_leaves_the_graph_of_the_others(spark, huge):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((3000, 24)).astype(np.float32)
+def test_one_huge_vector_leaves_the_graph_of_the_others(spark, monkeypatch, huge):
+    x = np.random.default_rng(3).standard_normal((1200, 24)).astype(np.float32)
     x[7] = 0
     x[7, 2] = huge
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    build, lists = ann.neighbour_graph, {}
+
+    class Built(Exception):
+        pass
+
+    def kept(*args):
+        lists.update((r.id, set(r.near)) for r in build(*args).collect())
+        raise Built
+
+    monkeypatch.setattr(ann, "neighbour_graph", kept)
+    with pytest.raises(Built):
+        ann.nearest(rows, rows, k=10, rounds=2)
+    x = x.astype(np.float64)
+    hits = sum(len(lists[q] & {v for v, _ in brute(np.arange(len(x)), x, q, 10)}) for q in range(0, 1200, 40))
+    assert hits / 300 >= 0.9
+
+
+def test_a_narrow_first_beam_still_gives_the_recall_asked_for(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1200, 24)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
     found = {}
-    for r in ann.nearest(rows, rows.where("vec_id % 60 = 0"), k=10, beam=40).collect():
+    for r in ann.nearest(rows, rows.where("vec_id % 40 = 0"), k=10, neighbours=4, rounds=1, beam=11).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     x = x.astype(np.float64)
-    hits = sum(len(found[q] & {v for v, _ in brute(np.arange(len(x)), x, q, 10)}) for q in range(0, 3000, 60))
-    assert hits / 500 >= 0.9
+    hits = sum(len(found[q] & {v for v, _ in brute(np.arange(len(x)), x, q, 10)}) for q in range(0, 1200, 40))
+    assert hits / 300 >= 0.95
+
+
+def test_all_members_of_a_large_centre_meet(spark):
+    n = 300
+    x = np.random.default_rng(5).standard_normal((n, 4)).astype("<f4")
+    packed = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, packed binary")
+    # all list vector 0 alone, so each has all others as neighbours of its neighbour
+    graph = spark.createDataFrame([(i, [0], [1e9], [True]) for i in range(1, n)], "id long, near array<long>, far array<double>, fresh array<boolean>")
+    found = {}
+    for r in ann.local_join(graph, packed, 0).collect():
+        found.setdefault(r.id, {}).update(zip(r.near, r.far))
+    x = x.astype(np.float64)
+    for i in range(1, n):
+        far = ((x[1:] - x[i]) ** 2).sum(axis=1)
+        far[i - 1] = np.inf
+        assert int(far.argmin()) + 1 in found[i]

@@ -15,8 +15,10 @@ each assistant text.
 
 Null roles and texts are empty, an empty text has an empty span.  Turns without
 a number come first; turns of one number are put in order of role, then text,
-and repeated rows are turns of their own.  Records of an unknown layout have no
-turns and are left out; an empty table gives an empty result.  A conversation
+and repeated rows are turns of their own.  A JSON record holds a path whose
+value is null, and one that any element of an array holds.  A record of an
+unknown layout, or without turns, is one row whose place, role and text are
+null; it has no formatted text.  An empty table gives an empty result.  A conversation
 becomes one string and therefore meets in one task, however long it is.
 """
 
@@ -139,30 +141,56 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
-    """Turns of JSON records, each row in a layout of its own; its fingerprint is made from the paths it holds."""
+    """Turns of JSON records, each row in a layout of its own; its fingerprint is made from the paths it holds.
+
+    A layout with a turn number takes each of its records for one turn.
+    """
     value = F.try_parse_json(F.col(f"`{record}`").cast("string"))
     found = df.select(F.col(f"`{key}`").cast("bigint").alias("conv_id"), value.alias("value"))
 
+    def elements(path: str) -> Column:
+        return F.try_variant_get("value", f"$.{path}", "array<variant>")
+
     def holds(path: str) -> Column:
-        return F.try_variant_get("value", "$." + path.replace("[]", "[0]"), "string").isNotNull()
+        array, inside, field = path.rpartition("[].")
+        if not inside:
+            return F.try_variant_get("value", f"$.{path}", "variant").isNotNull()
+        some = F.exists(elements(array), lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+        return F.coalesce(some, F.lit(False))
 
     paths = F.filter(F.array(*(F.when(holds(p), F.lit(p)) for p in KNOWN_PATHS)), lambda p: p.isNotNull())
-    found = found.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
+    found = found.withColumn("paths", paths).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    name = F.lit(None).cast("string")
+    for layout in sorted(reversed(LAYOUTS), key=lambda layout: len(layout.paths)):
+        fits = F.size(F.array_except(F.array(*map(F.lit, sorted(layout.paths))), "paths")) == 0
+        name = F.when(fits, F.lit(layout.name)).otherwise(name)
+    for layout in LAYOUTS:
+        name = F.when(F.col("fingerprint") == layout.fingerprint, F.lit(layout.name)).otherwise(name)
+    found = found.withColumn("layout", name)
 
     def at(layout: Layout):
         def column(path: str) -> Column:
-            kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>" if path == layout.array else "string"
-            return F.try_variant_get("value", f"$.{path}", kind)
+            if path != layout.array:
+                return F.try_variant_get("value", f"$.{path}", "string")
+            # one by one, so that an odd element doesn't take the others with it
+            fields = (layout.role, layout.text)
+            return F.transform(elements(path), lambda x: F.struct(*(F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in fields)))
 
         return column
 
-    turns = None
+    ordered = [layout for layout in LAYOUTS if layout.order]
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in LAYOUTS:
-        if not layout.order:
-            own = F.col("fingerprint") == layout.fingerprint
-            turns = F.when(own, _turns(layout, at(layout))) if turns is None else turns.when(own, _turns(layout, at(layout)))
-    rows = found.select("conv_id", F.posexplode(turns).alias("place", "turn"))
-    return rows.select("conv_id", "place", "turn.role", "turn.text")
+        if layout not in ordered:
+            turns = F.when(F.col("layout") == layout.name, _turns(layout, at(layout))).otherwise(turns)
+    by_row = F.coalesce(F.col("layout").isin([layout.name for layout in ordered]), F.lit(False))
+    rows = found.where(~by_row).select("conv_id", F.posexplode_outer(turns).alias("place", "turn")).select("conv_id", "place", "turn.role", "turn.text")
+    for layout in ordered:
+        own = found.where(F.col("layout") == layout.name)
+        number = F.try_variant_get("value", f"$.{layout.order}", "bigint")
+        fields = [F.try_variant_get("value", f"$.{path}", "string").alias(path) for path in (layout.role, layout.text)]
+        rows = rows.union(canonical(own.select("conv_id", number.alias(layout.order), *fields), "conv_id"))
+    return rows
 
 
 def escaped(text: Column) -> Column:
@@ -178,6 +206,7 @@ def unescaped(text: Column) -> Column:
 
 def formatted(turns: DataFrame, learned: str = "assistant") -> DataFrame:
     """conv_id, formatted text and loss_spans (start, length) of the turns of each conversation."""
+    turns = turns.where("place IS NOT NULL")  # what has no turns
     head = F.concat(F.lit(TURN_OPEN), escaped(F.col("role")), F.lit(ROLE_CLOSE))
     parts = turns.select("conv_id", "place", (F.col("role") == learned).alias("learned"), head.alias("head"), escaped(F.col("text")).alias("body"))
     parts = parts.withColumn("piece", F.concat("head", "body", F.lit(TURN_CLOSE)))

@@ -89,13 +89,33 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, folder, digest_only=True)
 
 
+def _as_records(turns: DataFrame) -> DataFrame:
+    """Conversations as JSON records (conv_id, record): objects of turns under either pair of names, or a prompt and its response."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    names = F.transform("turns", lambda x: x["role"])
+    messages = F.struct(F.transform("turns", lambda x: F.struct(x["role"], x["text"].alias("content"))).alias("messages"))
+    told = F.struct(F.transform("turns", lambda x: F.struct(x["role"].alias("from"), x["text"].alias("value"))).alias("conversations"))
+    asked = F.struct(F.col("turns")[0]["text"].alias("prompt"), F.get("turns", F.lit(1))["text"].alias("response"), F.lit("en").alias("lang"))
+    pair = names == F.array(F.lit("user"), F.lit("assistant"))
+    # names that mean others in that layout
+    plain = ~F.arrays_overlap(names, F.array(F.lit("human"), F.lit("gpt")))
+    record = F.when(pair, F.to_json(asked)).when(plain & (F.col("conv_id") % 8 < 4), F.to_json(told)).otherwise(F.to_json(messages))
+    return whole.select("conv_id", record.alias("record"))
+
+
 @query
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and one made of control strings, formatted and read back."""
+    """Every conversation, from its rows or from JSON records, and one made of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
     message = [F.struct(F.lit(role).alias("role"), F.lit(said).alias("content")) for role in ("user", "assistant")]
     extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.array(*message).alias("messages"))
-    turns = chat.canonical(read_table(spark, sf_dir, "conversations")).unionByName(chat.canonical(extra))
+    said_in = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # three quarters as JSON records: whole conversations, and single turns
+    share = F.coalesce(F.pmod(F.col("conv_id"), F.lit(4)), F.lit(0))
+    single = said_in.where(share == 1).select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    records = single.unionByName(_as_records(said_in.where(share > 1)))
+    turns = chat.canonical(said_in.where(share == 0)).unionByName(chat.canonical_records(records)).unionByName(chat.canonical(extra))
     found = chat.read_back(chat.formatted(turns))
     told = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
     learned = F.array_join("loss_texts", "")

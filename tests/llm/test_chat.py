@@ -66,3 +66,24 @@ def test_mask_covers_each_assistant_text_once(spark):
     cut = [texts.formatted[s.start : s.start + s.length] for s in texts.loss_spans]
     assert [c.replace("<\\/s>", "</s>") for c in cut] == [r[3] for r in rows if r[2] == "assistant"]
     assert hashlib.sha256("".join(cut).encode()).hexdigest()
+
+
+def test_records_that_fit_no_layout_exactly_keep_their_turns(spark):
+    two = [("user", "q"), ("assistant", "a")]
+    call = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = [
+        (1, {"system": "s", "prompt": "q", "completion": "a"}, two),
+        (2, {"prompt": "q", "response": "a", "input": "i"}, two),
+        (3, {"messages": [{"role": "assistant", "content": None}, *call]}, [("assistant", ""), *two]),
+        (4, {"messages": [{"role": "system"}, *call, None, "odd"]}, [("system", ""), *two, ("", ""), ("", "")]),
+        (5, {"prompt": "q", "response": None}, [("user", "q"), ("assistant", "")]),
+        (6, {"role": "assistant", "text": "a", "turn": 2}, two),
+        (6, {"role": "user", "text": "q", "turn": 1}, None),
+        (7, {"messages": []}, None),
+        (8, {"unknown": 1}, None),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v, _ in records], "conv_id long, record string")
+    turns = chat.canonical_records(rows)
+    assert {i: plain(r) for i, r in read(turns).items()} == {i: want for i, _, want in records if want}
+    empty = turns.where("place IS NULL").collect()
+    assert sorted(tuple(r) for r in empty) == [(7, None, None, None), (8, None, None, None)]

@@ -81,3 +81,25 @@ def test_comparison_shuffles_at_most_six_times(spark):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert plan.count("Exchange hash") <= 6 and plan.count("FileScan") <= 4
+
+
+def test_registered_query_writes_and_scans_whole_texts(spark, tmp_path, monkeypatch):
+    from tablewright.catalog import queries
+
+    tail = 'x' * 450 + '"\n,"" \r\n\\' + "y" * 50
+    spark.createDataFrame([(1, tail), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written, write = [], queries.write_result
+
+    def kept(df, *args):
+        if "text" in df.columns:
+            written.extend(r["text"] for r in df.collect())
+        write(df, *args)
+
+    monkeypatch.setattr(queries, "write_result", kept)
+    got = {r.k: r.n for r in queries.scan_odd_cells(spark, str(tmp_path)).collect()}
+    assert f'"{tail}",' in written
+    assert (got["k1"], got["k2"], got["k3"]) == (403, 8, None)
+
+    # a change behind the counted part shows
+    monkeypatch.setattr(queries, "write_result", lambda df, *args: write(df.withColumns({"text": queries.F.replace("text", queries.F.lit("y"), queries.F.lit("z"))}) if "text" in df.columns else df, *args))
+    assert {r.k: r.n for r in queries.scan_odd_cells(spark, str(tmp_path)).collect()}["k1"] == -1

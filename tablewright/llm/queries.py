@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, mixing, topk, toxicity, urls
+from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, licenses, mixing, topk, toxicity, urls
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +252,43 @@ SELECT c.page_id, host, day, coalesce(n, 0) AS n_active, CASE WHEN r IS NULL THE
     CASE WHEN list <> 'allow' THEN 'drop' ELSE 'keep' END AS verdict
 FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND r = 1
 """
+
+
+@query
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and labels of license notices in every document."""
+    return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
+def _notices_sql() -> str:
+    rows = [(label, sorted(set(licenses.plain_words(notice)))) for label, notice in licenses.TEMPLATES]
+    return ", ".join(f"('{label}', {words})" for label, words in rows)
+
+
+def _phrases_sql() -> str:
+    return ", ".join(f"('{label}', {phrase.split(' ')})" for phrase, label in licenses.PHRASES)
+
+
+ORACLES["op13_license_scans"] = rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') AS w
+    FROM documents),
+phrases(label, p) AS (VALUES {_phrases_sql()}),
+notices(label, t) AS (VALUES {_notices_sql()}),
+places AS (
+    SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS start FROM words, phrases),
+base AS (
+    SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(label) AS labels FROM places GROUP BY doc_id),
+blocks AS (
+    SELECT doc_id, unnest(list_transform(range(greatest(len(w) - 1 - {licenses.SPAN}, 0) // {licenses.SPAN} + 1),
+        lambda b: list_distinct(w[b * {licenses.SPAN} + 1 : (b + 2) * {licenses.SPAN}]))) AS b
+    FROM words),
+held AS (SELECT doc_id, label, len(list_intersect(b, t)) AS c, len(t) AS n FROM blocks, notices),
+met AS (
+    SELECT doc_id, list(label) AS labels, max(c / n) AS score FROM held WHERE 100 * c >= {licenses.PERCENT} * n GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(met.score, 0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, licenses, mixing, topk, toxicity, urls
+from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, licenses, mixing, spelling, topk, toxicity, urls
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,3 +292,43 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_w
     CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(met.score, 0) END::DOUBLE AS score
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)
 """
+
+
+#: crc32 of the bytes x, unsigned, in DuckDB
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], x),
+    lambda c, b: xor(c >> 8, list_reduce(list_concat([xor(c, b) & 255], range(8)), lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END))))"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their most frequent near word and the last of the chain of such words."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+keyed AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM counted),
+bytes AS (SELECT run, n, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS x FROM keyed),
+drawn AS (SELECT run, n, {CRC32_SQL} AS h FROM bytes),
+spelled AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM drawn),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+    SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS less FROM words, unnest(range(length(word))) u(p)),
+near AS (
+    SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y ON x.less = y.less AND x.p = y.p AND x.word <> y.word
+    UNION SELECT x.less, x.word, x.n FROM cut x JOIN words y ON x.less = y.word
+    UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON x.less = y.word),
+best AS (SELECT word, count(DISTINCT other) AS n_near, max(n) AS best_n FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n,
+        CASE WHEN best_n >= 2 * w.n THEN (SELECT min(other) FROM near WHERE near.word = w.word AND near.n = b.best_n) END AS form
+    FROM words w LEFT JOIN best b USING (word)),
+walk(word, place, step) AS (
+    SELECT word, word, 0 FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.place WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, licenses, mixing, spelling, topk, toxicity, urls
+from tablewright.llm import ann, bpe, chat, edits, huffman, hyperminhash, licenses, mixing, spelling, structure, topk, toxicity, urls
 from tablewright.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,3 +332,89 @@ walk(word, place, step) AS (
 roots AS (SELECT word, arg_max(place, step) AS root FROM walk GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated and given to the user, by a draw from their place."""
+    space = F.lit(" ")
+    drawn = F.crc32(F.concat(*(F.coalesce(c, space) for c in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))))) % 20
+    text = F.coalesce("text", space)
+    text = F.when(drawn == 1, "").when(drawn == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    rows = turns.where(drawn != 0).select(
+        "conv_id",
+        "turn",
+        F.when(drawn == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        text.alias("text"),
+        F.explode(F.when(drawn == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest edits and the digest of what they make."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure.report(_damaged(turns)).withColumnRenamed("conv_id", "_id")
+    ids = turns.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = (F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return joined.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+ORACLES["op11_structure_repair"] = f"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS x
+    FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text, {CRC32_SQL} % 20 AS h FROM keyed),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END))
+    FROM drawn WHERE h <> 0),
+placed AS (
+    SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+        CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'x' END AS initial
+    FROM damaged),
+judged AS (
+    SELECT *, CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN solid[-1:] IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault,
+        coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+    FROM placed),
+faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv_id),
+inserts(s, t, price, letters, made) AS (VALUES
+    ('0', '0', 0, '', []::VARCHAR[]), ('S', 'S', 0, '', []), ('U', 'U', 0, '', []), ('A', 'A', 0, '', []),
+    ('0', 'U', 5, 'I', ['user:']), ('S', 'U', 5, 'I', ['user:']), ('U', 'A', 5, 'I', ['assistant:']), ('A', 'U', 5, 'I', ['user:']),
+    ('0', 'A', 10, 'II', ['user:', 'assistant:']), ('S', 'A', 10, 'II', ['user:', 'assistant:'])),
+moves(initial, s, t, letter, price, role) AS (VALUES
+    ('s', '0', 'S', 'K', 0, NULL), ('u', '0', 'U', 'K', 0, NULL), ('u', 'S', 'U', 'K', 0, NULL), ('u', 'A', 'U', 'K', 0, NULL), ('a', 'U', 'A', 'K', 0, NULL),
+    ('*', '0', 'U', 'R', 1, 'user'), ('*', 'S', 'U', 'R', 1, 'user'), ('*', 'A', 'U', 'R', 1, 'user'), ('*', 'U', 'A', 'R', 1, 'assistant'),
+    ('*', '0', '0', 'D', 2, NULL), ('*', 'S', 'S', 'D', 2, NULL), ('*', 'U', 'U', 'D', 2, NULL), ('*', 'A', 'A', 'D', 2, NULL)),
+best(conv_id, i, s, way) AS (
+    SELECT conv_id, 0::BIGINT, t, {{'cost': price, 'audit': letters, 'made': made}} FROM faults, inserts WHERE s = '0'
+    UNION ALL
+    SELECT b.conv_id, b.i + 1, e.t, min({{
+        'cost': b.way.cost + m.price + e.price + CASE WHEN fault = 't' AND letter <> 'D' THEN 5 ELSE 0 END,
+        'audit': b.way.audit || letter || e.letters,
+        'made': list_concat(list_concat(b.way.made, CASE WHEN letter = 'D' THEN [] ELSE [coalesce(m.role, j.role) || ':' || text] END), e.made)}})
+    FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1
+    JOIN moves m ON m.s = b.s AND m.initial IN ('*', j.initial) AND (letter = 'D' OR fault NOT IN ('b', 'd'))
+    JOIN inserts e ON e.s = m.t
+    GROUP BY b.conv_id, b.i, e.t),
+done AS (
+    SELECT b.conv_id, min(way) AS way FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = f.n WHERE s IN ('0', 'A') GROUP BY b.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit,
+    sha256(coalesce(array_to_string(way.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -455,10 +455,18 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN name = 'NaN' THEN NULL ELSE name END AS "姓名", CASE WHEN {blank('phone')} THEN NULL ELSE {trim('phone')} END AS "手机号",
           CASE WHEN _row_id % 3 <> 0 THEN city END AS city FROM ({PERSONS_SQL}) t""",
     "scan_odd_cells": """
-        SELECT 'k' || doc_id AS k, length(substr(text, 1, 400)) + 3 AS n FROM documents
+        SELECT 'k' || doc_id AS k, length(text) + 3 AS n FROM documents
         UNION ALL SELECT 'cell ' || CASE WHEN doc_id % 3 > 0 THEN 'd' || (doc_id % 5) ELSE '-' END, count(*) FROM documents GROUP BY 1""",
+    "scan_split_cells": """
+        SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '"' ELSE '' END || text || chr(13) || chr(10) || '"",') AS hash,
+          NULL::VARCHAR AS none, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents""",
+    "scan_folder_kv": "SELECT p_partkey, p_brand FROM part WHERE p_partkey % 3 > 0",
     "reserved_headers": """
-        SELECT DISTINCT event_type AS kind, (event_id % 7)::VARCHAR AS _chunk, (event_id % 3)::VARCHAR AS _row_id FROM events""",
+        SELECT DISTINCT event_type AS kind, (event_id % 7)::VARCHAR AS _chunk, (event_id % 3)::VARCHAR AS _row_id,
+          '_file' || event_id % 2 AS _file, '_place' || event_id % 2 AS _place, '_name' || event_id % 2 AS _name,
+          '_unique' || event_id % 2 AS _unique, '_won' || event_id % 2 AS _won, '_at' || event_id % 2 AS _at,
+          '_offset' || event_id % 2 AS _offset, '_n' || event_id % 2 AS _n, '_key' || event_id % 2 AS _key,
+          '_block' || event_id % 2 AS _block, '_local' || event_id % 2 AS _local FROM events""",
     "merge_ordered": """
         SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS place
         FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",

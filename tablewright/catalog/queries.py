@@ -567,7 +567,7 @@ def scan_many_headers(spark, sf):
 def scan_odd_cells(spark, sf):
     """Whole texts with line breaks and quotes, and a column with missing cells alone, written as CSV and scanned back.
 
-    The SQL counts 400 characters of each text, so those are counted here, and -1 for a text that came back changed anywhere.
+    A text that came back changed anywhere has a length of -1.
     """
     docs = table(spark, sf, "documents").select("doc_id", "text")
     wide, narrow = _scratch(spark, "csv-wide"), _scratch(spark, "csv-narrow")
@@ -577,24 +577,55 @@ def scan_odd_cells(spark, sf):
     write_result(docs.select(alone.alias("cell")), narrow, "csv")
     cells = scan_table(spark, narrow).groupBy("cell").agg(F.count("*").alias("n"))
     same = F.concat(F.lit("h"), F.sha2("text", 256)).eqNullSafe(F.col("hash"))
-    counted = F.least(F.length("text") - 3, F.lit(400)) + 3
-    counted = F.when(F.col("text").isNotNull(), counted)
-    texts = scan_table(spark, wide).select("k", F.when(same, counted).otherwise(-1).cast("bigint").alias("n"))
+    length = F.when(F.col("text").isNotNull(), F.length("text"))
+    texts = scan_table(spark, wide).select("k", F.when(same, length).otherwise(-1).cast("bigint").alias("n"))
     return texts.unionByName(cells.select(F.concat(F.lit("cell "), F.coalesce("cell", F.lit("-"))).alias("k"), "n"))
 
 
+def _with_splits_of(spark, size):
+    """A session of its own in which files are read in splits of ``size``."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", size)
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    return session
+
+
+@query
+def scan_split_cells(spark, sf):
+    """Texts with quotes, commas and line breaks from CSV files that are cut into many splits, in the order written."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = _scratch(spark, "csv-split")
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit('"')).otherwise(F.lit("")), "text", F.lit('\r\n"",'))
+    write_result(docs.select("doc_id", text.alias("text"), F.lit(None).cast("string").alias("none")), path, "csv", order_by=["doc_id"])
+    read = scan_table(_with_splits_of(spark, "64k"), path)
+    placed = global_position(read, "_row_id", "place")
+    return placed.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("hash"), "none", "place")
+
+
+@query
+def scan_folder_kv(spark, sf):
+    """The files of a folder, not those of a folder in it that is named like a partition."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
+    folder = _scratch(spark, "folder")
+    write_result(parts.where("p_partkey % 3 > 0"), folder, "csv")
+    write_result(parts.where("p_partkey % 3 = 0"), f"{folder}/kind=c", "csv")
+    return scan_table(spark, folder).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_brand")
+
+
 @query
 def reserved_headers(spark, sf):
-    """Columns under names of our bookkeeping stay columns of the table from scan to result."""
+    """Columns under names of our bookkeeping, and of columns that steps add on their way, stay columns of the table from scan to result."""
+    inner = ("_file", "_place", "_name", "_unique", "_won", "_at", "_offset", "_n", "_key", "_block", "_local")
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("kind"),
         (F.col("event_id") % 7).cast("string").alias("_chunk"),
         (F.col("event_id") % 3).cast("string").alias("_row_id_"),
+        *(F.concat(F.lit(c), F.col("event_id") % 2).alias(c) for c in inner),
     )
     first, second = _scratch(spark, "csv"), _scratch(spark, "csv")
     events.withColumnRenamed("_row_id_", "_row_id").write.csv(first, header=True)
-    cleaned = clean_table(scan_table(spark, first), CleanOptions(drop_duplicates=True))
-    write_result(cleaned.result, second, "csv")
+    cleaned = clean_table(scan_table(spark, first), CleanOptions(drop_duplicates=True, dedupe_columns=("kind", "_at", "_chunk.1", "_row_id.1", "_offset")))
+    write_result(split_job(cleaned.result, "rows", rows=10).result.drop("_chunk"), second, "csv")
     return spark.read.csv(second, header=True)
 
 

@@ -9,6 +9,20 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(taken: list[str], name: str) -> str:
+    """``name``, or as many underscores more as it takes to be none of ``taken``."""
+    folded = {c.lower() for c in taken}
+    while name.lower() in folded:
+        name += "_"
+    return name
+
+
+def sheltered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under positional names (x0, x1, …), which no working column has, and the new name of each column."""
+    names = {c: f"x{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add computed columns that later steps read as plain attributes.
 

@@ -1,20 +1,26 @@
 """Blank rows, full duplicates and keyed duplicates, with the removed rows kept.
 
-Survivors are found by pre-aggregated minima and maxima of the row id and joined
-back on that unique id, so neither a group of copies nor a popular key ever
-meets in one task.
+Which rows stay is decided on narrow rows: a 128-bit fingerprint of all columns,
+the key and the row id.  Counts, minima and maxima of them are combined on the
+map side, so neither a group of copies nor a popular key meets in one task.
+Only groups that lose a row are handed back to the table; where they are few
+they are broadcast, by Spark's size check, and the table is not shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.dates import latest_key
-from tablewright.functions.names import named, option
+from tablewright.functions.names import bind, named, option, unused
 from tablewright.functions.text import dedupe_key, plain_text
 from tablewright.operators.identity import ROW_ID
 from tablewright.operators.schema import blank_row, data_columns, require_columns
+from tablewright.operators.staging import stage
 
 REASON = "_removed_reason"
 KEEP_MODES = ("first", "last", "latest")
@@ -40,6 +46,17 @@ def recency(df: DataFrame, column: str, unparseable: str = "text") -> Column:
     return latest_key(named(column), df.schema[column].dataType, unparseable)
 
 
+def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes that rows share if all of ``columns`` are equal (nulls too), and else by a chance of 2**-128."""
+    atomic, cells = (T.StringType, T.NumericType, T.BooleanType, T.DatetimeType, T.BinaryType), []
+    for name in columns:
+        cell, dtype = named(name), df.schema[name].dataType
+        # nested values as text: their hash passes over nulls
+        cells.append(cell if isinstance(dtype, atomic) else F.to_json(F.struct(cell.alias("v")), {"ignoreNullFields": "false"}))
+    missing = F.concat_ws(",", *(F.when(c.isNull(), F.lit(str(i))) for i, c in enumerate(cells)))
+    return [F.xxhash64(F.lit(seed), *cells, missing) for seed in (1, 2)]
+
+
 def mark_duplicates(
     df: DataFrame,
     full: bool = False,
@@ -48,12 +65,14 @@ def mark_duplicates(
     latest_column: str | None = None,
     unparseable: str = "text",
     row_id: str = ROW_ID,
+    staged: bool = False,
 ) -> DataFrame:
     """Set ``_removed_reason`` to ``full_duplicate`` or ``key_duplicate``.
 
     Full duplicates go first and keep the first copy; keyed duplicates are then
     decided among what is left.  Rows that already have a reason, and rows whose
-    key is blank in every part, take no part.
+    key is blank in every part, take no part.  With ``staged`` the groups that
+    lose a row are written, for results that are read several times.
     """
     keys = list(key_columns or [])
     mode = keep_mode(keep)
@@ -61,39 +80,48 @@ def mark_duplicates(
         require_columns(df, keys, "dedupe column")
         if mode == "latest":
             require_columns(df, [latest_column], "date column for keeping the latest row")
-    columns = data_columns(df)
     before = _reason_so_far(df)
-    live = df.filter(before.isNull())
+    out = [named(c) for c in df.columns if c != REASON]
+    if not full and not keys:
+        return df.select(*out, before.alias(REASON))
     types = {f.name: f.dataType for f in df.schema.fields}
-    key = dedupe_key([plain_text(named(c), types[c]) for c in keys]) if keys else None
+    # copies have equal keys and dates, so a group of them is known by its fingerprint
+    group = fingerprint(df, data_columns(df)) if full else []
+    key = dedupe_key([plain_text(named(c), types[c]) for c in keys]) if keys else F.lit(None).cast("array<string>")
+    age = recency(df, latest_column, unparseable) if keys and mode == "latest" else F.lit("")
+    added = {"live": before.isNull(), **{f"print{i}": c for i, c in enumerate(group)}, "key": key}
+    names = {c: unused(df.columns, f"_{c}") for c in added}
+    marked = bind(df, {names[c]: value for c, value in added.items()})
+    prints = [F.col(names[f"print{i}"]).alias(f"p{i}") for i in range(len(group))]
+    live = F.col(names["live"])
+    narrow = marked.where(live).select(*prints, F.col(names["key"]).alias("k"), age.alias("age"), named(row_id).alias("id"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        """Which row of a key stays; keys of one row lose none."""
+        wanted = {"first": F.min("id"), "last": F.max("id"), "latest": F.max(F.struct("age", "id"))["id"]}[mode]
+        found = rows.where("k IS NOT NULL").groupBy("k").agg(wanted.alias("best"), F.count(F.lit(1)).alias("rows"))
+        return found.where("rows > 1").select("k", "best")
 
-    survivors = None
     if full:
-        survivors = live.groupBy(*[named(c) for c in columns]).agg(F.min(row_id).alias(row_id))
-    winners = None
-    if keys:
-        candidates = live if survivors is None else survivors
-        wanted = [F.col(row_id), key.alias("_key")]
-        if mode == "latest":
-            wanted.append(recency(df, latest_column, unparseable).alias("_recency"))
-        # blank keys fold into one row per map task; filtering them here would move
-        # below the aggregate over all columns and keep its shuffle from being shared
-        keyed = candidates.select(*wanted)
-        best = {
-            "first": F.min(row_id),
-            "last": F.max(row_id),
-            "latest": F.max(F.struct("_recency", row_id))[row_id] if mode == "latest" else None,
-        }[mode]
-        winners = keyed.groupBy("_key").agg(best.alias(row_id)).select(row_id, F.lit(True).alias("_won"))
-
-    marked, reason = df, before
-    if survivors is not None:
-        marked = marked.join(survivors.select(row_id, F.lit(True).alias("_unique")), row_id, "left")
-        reason = F.coalesce(reason, F.when(F.col("_unique").isNull(), F.lit("full_duplicate")))
-    if winners is not None:
-        marked = marked.join(winners, row_id, "left")
-        reason = F.coalesce(reason, F.when(key.isNotNull() & F.col("_won").isNull(), F.lit("key_duplicate")))
-    return marked.select(*[named(c) for c in df.columns if c != REASON], reason.alias(REASON))
+        by = [f"p{i}" for i in range(len(group))]
+        copies = narrow.groupBy(*by).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in (("k", "age") if keys else ())))
+        if keys:
+            won = best(copies)
+            copies = copies.join(won, "k", "left").withColumn("lost", F.coalesce(F.col("id") != F.col("best"), F.lit(False)))
+        else:
+            copies = copies.withColumn("lost", F.lit(False))
+        losing = copies.where("rows > 1 OR lost").select(*by, F.col("id").alias("first"), "lost")
+        decided = losing.select(*(F.col(c).alias(unused(marked.columns, f"_{c}")) for c in by), *(F.col(c).alias(unused(marked.columns, f"_{c}")) for c in ("first", "lost")))
+        *own, first, lost = decided.columns
+        same = reduce(lambda x, y: x & y, (F.col(p) == F.col(names[f"print{i}"]) for i, p in enumerate(own)))
+        reason = F.when(named(row_id) != F.col(first), "full_duplicate").when(F.col(lost), "key_duplicate")
+    else:
+        theirs, stays = (unused(marked.columns, c) for c in ("_theirs", "_stays"))
+        decided = best(narrow).toDF(theirs, stays)
+        same = F.col(names["key"]) == F.col(theirs)
+        reason = F.when(named(row_id) != F.col(stays), "key_duplicate")
+    joined = marked.join(stage(decided, "losing") if staged else decided, same & live, "left")
+    return joined.select(*out, F.coalesce(before, reason).alias(REASON))
 
 
 def split_kept_removed(marked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.names import named
+from tablewright.functions.names import named, sheltered, unused
 from tablewright.operators.staging import stage
 
 ROW_ID = "_row_id"
@@ -70,21 +70,25 @@ def occurrence_ordinal(
     """1-based number of a row among the rows of its key, in table order; null is a key like any other."""
     # a key's first block needs no correction: the table joined is empty or small
     # unless keys repeat over long stretches of the table
-    offsets = block_counts(df, keys, row_id, bits).filter("_offset > 0").drop("_n")
-    offsets = offsets.select(*[named(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_block").alias("_ob"), "_offset")
-    same = reduce(lambda a, b: a & b, [named(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
-    ranked = rank_in_block(df, keys, row_id, bits)
+    work, now = sheltered(df)
+    keys, row_id = [now[k] for k in keys], now[row_id]
+    offsets = block_counts(work, keys, row_id, bits).filter("_offset > 0").drop("_n")
+    offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_block").alias("_ob"), "_offset")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
+    ranked = rank_in_block(work, keys, row_id, bits)
     ranked = ranked.join(offsets, same & (F.col("_block") == F.col("_ob")), "left")
     ordinal = (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint")
-    return ranked.select(*[named(c) for c in df.columns], ordinal.alias(name))
+    return ranked.select(*[F.col(x).alias(c) for c, x in now.items()], ordinal.alias(name))
 
 
 def global_position(
     df: DataFrame, row_id: str = ROW_ID, name: str = "_position", bits: int = BLOCK_BITS, span_bits: int = SPAN_BITS
 ) -> DataFrame:
     """0-based dense position of every row in ``row_id`` order, without a global sort."""
+    work, now = sheltered(df)
+    row_id = now[row_id]
     # one row per 65,536 ids, read for the sums of spans and of blocks
-    blocks = stage(df.groupBy(block_of(F.col(row_id), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n")), "block-counts")
+    blocks = stage(work.groupBy(block_of(F.col(row_id), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n")), "block-counts")
     blocks = blocks.withColumn("_span", F.shiftright("_block", span_bits))
     # one row per 2**30 ids: the only window here without a partition
     spans = blocks.groupBy("_span").agg(F.sum("_n").alias("_span_n"))
@@ -97,9 +101,9 @@ def global_position(
         .join(spans, "_span")
         .select("_block", (F.col("_base") + F.col("_inside")).alias("_offset"))
     )
-    ranked = rank_in_block(df, [], row_id, bits).join(offsets, "_block")
+    ranked = rank_in_block(work, [], row_id, bits).join(offsets, "_block")
     position = (F.col("_offset") + F.col("_local") - 1).cast("bigint")
-    return ranked.select(*[named(c) for c in df.columns], position.alias(name))
+    return ranked.select(*[F.col(x).alias(c) for c, x in now.items()], position.alias(name))
 
 
 def rank_rows(
@@ -111,21 +115,22 @@ def rank_rows(
     equal rows stays in one partition.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place, part, offset = (unused(df.columns, c) for c in ("_placed", "_part", "_offset"))
     placed = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_placed", F.monotonically_increasing_id())
+        .withColumn(place, F.monotonically_increasing_id())
     )
     # sampled range bounds differ between runs, so both readers share one stage
-    staged = stage(placed, "rank").withColumn("_part", F.shiftright("_placed", MONOTONIC_BITS))
-    sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    staged = stage(placed, "rank").withColumn(part, F.shiftright(place, MONOTONIC_BITS))
+    sizes = staged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias("_offset")
+        part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(*_BEFORE)), F.lit(0)).alias(offset)
     )
-    position = F.col("_placed").bitwiseAND(F.lit((1 << MONOTONIC_BITS) - 1))
+    position = F.col(place).bitwiseAND(F.lit((1 << MONOTONIC_BITS) - 1))
     # at most n rows, n being the partition count chosen above
-    ranked = staged.join(F.broadcast(offsets), "_part")
+    ranked = staged.join(F.broadcast(offsets), part)
     return ranked.select(
         *[named(c) for c in df.columns],
-        (F.col("_offset") + position + F.lit(start)).cast("bigint").alias(name),
+        (F.col(offset) + position + F.lit(start)).cast("bigint").alias(name),
     )

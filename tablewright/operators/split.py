@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.constants import BLANK_BUCKET, DEFAULT_ROWS_PER_CHUNK
-from tablewright.functions.names import named
+from tablewright.functions.names import named, unused
 from tablewright.functions.text import is_blank, plain_text, safe_label
 from tablewright.operators.identity import BLOCK_BITS, ROW_ID, global_position, occurrence_ordinal, rank_rows
 from tablewright.operators.schema import require_columns
@@ -86,8 +86,9 @@ def chunk_by_rows(
     """Add the 1-based ``_chunk``: chunk i holds rows (i-1)*rows … i*rows-1 in table order."""
     if rows < 1:
         raise ValueError("rows per part must be at least 1")
-    placed = global_position(df, row_id, "_at", bits)
-    return placed.withColumn(CHUNK, F.expr(f"_at div {int(rows)} + 1")).drop("_at")
+    at = unused(df.columns, "_at")
+    placed = global_position(df, row_id, at, bits)
+    return placed.withColumn(CHUNK, F.expr(f"{at} div {int(rows)} + 1")).drop(at)
 
 
 def chunk_manifest(chunked: DataFrame, rows: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:

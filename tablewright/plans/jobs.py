@@ -94,7 +94,11 @@ def _keeps_latest(options: CleanOptions) -> bool:
 
 
 def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | None = None) -> DataFrame:
-    """Every input row repaired, with ``_fixes``, ``_reviews`` and ``_removed_reason``."""
+    """Every input row repaired, with ``_fixes``, ``_reviews`` and ``_removed_reason``.
+
+    The repaired rows are written once, and so are the groups that lose a row;
+    whoever reads the result scans those, so nothing is repaired or grouped twice.
+    """
     if not options.chosen():
         raise ValueError("choose at least one cleaning step")
     if options.dedupe_columns:
@@ -103,7 +107,7 @@ def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | Non
         require_columns(df, [options.dedupe_latest_column], "date column for keeping the latest row")
     roles = roles or contact_roles(data_columns(df))
     marked = mark_blank_rows(df) if options.drop_blank_rows else df
-    repaired = repair_contacts(marked, roles, options.steps())
+    repaired = stage(repair_contacts(marked, roles, options.steps()), "repaired")
     return mark_duplicates(
         repaired,
         full=options.drop_duplicates,
@@ -111,6 +115,7 @@ def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | Non
         keep=options.dedupe_keep,
         latest_column=options.dedupe_latest_column,
         unparseable=options.unparseable,
+        staged=True,
     )
 
 
@@ -160,13 +165,13 @@ def clean_summary(marked: DataFrame) -> DataFrame:
 def clean_table(df: DataFrame, options: CleanOptions, roles: ContactRoles | None = None) -> JobResult:
     """Profile, repair, dedupe and audit one table.
 
-    The marked rows are written once; the result and all six report tables read
-    that stage, each only the columns it needs.
+    The repaired rows are written once, the numbered result once; the report
+    tables read those, each only the columns it needs.
     """
     table = normalize_text_columns(with_row_id(refuse_reserved(df)))
     columns = data_columns(table)
     roles = roles or contact_roles(columns)
-    marked = stage(mark_cleaned(table, options, roles), "cleaned")
+    marked = mark_cleaned(table, options, roles)
     kept, removed = split_kept_removed(marked)
     # the numbered rows serve the result, the fix log and the review tables; ranking
     # by recency has staged them already

@@ -515,7 +515,7 @@ def _compared(spark, sf):
 
 @query
 def compare_status(spark, sf):
-    rows = _compared(spark, sf)
+    rows = cmp.statuses(orders_now(spark, sf), orders_later(spark, sf), ["customer"])
     return rows.select(F.array_join("_key", "||").alias("key"), F.col("_ord").alias("ord"), F.col("_status").alias("status"))
 
 
@@ -675,7 +675,7 @@ def positions_blocks(spark, sf):
 @query
 def compare_blocks(spark, sf):
     """The comparison of ``compare_status`` with blocks of 64 ids, which its keys cross."""
-    rows = cmp.compare_tables(orders_now(spark, sf), orders_later(spark, sf), ["customer"], bits=6)
+    rows = cmp.statuses(orders_now(spark, sf), orders_later(spark, sf), ["customer"], bits=6)
     return rows.select(F.array_join("_key", "||").alias("key"), F.col("_ord").alias("ord"), F.col("_status").alias("status"))
 
 

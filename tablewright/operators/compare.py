@@ -1,8 +1,13 @@
 """Compare two tables on a key.
 
-Rows of one key pair up by order of appearance: the join runs on (key, n-th
+Rows of one key pair up by order of appearance: they meet on (key, n-th
 occurrence), which is unique on both sides, so a key that holds a large share of
 the rows is spread by its ordinals.
+
+What is numbered and paired are narrow rows: key, row id and a 128-bit
+fingerprint of the compared cells.  Equal fingerprints are equal rows; cells are
+fetched, by row id, only for pairs that differ and for rows without a partner,
+so what is shuffled falls with the share of rows that are the same.
 """
 
 from __future__ import annotations
@@ -16,27 +21,53 @@ from pyspark.sql import types as T
 
 from tablewright.functions.names import bind, named
 from tablewright.functions.text import key_parts, plain_text, ustrip
-from tablewright.operators.identity import BLOCK_BITS, ROW_ID, block_of, rank_in_block
+from tablewright.operators.identity import BLOCK_BITS, ROW_ID, block_of, fingerprint, rank_in_block
 from tablewright.operators.schema import data_columns, order_columns, require_columns
 
 
-def _keyed(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = key_parts([plain_text(named(k), types[k]) for k in keys], "compare")
-    payload = F.struct(*[named(c).alias(c) for c in data_columns(df) if c != row_id])
-    return df.select(F.col(row_id).alias(ROW_ID), key.alias("_key"), payload.alias("_row"))
+Types = dict[str, T.DataType]
+
+
+def _types(df: DataFrame) -> Types:
+    return {f.name: f.dataType for f in df.schema.fields}
+
 
+def _text(cell: Column, dtype: T.DataType | None) -> Column:
+    return F.lit("") if dtype is None else F.coalesce(ustrip(plain_text(cell, dtype)), F.lit(""))
+
+
+def _by_value(left: T.DataType | None, right: T.DataType | None) -> bool:
+    """Equal typed cells compare by value, everything else by trimmed text with null as ""."""
+    return left == right and not isinstance(left, T.StringType)
 
-def _paired(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
-    """(_key, _ord, _a, _b, _in_a, _in_b): the n-th rows of a key side by side, and how often each table has the key.
+
+def _narrow(df: DataFrame, keys: list[str], columns: list[str], others: Types, row_id: str) -> DataFrame:
+    """(_key, _row_id, _p0, _p1): two rows of the tables compared have equal prints if all their cells compare equal."""
+    own = _types(df)
+    key = key_parts([plain_text(named(k), own[k]) for k in keys], "compare")
+    cells = [
+        (named(c), own[c]) if _by_value(own.get(c), others.get(c)) else (_text(named(c), own.get(c)), T.StringType())
+        for c in columns
+    ]
+    prints = [p.alias(f"_p{i}") for i, p in enumerate(fingerprint(cells))]
+    return df.select(key.alias("_key"), named(row_id).alias(ROW_ID), *prints)
+
+
+def statuses(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per pair or unmatched row: ``_key``, ``_ord``, ``_status`` and the row ids ``_id_a`` and ``_id_b``.
 
     Both tables are numbered at once: one count per (key, side, block) gives the
     offsets of the blocks and the totals of both sides, and the n-th rows of the
     two sides meet in one aggregate.
     """
-    empty_a, empty_b = (F.lit(None).cast(t.schema["_row"].dataType) for t in (left, right))
-    rows = left.select("_key", ROW_ID, F.lit(False).alias("_right"), F.col("_row").alias("_a"), empty_b.alias("_b"))
-    rows = rows.union(right.select("_key", ROW_ID, F.lit(True).alias("_right"), empty_a.alias("_a"), F.col("_row").alias("_b")))
+    if not keys:
+        raise ValueError("choose at least one key column")
+    require_columns(a, keys, "key column of table A")
+    require_columns(b, keys, "key column of table B")
+    columns = compared_columns(a, b, keys, row_id)
+    left = _narrow(a, keys, columns, _types(b), row_id).withColumn("_right", F.lit(False))
+    right = _narrow(b, keys, columns, _types(a), row_id).withColumn("_right", F.lit(True))
+    rows = left.union(right)
     counts = rows.groupBy("_key", "_right", block_of(F.col(ROW_ID), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
     of_key = W.partitionBy("_key")
     earlier = W.partitionBy("_key", "_right").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -50,83 +81,94 @@ def _paired(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
     )
     ranked = rank_in_block(rows, ["_key", "_right"], ROW_ID, bits).join(blocks, ["_key", "_right", "_block"])
     ordinal = (F.col("_local") + F.col("_offset")).cast("bigint")
-    # at most one row of either side has a key's n-th place
-    sides = [F.first(c, ignorenulls=True).alias(c) for c in ("_a", "_b")]
-    totals = [F.first(c).alias(c) for c in ("_in_a", "_in_b")]
-    return ranked.groupBy("_key", ordinal.alias("_ord")).agg(*sides, *totals)
-
-
-def _same_cell(a: Column, b: Column, left: T.DataType | None, right: T.DataType | None) -> Column:
-    """Equal typed cells compare by value, everything else by trimmed text with null as ""."""
-    if left == right and not isinstance(left, T.StringType):
-        return a.eqNullSafe(b)
-
-    def text(cell: Column, dtype: T.DataType | None) -> Column:
-        return F.lit("") if dtype is None else F.coalesce(ustrip(plain_text(cell, dtype)), F.lit(""))
 
-    return text(a, left) == text(b, right)
+    # at most one row of either side has a key's n-th place; numbers, so nothing is sorted
+    def of_side(right: bool, column: str) -> Column:
+        return F.max(F.when(F.col("_right") == right, F.col(column)))
 
+    found = {f"{c}_{side}": of_side(side == "b", c) for c in (ROW_ID, "_p0", "_p1") for side in "ab"}
+    totals = [F.max(c).alias(c) for c in ("_in_a", "_in_b")]
+    paired = ranked.groupBy("_key", ordinal.alias("_ord")).agg(*(c.alias(n) for n, c in found.items()), *totals)
+    id_a, id_b = F.col(f"{ROW_ID}_a"), F.col(f"{ROW_ID}_b")
+    equal = (F.col("_p0_a") == F.col("_p0_b")) & (F.col("_p1_a") == F.col("_p1_b"))
+    status = (
+        F.when(id_b.isNull(), F.when(F.col("_in_b") > 0, F.lit("only_a_surplus")).otherwise(F.lit("only_a")))
+        .when(id_a.isNull(), F.when(F.col("_in_a") > 0, F.lit("only_b_surplus")).otherwise(F.lit("only_b")))
+        .when(equal, F.lit("same"))
+        .otherwise(F.lit("changed"))
+    )
+    return paired.select("_key", "_ord", status.alias("_status"), id_a.alias("_id_a"), id_b.alias("_id_b"))
 
-def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
-    """One row per pair or unmatched row.
-
-    Columns: ``_key``, ``_ord``, ``_status``, ``changed_fields`` and every
-    compared column twice, as ``<column>_A`` and ``<column>_B``.
-    """
-    if not keys:
-        raise ValueError("choose at least one key column")
-    require_columns(a, keys, "key column of table A")
-    require_columns(b, keys, "key column of table B")
-    joined = _paired(_keyed(a, keys, row_id), _keyed(b, keys, row_id), bits)
 
-    types_a = {f.name: f.dataType for f in a.schema.fields}
-    types_b = {f.name: f.dataType for f in b.schema.fields}
-    columns = compared_columns(a, b, keys)
+def with_cells(pairs: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID) -> DataFrame:
+    """Rows of ``statuses`` with ``changed_fields`` and every compared column twice, as ``<column>_A`` and ``<column>_B``."""
+    types = {"_a": _types(a), "_b": _types(b)}
+    columns = compared_columns(a, b, keys, row_id)
+    # rows without a partner on a side go by their own id, not all to one task as nulls
+    met = pairs.withColumn("_either", F.coalesce("_id_a", "_id_b"))
+    for side, table in (("_a", a), ("_b", b)):
+        cells = F.struct(*(named(c) for c in data_columns(table) if c != row_id)).alias(side)
+        held = table.select(named(row_id).alias("_held"), cells)
+        own = F.coalesce(f"_id{side}", "_either")
+        met = met.join(held, (own == F.col("_held")) & F.col(f"_id{side}").isNotNull(), "left").drop("_held")
 
     def cell(side: str, name: str) -> Column:
-        held = types_a if side == "_a" else types_b
-        return F.col(side).getField(name) if name in held else F.lit("")
+        return F.col(side).getField(name) if name in types[side] else F.lit("")
 
-    differs = [
-        F.when(~_same_cell(cell("_a", c), cell("_b", c), types_a.get(c), types_b.get(c)), F.lit(c)) for c in columns
-    ]
-    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    flagged = bind(joined, {"changed_fields": F.when(both, F.concat_ws("、", *differs))})
-    status = (
-        F.when(F.col("_b").isNull(), F.when(F.col("_in_b") > 0, F.lit("only_a_surplus")).otherwise(F.lit("only_a")))
-        .when(F.col("_a").isNull(), F.when(F.col("_in_a") > 0, F.lit("only_b_surplus")).otherwise(F.lit("only_b")))
-        .when(F.col("changed_fields") != "", F.lit("changed"))
-        .otherwise(F.lit("same"))
-    )
+    def differs(name: str) -> Column:
+        x, y = cell("_a", name), cell("_b", name)
+        left, right = types["_a"].get(name), types["_b"].get(name)
+        return ~x.eqNullSafe(y) if _by_value(left, right) else _text(x, left) != _text(y, right)
+
+    names = F.concat_ws("、", *(F.when(differs(c), F.lit(c)) for c in columns))
+    flagged = bind(met, {"changed_fields": F.when(F.col("_status") == "changed", names)})
     return flagged.select(
         "_key",
         "_ord",
-        status.alias("_status"),
-        F.col("changed_fields"),
+        "_status",
+        "changed_fields",
         *[cell("_a", c).alias(f"{c}_A") for c in columns],
         *[cell("_b", c).alias(f"{c}_B") for c in columns],
     )
 
 
+def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per pair or unmatched row.
+
+    Columns: ``_key``, ``_ord``, ``_status``, ``changed_fields`` and every
+    compared column twice, as ``<column>_A`` and ``<column>_B``.  Pairs that are
+    the same have no changed fields and carry no cells.
+    """
+    pairs = statuses(a, b, keys, row_id, bits)
+    different = with_cells(pairs.filter(F.col("_status") != "same"), a, b, keys, row_id)
+    same = pairs.filter(F.col("_status") == "same").select("_key", "_ord", "_status", F.lit("").alias("changed_fields"))
+    return different.unionByName(same, allowMissingColumns=True)
+
+
 def compared_columns(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID) -> list[str]:
     return [c for c in order_columns(data_columns(a), data_columns(b), keys) if c != row_id]
 
 
-def compare_summary(compared: DataFrame) -> DataFrame:
-    """One row: rows of A and B, only in A, only in B, changed, same."""
+def summary_counts() -> list[Column]:
+    """Rows of A and B, only in A, only in B, changed, same: aggregates over ``_status``."""
 
     def among(*statuses: str) -> Column:
         return F.count_if(F.col("_status").isin(*statuses))
 
     paired = ("changed", "same")
-    return compared.agg(
+    return [
         among("only_a", "only_a_surplus", *paired).alias("rows_a"),
         among("only_b", "only_b_surplus", *paired).alias("rows_b"),
         among("only_a", "only_a_surplus").alias("only_a"),
         among("only_b", "only_b_surplus").alias("only_b"),
         among("changed").alias("changed"),
         among("same").alias("same"),
-    )
+    ]
+
+
+def compare_summary(compared: DataFrame) -> DataFrame:
+    """One row of counts."""
+    return compared.agg(*summary_counts())
 
 
 def only_in(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

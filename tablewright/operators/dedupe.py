@@ -13,12 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.dates import latest_key
 from tablewright.functions.names import bind, named, option, unused
 from tablewright.functions.text import dedupe_key, plain_text
-from tablewright.operators.identity import ROW_ID
+from tablewright.operators.identity import ROW_ID, fingerprint
 from tablewright.operators.schema import blank_row, data_columns, require_columns
 from tablewright.operators.staging import stage
 
@@ -46,17 +45,6 @@ def recency(df: DataFrame, column: str, unparseable: str = "text") -> Column:
     return latest_key(named(column), df.schema[column].dataType, unparseable)
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> list[Column]:
-    """Two 64-bit hashes that rows share if all of ``columns`` are equal (nulls too), and else by a chance of 2**-128."""
-    atomic, cells = (T.StringType, T.NumericType, T.BooleanType, T.DatetimeType, T.BinaryType), []
-    for name in columns:
-        cell, dtype = named(name), df.schema[name].dataType
-        # nested values as text: their hash passes over nulls
-        cells.append(cell if isinstance(dtype, atomic) else F.to_json(F.struct(cell.alias("v")), {"ignoreNullFields": "false"}))
-    missing = F.concat_ws(",", *(F.when(c.isNull(), F.lit(str(i))) for i, c in enumerate(cells)))
-    return [F.xxhash64(F.lit(seed), *cells, missing) for seed in (1, 2)]
-
-
 def mark_duplicates(
     df: DataFrame,
     full: bool = False,
@@ -86,7 +74,7 @@ def mark_duplicates(
         return df.select(*out, before.alias(REASON))
     types = {f.name: f.dataType for f in df.schema.fields}
     # copies have equal keys and dates, so a group of them is known by its fingerprint
-    group = fingerprint(df, data_columns(df)) if full else []
+    group = fingerprint([(named(c), types[c]) for c in data_columns(df)]) if full else []
     key = dedupe_key([plain_text(named(c), types[c]) for c in keys]) if keys else F.lit(None).cast("array<string>")
     age = recency(df, latest_column, unparseable) if keys and mode == "latest" else F.lit("")
     added = {"live": before.isNull(), **{f"print{i}": c for i, c in enumerate(group)}, "key": key}

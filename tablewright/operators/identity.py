@@ -34,6 +34,15 @@ def block_of(row_id: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(row_id, bits)
 
 
+def fingerprint(cells: list[tuple[Column, T.DataType]]) -> list[Column]:
+    """Two 64-bit hashes that rows share if all cells are equal (nulls too), and else by a chance of 2**-128."""
+    atomic = (T.StringType, T.NumericType, T.BooleanType, T.DatetimeType, T.BinaryType)
+    # nested values as text: their hash passes over nulls
+    plain = [c if isinstance(dtype, atomic) else F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c, dtype in cells]
+    missing = F.concat_ws(",", *(F.when(c.isNull(), F.lit(str(i))) for i, c in enumerate(plain)))
+    return [F.xxhash64(F.lit(seed), *plain, missing) for seed in (1, 2)]
+
+
 def with_row_id(df: DataFrame, order_by: list[str] | None = None, unique: bool = False) -> DataFrame:
     """Add ``_row_id``.
 

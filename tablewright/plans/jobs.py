@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.constants import DEFAULT_ROWS_PER_CHUNK, LABELS
@@ -259,9 +259,13 @@ def compare_job(a: DataFrame, b: DataFrame, keys: list[str]) -> JobResult:
     """Difference list, with only-A, only-B, changed and a summary."""
     left, right = (with_row_id(normalize_text_columns(refuse_reserved(t))) for t in (a, b))
     columns = cmp.compared_columns(left, right, keys)
-    compared = stage(cmp.compare_tables(left, right, keys), "compared")
+    # counted on their way to the stage, which holds differences alone
+    seen = Observation("compared")
+    pairs = cmp.statuses(left, right, keys).observe(seen, *cmp.summary_counts())
+    compared = stage(cmp.with_cells(pairs.filter(F.col("_status") != "same"), left, right, keys), "compared")
+    counts = [F.lit(n).cast("bigint").alias(name) for name, n in seen.get.items()]
     report = {
-        "summary": cmp.compare_summary(compared),
+        "summary": compared.sparkSession.range(1).select(*counts),
         "only_a": cmp.only_a(compared, columns),
         "only_b": cmp.only_b(compared, columns),
         "changed": cmp.changed_rows(compared, columns),

@@ -18,7 +18,6 @@ get their id, as in the tokenizers library.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -29,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablewright.llm.common import keyed_texts, tokenizer_file
+from tablewright.llm.common import keyed_texts, released, tokenizer_file
 
 #: fixed value: how the byte-level pre-tokenizer cuts texts
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -37,11 +36,13 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 PRETOKEN_LATIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 NEVER = 1 << 60
-#: words whose ids a Python worker remembers between batches, and neighbours it remembers; both are refilled, never cut off
-WORDS_KEPT = 200_000
+#: bytes of words and their ids that a task remembers between blocks (with what a dict spends on an entry), and pairs of
+#: neighbours (some 100 bytes each); both are refilled, never cut off, and dropped when the task ends
+KEPT_BYTES = 32_000_000
+ENTRY_BYTES = 200
 NEIGHBOURS_KEPT = 250_000
 #: characters of text whose words go through the trie together
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -190,9 +191,15 @@ class Vocabulary:
         return found
 
 
-@functools.lru_cache(maxsize=2)
+#: the vocabulary last used by this Python worker
+_LOADED: dict[str, Vocabulary] = {}
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = Vocabulary(path)
+    return _LOADED[path]
 
 
 class Encoder:
@@ -201,6 +208,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         self.bytes_of = np.array(self.vocabulary.bytes_of, object)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -215,14 +223,16 @@ class Encoder:
         yield from self._encode_block(block)
 
     def _encode_block(self, block: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > WORDS_KEPT:
+        if self.known_bytes > KEPT_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         known = self.known
         for text, token in self.vocabulary.special.items():
             known[text] = token.to_bytes(4, "little")
         new = {piece.encode() for piece in set().union(*block).difference(known)}
         for word, ids in self.vocabulary.encode_words(new):
             known[word.decode()] = np.array(ids, "<u4").tobytes()
+            self.known_bytes += ENTRY_BYTES + len(word) + 4 * len(ids)
         for pieces in block:
             yield b"".join(map(known.__getitem__, pieces))
 
@@ -231,40 +241,42 @@ class Encoder:
         return b"".join(tokens.tolist()).decode("utf-8", errors="replace")
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _forget() -> None:
+    """Drop what tasks remembered of their texts; the vocabulary itself stays for the next task of the worker."""
+    for path in list(_LOADED):
+        _LOADED[path].neighbours.clear()
+        _LOADED[path].edge.clear()
 
 
 def encode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``ids``: the token ids of every whole text as packed little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file(tokenizer))
+        own = Encoder(tokenizer_file(tokenizer))
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(texts), pa.binary())], ["doc_id", "ids"])
 
-    return keyed_texts(df, key, text).mapInArrow(run, "doc_id bigint, ids binary")
+    return keyed_texts(df, key, text).mapInArrow(released(run, _forget), "doc_id bigint, ids binary")
 
 
 def decode(df: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """``doc_id`` and ``text`` of what ``encode`` gives; ids that end inside a character give U+FFFD there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file(tokenizer))
+        own = Encoder(tokenizer_file(tokenizer))
         for batch in batches:
             texts = [own.decode(ids or b"") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return df.select("doc_id", "ids").mapInArrow(released(run, _forget), "doc_id bigint, text string")
 
 
 def round_trip(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of what ``encode`` and then ``decode`` give, in one pass: neither ids nor texts leave the Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_file(tokenizer))
+        own = Encoder(tokenizer_file(tokenizer))
         for batch in batches:
             counts, ids, texts = [], [], []
             for packed in own.encode(["" if t is None else t for t in batch.column(1).to_pylist()]):
@@ -277,4 +289,4 @@ def round_trip(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", key: str = "
             )
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return keyed_texts(df, key, text).mapInArrow(run, schema)
+    return keyed_texts(df, key, text).mapInArrow(released(run, _forget), schema)

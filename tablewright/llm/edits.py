@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.bpe import PRETOKEN, PRETOKEN_LATIN, WORDS_KEPT, Vocabulary, vocabulary
+from tablewright.llm.bpe import PRETOKEN, PRETOKEN_LATIN, Vocabulary, vocabulary
 from tablewright.llm.common import tokenizer_file
 
 LEAF = 16
@@ -37,6 +37,8 @@ CONTEXT = 4
 #: characters of text whose words are encoded together
 BLOCK_CHARS = 4_000_000
 EDITS = "array<struct<start:bigint,end:bigint,replacement:string>>"
+#: words whose counts a Python worker remembers; refilled, never cut off
+WORDS_KEPT = 200_000
 
 
 class Counter:

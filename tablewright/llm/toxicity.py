@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import keyed_texts
+from tablewright.llm.common import keyed_texts, released
 
 BUCKETS = 1 << 17
 DIMENSIONS = 16
@@ -267,7 +267,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             found = list(scorer.score(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return keyed_texts(docs, key, text).mapInArrow(run, "doc_id bigint, score double")
+    return keyed_texts(docs, key, text).mapInArrow(released(run), "doc_id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -279,4 +279,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
         for batch in batches:
             yield batch.filter(pa.array([x < threshold for x in scorer.score(batch.column(place).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

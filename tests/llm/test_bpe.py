@@ -52,7 +52,7 @@ def test_empty_table(nothing):
 
 
 def test_caches_refill(monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 2_000)
     monkeypatch.setattr(bpe, "NEIGHBOURS_KEPT", 3)
     own = bpe.Encoder(PATH)
     texts = ["some words here", "other words there", "some words again"] * 3

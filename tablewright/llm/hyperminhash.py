@@ -13,8 +13,8 @@ meets most others, which in a group of edited copies is close to all of them),
 and checked against the hub most similar by estimate.  Those links give
 components.  In each bucket that still holds several, the component with most
 rows is the pivot, the others' rows are strays.  Strays of a pivot are compared
-with all its rows and with each other, in blocks of ``BLOCK_ROWS``, inside
-tasks that return only links which join components.  So a group of copies
+with all its rows and with each other, in blocks of about ``BLOCK_ROWS`` rows and
+``SET_BYTES`` of sets, inside tasks that return only links which join components.  So a group of copies
 never becomes rows for all its pairs, yet every pair that shares a bucket is
 either in one component already or tested.  A pair is checked on full sets
 unless its estimate is five standard deviations below the threshold.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import WORD_PATTERN, keyed_texts
+from tablewright.llm.common import WORD_PATTERN, keyed_texts, released
 from tablewright.llm.components import components
 from tablewright.operators.staging import stage
 
@@ -45,7 +45,9 @@ MANTISSA = 10
 VALUE_BITS = 40
 DEVIATIONS = 5.0
 BLOCK_BYTES = 1_000_000
+SHARES = 1_000  # a class of more than this part of all rows is dealt out; there are fewer of them than this, so they are broadcast
 BLOCK_ROWS = 512
+SET_BYTES = 8_000_000  # of whole sets in a block of strays, unless one alone has more
 
 _RANDOM = np.random.default_rng(88)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,7 +195,7 @@ def sketches(df: DataFrame, width: int, key: str = "doc_id", text: str = "text")
                 )
 
     schema = "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>"
-    return keyed_texts(df, key, text).mapInArrow(run, schema)
+    return keyed_texts(df, key, text).mapInArrow(released(run), schema)
 
 
 def least_estimate(percent: int) -> float:
@@ -218,7 +220,7 @@ def similar_enough(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimate)], ["a", "b", "estimate"])
             yield out.filter(pa.array(estimate >= least))
 
-    return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a bigint, b bigint, estimate double")
+    return joined.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(released(run), "a bigint, b bigint, estimate double")
 
 
 def with_sets(df: DataFrame, rows: DataFrame, width: int, key: str, text: str) -> DataFrame:
@@ -231,7 +233,7 @@ def with_sets(df: DataFrame, rows: DataFrame, width: int, key: str, text: str) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = keyed_texts(df, key, text).join(wanted, "doc_id", "left_semi").mapInArrow(run, "rep bigint, shingles binary")
+    sets = keyed_texts(df, key, text).join(wanted, "doc_id", "left_semi").mapInArrow(released(run), "rep bigint, shingles binary")
     # an id with several texts has several sets; its sizes tell which is which
     return sets.withColumn("n_shingles", F.expr("cast(length(shingles) / 8 as bigint)")).join(rows, ["rep", "n_shingles"])
 
@@ -256,7 +258,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(released(compare), "a bigint, b bigint")
 
 
 class _Joined(dict):
@@ -295,9 +297,13 @@ def links_of_block(strays: list[tuple], rows: list[tuple], percent: int) -> Iter
 def stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the strays (pivot, rep) of each pivot and its members or other strays."""
     everyone = members.union(strays)
-    n_strays = strays.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    n_rows = everyone.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cuts"))
-    counts = n_strays.join(n_rows, "pivot")
+    sizes = sets.select("rep", F.length("shingles").alias("bytes"))
+
+    def blocks_of(rows: DataFrame, name: str) -> DataFrame:
+        need = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / SET_BYTES)
+        return rows.join(sizes, "rep").groupBy("pivot").agg(F.ceil(need).cast("int").alias(name))
+
+    counts = blocks_of(strays, "parts").join(blocks_of(everyone, "cuts"), "pivot")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     cut = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
     all_parts, all_cuts = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("parts", "cuts"))
@@ -323,15 +329,24 @@ def stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent:
         yield flush()
 
     columns = placed.select("pivot", "part", "cut", "stray", "rep", "comp", "registers", "shingles")
-    return columns.mapInArrow(run, "a bigint, b bigint")
+    return columns.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked id) and kept, for every row of ``df``."""
     drawn = stage(sketches(df, width, key, text), "sketches")
-    classes = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"))
+    # rows of a large class go to several tasks, each with its own copy of the class's row; rows without a set need none
+    classes = stage(classes, "digests")
+    most = max(1, (classes.agg(F.sum("times")).first()[0] or 0) // SHARES)
+    salts = F.ceil(F.col("times") / most).cast("int")
+    large = classes.where(F.col("times") > most).select("digest", salts.alias("salts"))
+    salted = classes.select("digest", "rep", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    worded = drawn.where("digest IS NOT NULL").join(F.broadcast(large), "digest", "left")
+    worded = worded.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    classed = worded.join(salted, ["digest", "salt"], "left").unionByName(drawn.where("digest IS NULL"), allowMissingColumns=True)
     rows = stage(
-        drawn.join(classes, "digest", "left").select(
+        classed.select(
             "doc_id",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"),
@@ -355,8 +370,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     best = near.groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("first"))).alias("best"))
     best = best.select((-F.col("best.first")).alias("a"), "b")
     # an id of several classes belongs to all of them
-    several = rows.where("rep IS NOT NULL AND doc_id > rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    several = several.where("a < b").select("a", "b").union(several.where("a < b").select("a", F.col("doc_id").alias("b")))
+    of_ids = rows.where("rep IS NOT NULL").select("doc_id", "rep").distinct()
+    firsts = of_ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    several = of_ids.join(firsts, "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
     joined = components(stage(confirmed(best, sets, percent).union(several), "links"))
 
     own = F.coalesce("component", "rep").alias("comp")

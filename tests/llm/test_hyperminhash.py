@@ -105,3 +105,20 @@ def test_components_of_a_chain_a_star_and_a_hub(spark):
     want = {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}, 2001: 2000}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_with_several_texts_is_one_document(docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    two = [(1, b, "s"), (5, a, "s"), (5, b, "s"), (7, a, "s"), (8, c, "s")]
+    got = {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(docs(two)).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (8, 8)}
+    assert sorted(r.doc_id for r in hyperminhash.drop_near_duplicates(docs(two)).collect()) == [1, 8]
+    three = [(2, a, "s"), (3, b, "s"), (4, c, "s"), (9, a, "s"), (9, b, "s"), (9, c, "s"), (6, d, "s")]
+    got = {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(docs(three)).collect()}
+    assert got == {(2, 2), (3, 2), (4, 2), (9, 2), (6, 6)}
+
+
+def test_a_large_class_is_dealt_out(docs, near_rows, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "SHARES", 20)
+    rows = near_rows + [(5_000 + i, near_rows[0][1], "s") for i in range(60)] + [(9_000 + i, "", "s") for i in range(60)]
+    check(rows, hyperminhash.near_duplicates(docs(rows), width=2).collect(), 2)

@@ -32,6 +32,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.names import bind
+
 TURN_OPEN, ROLE_CLOSE, TURN_CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
 #: fixed values: what may mark turns in a prompt and is therefore escaped in texts
 CONTROLS = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]")
@@ -159,14 +161,15 @@ def canonical_records(df: DataFrame, key: str = "conv_id", record: str = "record
         return F.coalesce(some, F.lit(False))
 
     paths = F.filter(F.array(*(F.when(holds(p), F.lit(p)) for p in KNOWN_PATHS)), lambda p: p.isNotNull())
-    found = found.withColumn("paths", paths).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    # bound, or every use of the paths would look for them again
+    found = bind(found, {"paths": paths}).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
     name = F.lit(None).cast("string")
     for layout in sorted(reversed(LAYOUTS), key=lambda layout: len(layout.paths)):
         fits = F.size(F.array_except(F.array(*map(F.lit, sorted(layout.paths))), "paths")) == 0
         name = F.when(fits, F.lit(layout.name)).otherwise(name)
     for layout in LAYOUTS:
         name = F.when(F.col("fingerprint") == layout.fingerprint, F.lit(layout.name)).otherwise(name)
-    found = found.withColumn("layout", name)
+    found = bind(found, {"layout": name})
 
     def at(layout: Layout):
         def column(path: str) -> Column:

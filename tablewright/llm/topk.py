@@ -16,7 +16,8 @@ that lead after the first step, and from blocks the same task met before; it
 only ever grows.
 
 Rows count with components ``floor(scale * x)``, exact integers.  Vectors that
-are null or hold null, NaN or infinite components take no part; vectors are
+are null or hold null, NaN or infinite components take no part, nor do rows
+without an id; columns besides the two read cannot clash; vectors are
 compared with those of the same number of dimensions only, an empty vector
 with none.  A row never answers its own id; rows that repeat an id are all
 candidates.  Ties go to the smaller id.  Whole components and scores
@@ -27,6 +28,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ SPARSE = 0.1  # share of (query, row) pairs below which the rest goes pair by pa
 PAIRS = 100_000
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 1_024
+PASS_BYTES = 64_000_000  # of queries broadcast at once
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 EXACT, EXACT_SINGLE = 2.0**53, 2.0**24  # integers up to here are exact in double and single precision
 
@@ -57,8 +60,9 @@ def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     counts = counted.groupBy("dims").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     # as many rows as there are different numbers of dimensions
     placed = counted.join(counts, "dims").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int"))
-    grouped = placed.groupBy("dims", "block").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("vector")).alias("values"))
-    return grouped.select("dims", "block", "ids", "values")
+    # id and vector of a row stay together until the block is whole
+    grouped = placed.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))
+    return grouped.select("dims", "block", F.col("rows.vec_id").alias("ids"), F.flatten("rows.vector").alias("values"))
 
 
 def _first_k(query: np.ndarray, row_ids: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +144,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0)
     whole = F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     if scale == 1.0:
         whole = F.transform("vector", lambda x: x.cast("double"))
-    data = stage(in_blocks(rows.where(usable(F.col("vector"))).select("vec_id", whole.alias("vector")), BLOCK_ROWS), "row-blocks")
-    asked = stage(in_blocks(queries.where(usable(F.col("vector"))).select("vec_id", whole.alias("vector")), BLOCK_QUERIES), "query-blocks")
+    taking_part = usable(F.col("vector")) & F.col("vec_id").isNotNull()
+    data = stage(in_blocks(rows.where(taking_part).select("vec_id", whole.alias("vector")), BLOCK_ROWS), "row-blocks")
+    asked = stage(in_blocks(queries.where(taking_part).select("vec_id", whole.alias("vector")), BLOCK_QUERIES), "query-blocks")
     asked = asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    # a stated set of queries against all rows, a block of each at a time
-    met = data.join(asked, "dims").repartition("dims", "block", "q_block").sortWithinPartitions("dims", "q_block")
+    size = asked.agg(F.sum((F.size("q_values") + F.size("q_ids")) * 8)).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, certain = None, None
+        sure: dict[tuple[int, int], np.ndarray] = {}  # of the queries of a pass
         for batch in batches:
             for row in range(batch.num_rows):
                 dims, q_block, ids, values, q_ids, q_values = (batch.column(i)[row] for i in range(6))
@@ -155,8 +160,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0)
                 ids, q_ids = ids.values.to_numpy(), q_ids.values.to_numpy()
                 columns = values.values.to_numpy().reshape(-1, n).T
                 asked = q_values.values.to_numpy().reshape(-1, n)
-                if block != (n, q_block.as_py()):
-                    block, certain = (n, q_block.as_py()), np.full(len(q_ids), -np.inf)
+                certain = sure.setdefault((n, q_block.as_py()), np.full(len(q_ids), -np.inf))
                 if np.abs(columns).max() * np.abs(asked).max() * n >= EXACT:
                     query, vec, score = exact_of_block(asked, q_ids, columns, ids, k)
                 else:
@@ -164,9 +168,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0)
                 score = pa.array([int(s) for s in score.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(vec), score], ["query_id", "vec_id", "score"])
 
-    parts = met.select("dims", "q_block", "ids", "values", "q_ids", "q_values").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = []
+    # a stated set of queries against all rows: blocks of rows stay where they are, blocks of queries come to them, a
+    # broadcast of about PASS_BYTES (as measured above) at a time; a query is in one pass
+    for number in range(passes):
+        some = asked.where(F.pmod(F.col("q_block") + F.col("dims"), F.lit(passes)) == number)
+        met = data.join(F.broadcast(some), "dims").select("dims", "q_block", "ids", "values", "q_ids", "q_values")
+        best = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").withColumn("rank", rank).where(F.col("rank") <= k)
+        best = best.select("query_id", "rank", "vec_id", "score")
+        found.append(best if passes == 1 else stage(best, "pass"))
+    return reduce(DataFrame.union, found)
 
 
 def exact_of_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

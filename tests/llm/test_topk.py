@@ -61,3 +61,19 @@ def test_nothing(spark):
     assert topk.top_k(empty, empty).count() == 0
     single = spark.createDataFrame([(0, [1.0])], SCHEMA)
     assert topk.top_k(single, single).count() == 0
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame([(None, [99.0, 99.0])] + rows[:15] + [(None, [1.0, 1.0])] + rows[15:], SCHEMA).coalesce(1)
+    got = topk.top_k(df, df.where("vec_id % 5 = 0"), k=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, [r for r in rows if r[0] % 5 == 0], 4)
+
+
+def test_queries_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PASS_BYTES", 300)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 7 else 3).astype(np.float32)]) for i in range(120)]
+    check(spark, rows, 5)

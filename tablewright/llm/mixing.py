@@ -212,8 +212,8 @@ def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str
     counts = copies(df, key, source, text, **options).groupBy("doc_id", "row_hash")
     counts = counts.agg(F.sum("copies").alias("total"), F.count("*").alias("times")).where("total > 0")
     counts = stage(counts.select(F.col("doc_id").alias("_mix_id"), F.col("row_hash").alias("_mix_hash"), "total", "times"), "copies")
-    rows = df.withColumn("_mix_row", F.struct(*(F.col(f"`{c}`") for c in df.columns))).select(
-        "_mix_row",
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_mix_row"),
         F.col(f"`{key}`").cast("bigint").alias("_mix_key"),
         row_hash(F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`")).alias("_mix_own"),
     )

@@ -210,8 +210,9 @@ def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by dated block and allow lists over hosts, domains and paths of the pages themselves."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", 18_000 + F.expr(_drawn("CAST(page_id AS STRING)", True)) % 1_000)
-    named = pages.select(F.explode(urls.keys_of(urls.host_of(F.col("url")), F.slice(urls.path_parts(F.col("url")), 1, 1))).alias("key")).distinct()
-    dated = named.crossJoin(F.broadcast(spark.sql("SELECT explode(array('allow', 'block')) AS list"))).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    named = pages.select(F.explode(urls.keys_of(urls.host_of(F.col("url")), urls.path_parts(F.col("url")))).alias("key")).distinct()
+    lists = F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("list")
+    dated = named.select("key", lists).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(5))))
     text = "concat_ws('|', list, key, CAST(place AS STRING))"
     dated = dated.where(F.expr(_drawn("concat_ws('|', list, key)", True)) % 3 == 0)
     entries = dated.select(
@@ -232,11 +233,9 @@ WITH captures AS (
 lookups AS (
     SELECT page_id, day, host, unnest(list_concat(
         list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-        list_transform(range(1, least(len(parts), 2) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key,
-        len(parts) > 1 AND host IS NOT NULL AS deep, parts
+        list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key
     FROM captures WHERE host IS NOT NULL),
-named AS (
-    SELECT DISTINCT key FROM lookups WHERE NOT (len(parts) > 1 AND key = host || '/' || array_to_string(parts[1:2], '/'))),
+named AS (SELECT DISTINCT key FROM lookups),
 dated AS (
     SELECT list, key, 18000 + {_drawn("concat_ws('|', list, key, place::VARCHAR)", False)} % 1000 AS day,
         CASE WHEN {_drawn("concat_ws('|', list, key, place::VARCHAR) || '!'", False)} % 2 = 0 THEN 'add' ELSE 'remove' END AS action

@@ -1,7 +1,7 @@
 """URL lists in time: dated entries become validity intervals, and every capture is judged by those active when it was fetched.
 
 A list entry names a key (a host, a domain above it, or a host with the first
-one or two parts of a path), an action (``add`` or ``remove``) and a day.
+parts of a path, however many), an action (``add`` or ``remove``) and a day.
 Entries of one list and key, in order of day (on one day removals count last),
 follow each other: an addition holds from its day until the day of the next
 entry.
@@ -15,7 +15,8 @@ Lookups of one address and day are made once.
 
 The active entry with the longest key decides; of equal keys, the allowing list
 does.  A capture without any active entry is kept, so is one without a host or
-a day.  Entries without list, key, day or a known action count for nothing.
+a day, or with one further than ``LAST_DAY`` days from 1970.  Entries without
+list, key, day or a known action count for nothing; their days may be any.
 Repeated captures get a row each; empty tables give empty results.
 """
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 PERIOD = 128
 HOT = 1_000
-FIRST_DAY = -(1 << 20)
+#: days further than this from 1970 (some 2,700 years) are no days; so the periods that occur are at most 15,626
+LAST_DAY = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -42,12 +44,18 @@ def path_parts(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-def keys_of(host: Column, parts: Column) -> Column:
-    """Everything a list may name an address by: host with one or two parts of the path, host, domains above it."""
+def keys_of(host: Column, parts: Column, depths: list[int] | None = None) -> Column:
+    """Everything a list may name an address by: host, domains above it, host with the first parts of the path.
+
+    ``depths`` says how many parts; all numbers if it isn't given.
+    """
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    depth = F.least(F.size(parts), F.lit(2))
-    paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    if depths is None:
+        wanted = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    else:
+        wanted = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: i <= F.size(parts))
+    paths = F.transform(wanted, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.when(host.isNotNull(), F.concat(hosts, F.coalesce(paths, F.array().cast("array<string>"))))
 
 
@@ -64,24 +72,29 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judged(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", day: str = "day", allow: str = "allow") -> DataFrame:
     """Per capture: page_id, host, day, n_active, decided_by (list and key) and verdict (keep or drop)."""
     rows = captures.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{day}`").cast("bigint").alias("day"))
-    rows = rows.select("page_id", "day", host_of(F.col("url")).alias("host"), F.slice(path_parts(F.col("url")), 1, 2).alias("parts"))
-    lookups = rows.where("host IS NOT NULL AND day IS NOT NULL").select("host", "parts", "day").distinct()
-    asked = lookups.select("host", "parts", "day", F.explode(keys_of(F.col("host"), F.col("parts"))).alias("key"))
+    # as deep as any entry names a path, and only the depths that any entry has: as many numbers as those
+    slashes = F.length("key") - F.length(F.replace(F.col("key"), F.lit("/"), F.lit("")))
+    depths = sorted(r[0] for r in entries.where("key LIKE '%/%'").select(slashes).distinct().toLocalIterator())
+    deepest = max(depths, default=0)
+    rows = rows.select("page_id", "day", host_of(F.col("url")).alias("host"), F.slice(path_parts(F.col("url")), 1, deepest).alias("parts"))
+    lookups = rows.where(f"host IS NOT NULL AND abs(day) <= {LAST_DAY}").select("host", "parts", "day").distinct()
+    asked = lookups.select("host", "parts", "day", F.explode(keys_of(F.col("host"), F.col("parts"), depths)).alias("key"))
     period = F.floor(F.col("day") / PERIOD).alias("period")
     asked = asked.withColumn("period", period)
 
     counts = asked.groupBy("key").agg(F.count("*").alias("n"))
-    total, low, high = asked.agg(F.count("*"), F.min("period"), F.max("period")).first()
+    total, periods = asked.agg(F.count("*"), F.sort_array(F.collect_set("period"))).first()
     share = max(1, (total or 0) // HOT)
     hot = F.broadcast(counts.where(F.col("n") > share).select("key", F.ceil(F.col("n") / share).cast("int").alias("salts")))
     one = F.coalesce("salts", F.lit(1))
     salt = F.pmod(F.xxhash64("host", "parts", "day"), one).cast("int").alias("salt")
     asked = asked.join(hot, "key", "left").select("host", "parts", "day", "key", "period", salt)
 
-    since = F.greatest(F.floor(F.col("since") / PERIOD), F.lit(low or 0))
-    until = F.least(F.floor((F.coalesce("until", F.lit(1 << 40)) - 1) / PERIOD), F.lit(high or 0))
-    valid = intervals(entries).withColumn("from", since).withColumn("to", until).where("from <= to AND (until IS NULL OR since < until)")
-    valid = valid.join(hot, "key", "left").select("list", "key", "since", "until", F.explode(F.sequence("from", "to")).alias("period"), one.alias("salts"))
+    since, until = F.floor(F.col("since") / PERIOD), F.floor((F.col("until") - 1) / PERIOD)
+    valid = intervals(entries).withColumn("from", since).withColumn("to", until).where("until IS NULL OR since < until")
+    # an interval stands in the periods that any capture asks for, so a long span costs no more than a short one
+    held = F.filter(F.array(*map(F.lit, periods or [])).cast("array<bigint>"), lambda p: (p >= F.col("from")) & (F.col("to").isNull() | (p <= F.col("to"))))
+    valid = valid.join(hot, "key", "left").select("list", "key", "since", "until", F.explode(held).alias("period"), one.alias("salts"))
     valid = valid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     at = (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))

@@ -65,19 +65,29 @@ def distinct_headers(names: list[str | None]) -> list[str]:
     return out
 
 
+def _common_name(header: str, known: dict[str, str]) -> str:
+    """The alias of a header by its lower-case spelling, else by its own; the header itself without one."""
+    for spelling in (header.lower(), header):
+        if spelling in known:
+            return known[spelling]
+    return header
+
+
 def align_headers(names: list[str], aliases: dict[str, str] | None = None) -> list[str]:
     """Common name of every header, in order; a name met again gets _2, _3, …"""
-    table = K.HEADER_ALIASES if aliases is None else aliases
-    out: list[str] = []
-    for raw in names:
-        clean = normalize_header(raw)
-        common = table.get(clean.lower(), table.get(clean, clean))
-        candidate, number = common, 1
-        while candidate in out:
+    known = K.HEADER_ALIASES if aliases is None else aliases
+    last: dict[str, int] = {}  # the number each common name was last given
+    given: dict[str, None] = {}
+    for name in names:
+        common = _common_name(normalize_header(name), known)
+        number = last.get(common, 0) + 1
+        numbered = common if number == 1 else f"{common}_{number}"
+        while numbered in given:  # a header that reads like a numbered one
             number += 1
-            candidate = f"{common}_{number}"
-        out.append(candidate)
-    return out
+            numbered = f"{common}_{number}"
+        last[common] = number
+        given[numbered] = None
+    return list(given)
 
 
 def order_columns(left: list[str], right: list[str], keys: list[str]) -> list[str]:

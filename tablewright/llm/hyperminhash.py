@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import WORD_PATTERN, keyed_texts, released
@@ -294,20 +294,21 @@ def links_of_block(strays: list[tuple], rows: list[tuple], percent: int) -> Iter
                 yield (rep, reps[i])
 
 
-def stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the strays (pivot, rep) of each pivot and its members or other strays."""
-    everyone = members.union(strays)
-    sizes = sets.select("rep", F.length("shingles").alias("bytes"))
+def stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the strays (pivot, rep) of each pivot and its members or other strays; ``sizes``: bytes of each set."""
+    sides = members.select("pivot", "rep", F.lit(False).alias("is_stray")).union(strays.select("pivot", "rep", F.lit(True)))
+    everyone = stage(sides, "sides")
 
-    def blocks_of(rows: DataFrame, name: str) -> DataFrame:
-        need = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("bytes") / SET_BYTES)
-        return rows.join(sizes, "rep").groupBy("pivot").agg(F.ceil(need).cast("int").alias(name))
+    def blocks_of(which: Column, name: str) -> Column:
+        need = F.greatest(F.count_if(which) / BLOCK_ROWS, F.sum(F.when(which, F.col("bytes"))) / SET_BYTES)
+        return F.ceil(need).cast("int").alias(name)
 
-    counts = blocks_of(strays, "parts").join(blocks_of(everyone, "cuts"), "pivot")
+    counts = everyone.join(sizes, "rep").groupBy("pivot").agg(blocks_of(F.col("is_stray"), "parts"), blocks_of(F.lit(True), "cuts"))
+    counts = stage(counts.where("parts > 0"), "cuts")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     cut = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
     all_parts, all_cuts = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("parts", "cuts"))
-    left = strays.join(counts, "pivot").select("pivot", "rep", part.alias("part"), F.explode(all_cuts).alias("cut"), F.lit(True).alias("stray"))
+    left = everyone.where("is_stray").join(counts, "pivot").select("pivot", "rep", part.alias("part"), F.explode(all_cuts).alias("cut"), F.lit(True).alias("stray"))
     right = everyone.join(counts, "pivot").select("pivot", "rep", F.explode(all_parts).alias("part"), cut.alias("cut"), F.lit(False).alias("stray"))
     payload = sets.select("rep", "comp", "registers", "shingles")
     rows = left.union(right.select("pivot", "rep", "part", "cut", "stray")).join(payload, "rep")
@@ -372,7 +373,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     # an id of several classes belongs to all of them
     of_ids = rows.where("rep IS NOT NULL").select("doc_id", "rep").distinct()
     firsts = of_ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
-    several = of_ids.join(firsts, "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
+    several = stage(of_ids.join(firsts, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")), "several")
     joined = components(stage(confirmed(best, sets, percent).union(several), "links"))
 
     own = F.coalesce("component", "rep").alias("comp")
@@ -383,7 +384,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     strays = stage(labelled.join(pivots, "band").where("comp <> pivot").select("pivot", "rep").distinct(), "strays")
     members = labelled.select(F.col("comp").alias("pivot"), "rep").distinct().join(strays.select("pivot").distinct(), "pivot")
     known = sets.join(labelled.select("rep", "comp").distinct(), "rep")
-    more = stray_links(strays, members, known, percent)
+    sizes = sets.select("rep", (F.col("n_shingles") * 8).alias("bytes"))
+    more = stray_links(strays, members, known, sizes, percent)
     final = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     label = F.coalesce("component", "rep", "doc_id")

@@ -11,7 +11,7 @@ from tablewright.plans.jobs import (
     with_wording,
 )
 from tablewright.sources.files import discover_tables, scan_many, scan_table
-from tablewright.sources.sinks import output_layout, write_report, write_result, write_split
+from tablewright.sources.sinks import output_layout, split_files, write_report, write_result, write_split
 from tablewright.sources.workbook import scan_workbooks
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "scan_many",
     "scan_table",
     "scan_workbooks",
+    "split_files",
     "split_job",
     "with_wording",
     "write_report",

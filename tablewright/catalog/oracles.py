@@ -265,6 +265,16 @@ def safe(x: str) -> str:
     return f"CASE WHEN {inner} = '' THEN '空值' ELSE {inner} END"
 
 
+BRANDS = (
+    "SELECT p_partkey AS rid, CASE p_partkey % 4 WHEN 0 THEN replace(p_brand, '#', '/') WHEN 1 THEN replace(p_brand, '#', ':') "
+    "WHEN 2 THEN replace(p_brand, '#', '_') ELSE ' none ' END AS brand FROM part"
+)
+BRAND_PARTS = f"""
+SELECT label || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS file_label, value, n_rows, first_row,
+  CASE WHEN value IS NULL THEN 'blank_key' WHEN nth > 1 THEN 'renamed' ELSE '' END AS note FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY value IS NOT NULL, first_row) AS nth FROM (
+    SELECT {safe('value')} AS label, value, count(*) AS n_rows, min(rid) AS first_row
+    FROM (SELECT rid, CASE WHEN NOT {blank('brand', 'split')} THEN brand END AS value FROM ({BRANDS}) p) v GROUP BY value) g) h"""
 PART_MODELS = (
     "SELECT p_partkey AS rid, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '/') WHEN 1 THEN replace(p_name, ' ', ':') "
     "WHEN 2 THEN replace(p_name, ' ', '_') ELSE ' none ' END AS model FROM part"
@@ -416,6 +426,23 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY label ORDER BY value IS NOT NULL, first_row) AS nth FROM (
             SELECT {safe('value')} AS label, value, count(*) AS n_rows, min(rid) AS first_row
             FROM (SELECT rid, CASE WHEN NOT {blank('model', 'split')} THEN model END AS value FROM ({PART_MODELS}) p) v GROUP BY value) g) h""",
+    "split_files": f"""
+        SELECT *, row_number() OVER (ORDER BY value IS NOT NULL, first_row) AS seq, n_rows AS written_rows FROM ({BRAND_PARTS}) b""",
+    "split_report": f"""
+        SELECT note AS kind, file_label, value, n_rows FROM ({BRAND_PARTS}) b WHERE note <> ''
+        UNION ALL SELECT 'summary', count(*) || ',' || count(*) FILTER (note <> '') || ',0', NULL, cast(sum(n_rows) AS bigint) FROM ({BRAND_PARTS}) c""",
+    "split_rows_report": """
+        WITH n AS (SELECT count(*) AS rows, (count(*) + 699) // 700 AS parts FROM orders)
+        SELECT 'short' AS kind, '第' || parts || '批_700行' AS file_label, NULL::VARCHAR AS value, rows % 700 AS n_rows FROM n WHERE rows % 700 > 0
+        UNION ALL SELECT 'summary', parts || ',' || (rows % 700 > 0)::INT || ',0', NULL, rows FROM n""",
+    "split_by_source": """
+        WITH parts AS (SELECT 'orders_' || o_orderstatus || '.csv' AS name, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1),
+          skipped AS (SELECT x AS name FROM (VALUES ('orders_F.csv'), ('orders_O.csv'), ('orders_P.csv'), ('orders_X.csv')) t(x)
+                      WHERE x NOT IN (SELECT name FROM parts))
+        SELECT 'part' AS kind, name AS file_label, name AS value, n AS n_rows FROM parts
+        UNION ALL SELECT 'skipped_empty', NULL, name, 0 FROM skipped
+        UNION ALL SELECT 'summary', (SELECT count(*) FROM parts) || ',' || (SELECT count(*) FROM skipped) || ',' || (SELECT count(*) FROM skipped), NULL,
+          (SELECT cast(coalesce(sum(n), 0) AS bigint) FROM parts)""",
     "split_blank_key": f"SELECT _row_id, phone FROM ({PERSONS_SQL}) t WHERE {blank('name', 'split')}",
     "split_written": f"""
         SELECT CASE WHEN NOT {blank('city', 'split')} THEN city END AS part, count(*) AS n_rows, count(*) FILTER (NOT {blank('phone')}) AS phones
@@ -471,9 +498,11 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS place
         FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
     "merge_widened": """
-        SELECT 'a' AS 来源文件, round(sum(p_size)::DOUBLE, 2) AS total, round(max(p_size)::DOUBLE, 2) AS most FROM part
-        UNION ALL SELECT 'b', round(sum(p_partkey)::DOUBLE, 2), round(max(p_partkey)::DOUBLE, 2) FROM part
-        UNION ALL SELECT 'c', round(sum(p_retailprice), 2), round(max(p_retailprice), 2) FROM part""",
+        SELECT 'a' AS 来源文件, round(sum(p_size)::DOUBLE, 2) AS total, round(max(p_size)::DOUBLE, 2) AS most,
+          sum(p_size::DECIMAL(28,2))::VARCHAR AS ids FROM part
+        UNION ALL SELECT 'b', round(sum(p_partkey)::DOUBLE, 2), round(max(p_partkey)::DOUBLE, 2),
+          sum((p_partkey + 9007199254740992)::DECIMAL(28,2))::VARCHAR FROM part
+        UNION ALL SELECT 'c', round(sum(p_retailprice), 2), round(max(p_retailprice), 2), sum(p_retailprice::DECIMAL(28,2))::VARCHAR FROM part""",
     "occurrence_blocks": """
         SELECT event_id * 100003 AS _row_id, nullif(event_type, 'click') AS kind,
           row_number() OVER (PARTITION BY nullif(event_type, 'click') ORDER BY event_id) AS nth FROM events""",

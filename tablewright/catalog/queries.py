@@ -42,6 +42,7 @@ from tablewright.plans.jobs import (
     with_result_row,
 )
 from tablewright.sources.files import discover_tables, scan_many, scan_table
+from tablewright.sources.sinks import split_files as read_split_files
 from tablewright.sources.sinks import write_report, write_result, write_split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +481,52 @@ def split_labels(spark, sf):
     return spl.split_manifest(parts, "model")
 
 
+def _brands(spark, sf):
+    """Parts with a brand whose spellings give the same file name, and some without one."""
+    brand = "CASE p_partkey % 4 WHEN 0 THEN replace(p_brand, '#', '/') WHEN 1 THEN replace(p_brand, '#', ':') WHEN 2 THEN replace(p_brand, '#', '_') ELSE ' none ' END"
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("_row_id"), F.expr(brand).alias("brand"), "p_name")
+
+
+@query
+def split_files(spark, sf):
+    """Parts whose labels collide, written under their file labels: the manifest beside the folders."""
+    job = split_job(_brands(spark, sf), "column", "brand")
+    path = _scratch(spark, "split")
+    write_split(job.result, path, manifest=job.report["manifest"])
+    return read_split_files(spark, path, job.report["manifest"]).drop("n_files")
+
+
+@query
+def split_report(spark, sf):
+    """Warnings of a split by field, and its totals as one row more."""
+    report = split_job(_brands(spark, sf), "column", "brand").report
+    return _warnings_and_totals(report)
+
+
+def _warnings_and_totals(report):
+    counts = [F.col(c).cast("string") for c in ("parts", "warnings", "skipped")]
+    totals = report["summary"].select(
+        F.lit("summary").alias("kind"), F.concat_ws(",", *counts).alias("file_label"), F.lit(None).cast("string").alias("value"), F.col("total_rows").alias("n_rows")
+    )
+    return report["warnings"].drop("message").unionByName(totals)
+
+
+@query
+def split_rows_report(spark, sf):
+    """Warnings and totals of a split by row count, whose last part may be short."""
+    return _warnings_and_totals(split_job(scan_table(spark, f"{sf}/orders.parquet"), "rows", rows=700).report)
+
+
+@query
+def split_by_source(spark, sf):
+    """Merged tables split again by the table they come from; one that was read had no rows."""
+    merged = mrg.merge_tables(order_slices(spark, sf), add_source=False, audit=True)
+    rows = merged.drop("_source_order").withColumn("_row_id", F.col("订单号"))
+    job = split_job(rows, "sheet", sources=[*(f"orders_{s}.csv" for s in "FOP"), "orders_X.csv"])
+    parts = job.report["manifest"].select(F.lit("part").alias("kind"), "file_label", "value", "n_rows")
+    return parts.unionByName(_warnings_and_totals(job.report))
+
+
 @query
 def split_blank_key(spark, sf):
     return spl.split_blank_key(persons(spark, sf), "name")[1].select("_row_id", "phone")
@@ -646,15 +693,20 @@ def merge_ordered(spark, sf):
 
 @query
 def merge_widened(spark, sf):
-    """Whole numbers of two widths and fractions under one header become numbers, not text."""
+    """Whole numbers of two widths and fractions under one header become numbers; ids that a double would round stay exact."""
     parts = table(spark, sf, "part")
+    wide = (F.col("p_partkey") + 2**53).alias("id")
     groups = [
-        mrg.named_table(parts.select(F.col("p_size").alias("v")), "a", 0),
-        mrg.named_table(parts.select(F.col("p_partkey").alias("v")), "b", 1),
-        mrg.named_table(parts.select(F.col("p_retailprice").alias("v")), "c", 2),
+        mrg.named_table(parts.select(F.col("p_size").alias("v"), F.col("p_size").alias("id")), "a", 0),
+        mrg.named_table(parts.select(F.col("p_partkey").alias("v"), wide), "b", 1),
+        mrg.named_table(parts.select(F.col("p_retailprice").alias("v"), F.col("p_retailprice").alias("id")), "c", 2),
     ]
     merged = mrg.merge_tables(groups)
-    return merged.groupBy("来源文件").agg(F.round(F.sum("v"), 2).alias("total"), F.round(F.max("v"), 2).alias("most"))
+    return merged.groupBy("来源文件").agg(
+        F.round(F.sum("v"), 2).alias("total"),
+        F.round(F.max("v"), 2).alias("most"),
+        F.sum(F.col("id").cast("decimal(28,2)")).cast("decimal(38,2)").cast("string").alias("ids"),
+    )
 
 
 @query

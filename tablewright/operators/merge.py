@@ -67,8 +67,12 @@ def merged_columns(
     return list(seen)
 
 
-def widened(types: set[T.DataType]) -> T.DataType:
-    """The narrowest type that holds the values of all; text where there is none."""
+def widened(types: set[T.DataType], exact: bool = True) -> T.DataType:
+    """The narrowest type that holds the values of all; text where there is none.
+
+    Doubles hold whole numbers and decimals of up to 15 digits.  ``exact`` tells
+    whether those of longer types survive as doubles; where they don't, text does.
+    """
     if len(types) == 1:
         return next(iter(types))
     if all(isinstance(t, T.IntegralType) for t in types):
@@ -78,19 +82,52 @@ def widened(types: set[T.DataType]) -> T.DataType:
         whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in types)
         return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
     if all(isinstance(t, T.NumericType) for t in types):
-        return T.DoubleType()
+        return T.DoubleType() if exact else T.StringType()
     if all(isinstance(t, (T.DateType, T.TimestampType)) for t in types):
         return T.TimestampType()
     return T.StringType()
 
 
+def _may_round(dtype: T.DataType) -> bool:
+    """Whether a double may hold a value of this type only roughly."""
+    return isinstance(dtype, T.LongType) or isinstance(dtype, T.DecimalType) and dtype.precision > 15
+
+
+def _rounds(c: Column, dtype: T.DataType) -> Column:
+    """Whether a value is another one after a turn as a double."""
+    as_double = c.cast("double")
+    changed = ~c.eqNullSafe(as_double.try_cast(dtype))
+    # the largest long comes back from 2**63 by saturation
+    return changed | F.coalesce(as_double >= 2.0**63, F.lit(False)) if isinstance(dtype, T.LongType) else changed
+
+
+def _rounded_as_double(frames: list[DataFrame], held: dict[str, set]) -> set[str]:
+    """Columns that would be doubles, of which one source has a value that no double equals.
+
+    Only sources with a long type of such a column are read, and of them only
+    these columns; each gives one row of flags.
+    """
+    mixed = {n for n, types in held.items() if len(types) > 1 and isinstance(widened(types), T.DoubleType)}
+    checks = []
+    for frame in frames:
+        doubtful = [f for f in frame.schema.fields if f.name in mixed and _may_round(f.dataType)]
+        if doubtful:
+            flags = [F.max(_rounds(named(f.name), f.dataType)) for f in doubtful]
+            found = F.array(*[F.when(flag, F.lit(f.name)) for flag, f in zip(flags, doubtful)])
+            checks.append(frame.agg(F.array_compact(found).alias("rounded")))
+    if not checks:
+        return set()
+    return {name for row in reduce(lambda a, b: a.union(b), checks).collect() for name in row["rounded"]}
+
+
 def _common_types(frames: list[DataFrame]) -> dict[str, T.DataType]:
-    """Type of every column: its own where all sources agree, else a wider one."""
+    """Type of every column: its own where all sources agree, else a wider one that rounds no value."""
     held: dict[str, set] = {}
     for frame in frames:
         for field in frame.schema.fields:
             held.setdefault(field.name, set()).add(field.dataType)
-    return {n: widened(t) for n, t in held.items()}
+    rounded = _rounded_as_double(frames, held)
+    return {n: widened(t, n not in rounded) for n, t in held.items()}
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -121,6 +158,10 @@ def merge_tables(
     Where every source has row ids they stay, as ``_row_id``: sources in their
     order, rows as they stand in them.  With ``audit`` the bookkeeping columns
     ``_source_file`` and ``_source_order`` stay, for the reports below.
+
+    Where whole numbers of 64 bits or long decimals meet doubles under one header,
+    those columns are looked through first: the column is text if a double would
+    round one of them.
     """
     if not groups:
         raise ValueError("none of the tables has data to merge")

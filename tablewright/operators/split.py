@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.constants import BLANK_BUCKET, DEFAULT_ROWS_PER_CHUNK
@@ -91,11 +91,59 @@ def chunk_by_rows(
     return placed.withColumn(CHUNK, F.expr(f"{at} div {int(rows)} + 1")).drop(at)
 
 
-def chunk_manifest(chunked: DataFrame, rows: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
-    counts = chunked.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.select(
-        F.col(CHUNK).alias("chunk"),
-        F.concat(F.lit("第"), F.col(CHUNK).cast("string"), F.lit(f"批_{rows}行")).alias("file_label"),
-        "n_rows",
-        F.when(F.col("n_rows") < rows, F.lit("short")).otherwise(F.lit("")).alias("note"),
+def chunk_manifest(spark: SparkSession, total: int, rows: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+    """One row per part of a table of ``total`` rows: all hold ``rows`` rows but the last, which may be short."""
+    last = -(-total // rows)
+    held = F.least(F.lit(rows), F.lit(total) - (F.col("id") - 1) * rows).cast("bigint")
+    return spark.range(1, last + 1).select(
+        F.col("id").alias("chunk"),
+        F.concat(F.lit("第"), F.col("id").cast("string"), F.lit(f"批_{rows}行")).alias("file_label"),
+        held.alias("n_rows"),
+        F.when(held < rows, F.lit("short")).otherwise(F.lit("")).alias("note"),
     )
+
+
+def split_warnings(manifest: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """(kind, file_label, value, n_rows): parts to look at, and the tables (``name``) of ``empty``, which gave no part."""
+    value = F.col("value") if "value" in manifest.columns else F.lit(None).cast("string").alias("value")
+    found = manifest.filter(F.col("note") != "").select(F.col("note").alias("kind"), "file_label", value, "n_rows")
+    if empty is None:
+        return found
+    nothing = F.lit(None).cast("string").alias("file_label")
+    return found.unionByName(
+        empty.select(F.lit("skipped_empty").alias("kind"), nothing, F.col("name").alias("value"), F.lit(0).cast("bigint").alias("n_rows"))
+    )
+
+
+def split_warning_text(warnings: DataFrame) -> DataFrame:
+    """Add ``message``, the warning as people read it."""
+    text = (
+        F.when(F.col("kind") == "blank_key", F.format_string("「%s」有 %s 行没有拆分字段的值，请补全", "file_label", F.col("n_rows").cast("string")))
+        .when(F.col("kind") == "renamed", F.format_string("「%s」的文件名与别的分组相同，改存为「%s」", "value", "file_label"))
+        .when(F.col("kind") == "short", F.format_string("「%s」未满，只有 %s 行", "file_label", F.col("n_rows").cast("string")))
+        .otherwise(F.format_string("「%s」是空表，没有输出", "value"))
+    )
+    return warnings.withColumn("message", text)
+
+
+def split_summary(manifest: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row: parts, their rows, warnings and tables skipped because they are empty."""
+    zero = F.lit(0).cast("bigint")
+    parts = manifest.select("n_rows", F.lit(1).alias("part"), F.lit(0).alias("warned"), F.lit(0).alias("skipped"))
+    skipped = (F.col("kind") == "skipped_empty").cast("int").alias("skipped")
+    issues = warnings.select(zero.alias("n_rows"), F.lit(0).alias("part"), F.lit(1).alias("warned"), skipped)
+    totals = {"part": "parts", "n_rows": "total_rows", "warned": "warnings", "skipped": "skipped"}
+    return parts.unionByName(issues).agg(*[F.coalesce(F.sum(c), zero).alias(name) for c, name in totals.items()])
+
+
+def with_file_label(bucketed: DataFrame, manifest: DataFrame, name: str = "file_label") -> DataFrame:
+    """Add the label a bucketed row's part has in the manifest.
+
+    Most labels follow from the value alone; only parts renamed because of a
+    collision are looked up, and Spark broadcasts those where they are few.
+    """
+    number, key = unused(bucketed.columns, "_renamed"), unused(bucketed.columns, "_value")
+    renamed = manifest.filter(F.col("note") == "renamed").select(F.col("value").alias(key), F.col("file_label").alias(number))
+    joined = bucketed.join(renamed, F.col(BUCKET) == F.col(key), "left")
+    label = F.coalesce(F.col(number), safe_label(F.col(BUCKET), BLANK_BUCKET))
+    return joined.select(*[named(c) for c in bucketed.columns], label.alias(name))

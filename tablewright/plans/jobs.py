@@ -233,26 +233,46 @@ def merge_job(
 
 
 def split_job(
-    df: DataFrame, mode: str = "column", column: str | None = None, rows: int = DEFAULT_ROWS_PER_CHUNK
+    df: DataFrame,
+    mode: str = "column",
+    column: str | None = None,
+    rows: int = DEFAULT_ROWS_PER_CHUNK,
+    sources: list[str] | None = None,
 ) -> JobResult:
     """Split by field or by row count; the result carries its part in ``_bucket`` or ``_chunk``.
 
     Tables read from several sheets or files split by them with
-    ``mode="sheet"``: the part is ``_source_file``.
+    ``mode="sheet"``: the part is ``_source_file``.  ``sources`` names the
+    sheets that were read, so that those without rows are reported.
+    The report holds ``manifest``, ``warnings`` and ``summary``, and for a
+    field ``review``, the rows that lack it.
     """
     mode = option(mode or "column", ("column", "sheet", "rows"))
     if mode is None:
         raise ValueError("split mode must be column, sheet or rows")
     table = with_row_id(refuse_reserved(df))
+    empty = None
     if mode == "rows":
-        chunked = spl.chunk_by_rows(table, rows)
-        return JobResult(chunked, {"manifest": spl.chunk_manifest(chunked, rows)})
-    field_name = column if mode == "column" else mrg.SOURCE
-    require_columns(table, [field_name], "split column")
-    report = {"manifest": spl.group_sequence(spl.split_manifest(table, field_name))}
+        result = spl.chunk_by_rows(table, rows)
+        manifest = spl.chunk_manifest(table.sparkSession, table.count(), rows)
+    else:
+        field_name = column if mode == "column" else mrg.SOURCE
+        require_columns(table, [field_name], "split column")
+        # a row per part, read by three report tables and the writer
+        manifest = stage(spl.group_sequence(spl.split_manifest(table, field_name)), "manifest")
+        result = spl.with_bucket(table, field_name)
+        if mode == "sheet" and sources is not None:
+            known = table.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(sources)], "name string")
+            empty = known.join(manifest, F.col("name") == F.col("value"), "left_anti")
+    warnings = spl.split_warnings(manifest, empty)
+    report = {
+        "manifest": manifest,
+        "warnings": spl.split_warning_text(warnings),
+        "summary": spl.split_summary(manifest, warnings),
+    }
     if mode == "column":
         report["review"] = spl.split_blank_key(table, field_name)[1]
-    return JobResult(spl.with_bucket(table, field_name), report)
+    return JobResult(result, report)
 
 
 def compare_job(a: DataFrame, b: DataFrame, keys: list[str]) -> JobResult:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.names import named
+from tablewright.functions.names import named, unused
 from tablewright.operators.compare import sink_order
 from tablewright.operators.identity import ROW_ID
 from tablewright.operators.schema import data_columns, restored_header, sink_cells
-from tablewright.operators.split import BUCKET, CHUNK
+from tablewright.operators.split import BUCKET, CHUNK, with_file_label
 
 RECORDS_PER_FILE = 5_000_000
 
@@ -47,21 +47,41 @@ def write_result(
     _save(sink_cells(df.select(*[named(c) for c in data_columns(df)])), path, fmt, mode)
 
 
-def write_split(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write one folder per part of a bucketed or chunked table.
+def write_split(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", manifest: DataFrame | None = None
+) -> None:
+    """Write one folder per part of a bucketed or chunked table, named by the part's value or number.
 
+    With the ``manifest`` of a split by field, folders bear its file labels.
     Rows are brought together per part, and adaptive execution cuts parts above
     the advisory partition size into several tasks, so one large part is not one
     task's work.
     """
-    part = BUCKET if BUCKET in df.columns else CHUNK
     place = [F.col(ROW_ID)] if ROW_ID in df.columns else []
-    cells = sink_cells(df.select(*[named(c) for c in data_columns(df)], F.col(part).cast("string").alias("part"), *place))
+    columns = [named(c) for c in data_columns(df)]
+    if manifest is not None and BUCKET in df.columns:
+        label = unused(df.columns, "_label")
+        df, part = with_file_label(df, manifest, label), F.col(label)
+    else:
+        part = F.col(BUCKET if BUCKET in df.columns else CHUNK).cast("string")
+    cells = sink_cells(df.select(*columns, part.alias("part"), *place))
     # in table order inside each file; the writer keeps an order that begins with the part
     ordered = cells.hint("rebalance", "part").sortWithinPartitions("part", *place)
     _save(ordered.drop(ROW_ID), path, fmt, mode, ["part"])
 
 
+def split_files(spark: SparkSession, path: str, manifest: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """The manifest of a split by field with what lies in the folders written: ``written_rows`` and ``n_files``.
+
+    A part without a folder has null in both; a folder that no part names has a
+    row of its own, with the label alone.  Of Parquet files only footers are read.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    files = reader.format(fmt).schema("part string").load(path).groupBy("part", F.col("_metadata.file_path").alias("file"))
+    held = files.agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.sum("n").alias("written_rows"), F.count("file").alias("n_files"))
+    return manifest.join(held.withColumnRenamed("part", "file_label"), "file_label", "full")
+
+
 def report_order(table: DataFrame) -> list[Column]:
     """The order people read a report table in: sections of a comparison, result rows, parts; none for counts."""
     names = set(table.columns)

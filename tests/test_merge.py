@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,18 @@ def test_results_keep_identifiers_and_days_as_text(spark, table, tmp_path):
     write_result(df, str(tmp_path / "out"))
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row["手机号"], row["入职日期"]) == ("13800138001", "2021-12-03")
+
+
+def test_numbers_that_a_double_would_round_stay_exact(table):
+    def merged(value, dtype):
+        ids = table([(value,), (None,)], ["n"], [dtype])
+        rows = merge_tables([named_table(ids, "a", 0), named_table(table([(1.5,)], ["n"], ["double"]), "b", 1)])
+        return rows.schema["n"].dataType.simpleString(), {r["n"] for r in rows.collect()}
+
+    assert merged(2**53, "bigint") == ("double", {float(2**53), None, 1.5})
+    assert merged(2**53 + 1, "bigint") == ("string", {"9007199254740993", None, "1.5"})
+    assert merged(2**63 - 1, "bigint") == ("string", {"9223372036854775807", None, "1.5"})
+    assert merged(-(2**63), "bigint") == ("double", {-(2.0**63), None, 1.5})
+    assert merged(Decimal("0.1"), "decimal(20,2)") == ("double", {0.1, None, 1.5})
+    assert merged(Decimal("12345678901234567.25"), "decimal(20,2)") == ("string", {"12345678901234567.25", None, "1.5"})
+    assert merged(7, "int") == ("double", {7.0, None, 1.5})

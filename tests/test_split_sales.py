@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright import SalesRoles, output_layout, sales_report, split_job, with_wording, write_split
+from tablewright import SalesRoles, output_layout, sales_report, split_files, split_job, with_wording, write_split
 
 
 def test_split_by_field(spark, tmp_path):
@@ -39,6 +39,40 @@ def test_split_by_rows(table):
     assert rows == [("第1批_2行", 2, ""), ("第2批_2行", 1, "short")]
 
 
+def test_split_report_counts_parts_and_warnings(table):
+    df = table([(1, "a/b"), (2, "a:b"), (3, "a/b"), (4, None)], ["_row_id", "g"], ["long", "string"])
+    report = split_job(df, "column", "g").report
+    assert report["summary"].first().asDict() == {"parts": 3, "total_rows": 4, "warnings": 2, "skipped": 0}
+    found = {r["kind"]: r["message"] for r in report["warnings"].collect()}
+    assert set(found) == {"blank_key", "renamed"} and "a:b" in found["renamed"] and "a_b_2" in found["renamed"]
+    by_rows = split_job(df, "rows", rows=2).report
+    assert by_rows["summary"].first()["parts"] == 2 and by_rows["warnings"].count() == 0
+    nothing = split_job(df.filter("false"), "rows", rows=2).report
+    assert nothing["summary"].first().asDict() == {"parts": 0, "total_rows": 0, "warnings": 0, "skipped": 0}
+    assert split_job(df.filter("false"), "column", "g").report["summary"].first()["total_rows"] == 0
+
+
+def test_sheets_without_rows_are_reported(table):
+    df = table([("甲", 1), ("甲", 2), ("乙", 3)], ["_source_file", "v"], ["string", "long"])
+    job = split_job(df, "sheet", sources=["甲", "乙", "空表", "空表"])
+    assert {r["file_label"]: r["n_rows"] for r in job.report["manifest"].collect()} == {"甲": 2, "乙": 1}
+    assert [(r["kind"], r["value"]) for r in job.report["warnings"].collect()] == [("skipped_empty", "空表")]
+    assert job.report["summary"].first().asDict() == {"parts": 2, "total_rows": 3, "warnings": 1, "skipped": 1}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_folders_bear_the_labels_of_the_manifest(table, tmp_path, fmt):
+    rows = [(1, "a/b", "x\ny"), (2, "a:b", None), (3, "a/b", ""), (4, None, "z"), (5, "01", "q"), (6, "1", '"'), (7, "空值", "w")]
+    job = split_job(table(rows, ["_row_id", "g", "_label"], ["long", "string", "string"]), "column", "g")
+    path = str(tmp_path / "out")
+    write_split(job.result, path, fmt, manifest=job.report["manifest"])
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {f"part={x}" for x in ("a_b", "a_b_2", "空值", "空值_2", "01", "1")}
+    found = split_files(job.result.sparkSession, path, job.report["manifest"], fmt).collect()
+    assert len(found) == 6 and all(r["n_rows"] == r["written_rows"] and r["n_files"] == 1 for r in found)
+    missing = split_files(job.result.sparkSession, path, job.report["manifest"].filter("value = '1'"), fmt)
+    assert missing.filter("n_rows IS NULL").count() == 5
+
+
 def test_split_arguments(table):
     df = table([("A",)], ["姓名"])
     with pytest.raises(ValueError, match="split column"):

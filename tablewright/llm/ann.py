@@ -8,25 +8,27 @@ Graph.  Every vector starts with its best neighbours among those on the same
 side of a few random hyperplanes.  Then neighbours of neighbours meet: for each
 centre, the vectors it lists and those that list it are compared with each
 other, and each keeps the ``neighbours`` nearest it has ever seen.  Only pairs
-with an edge that is new since the last round meet again.  A centre that more
-than 2 * ``GROUP`` list deals them into parts of about ``GROUP``, and every two
-parts meet in a group of their own, so no pair is left out and no group is
-large.  Rounds go on until fewer than one edge in a thousand changes.  Distances while building come from
-float32 copies in units of the median length, and are doubles; answers never do.
+with an edge that is new since the last round meet again.  Of the vectors that
+list a centre about ``REVERSE`` meet there, drawn anew each round, as NN-descent
+does; so a centre that a third of all rows list is no larger than others.
+Rounds go on until fewer than one edge in a thousand changes.  Distances while
+building come from float32 copies in units of the median length, and are
+doubles; answers never do.
 
 Search.  A query holds a beam of the ``beam`` nearest vectors it has seen.
-Each round it visits all neighbours (in either direction) of those in the beam
-it hasn't asked yet, until none is left; visits of all queries are dealt out
+Each round it visits all neighbours (its own and about ``REVERSE`` of those that
+list it) of those in the beam it hasn't asked yet, until none is left; visits of all queries are dealt out
 by the place of the visited vector, so vectors stay where they are and a query
 travels once to each bucket it visits.  A query starts from the nearest of
 ``PIVOTS`` fixed vectors, and from its own node if the index has its vector.
 Scores of answers are Euclidean distances of the original vectors in double
 precision.
 
-Recall.  Up to ``SAMPLE`` of the queries are compared with all rows; while less
-than ``TARGET`` of their true neighbours is found, the search is made again
-with a beam of twice the width, so the beam follows from the table.  A beam as
-wide as the index that still falls short gives what it found and a warning.
+Recall.  Up to ``SAMPLE`` of the queries are compared with all rows and searched
+with beams of ``BEAM``, twice that, and so on, until ``TARGET`` of their true
+neighbours is found; all queries are then searched with that beam, so its width
+follows from the table.  If a beam as wide as the index falls short (parts of
+the graph that no way joins), every query is compared with every row instead.
 
 Vectors that are null, empty, zero, or hold null, NaN or infinite components
 take no part, nor do vectors whose number of dimensions is not the commonest
@@ -36,8 +38,8 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,10 +53,12 @@ from tablewright.operators.staging import stage
 
 NEIGHBOURS = 20
 #: the first beam tried
-BEAM = 400
+BEAM = 16
+REVERSE = 300
+#: queries compared with all rows in one pass
+PASS = 4_096
 SAMPLE = 128
 TARGET = 0.95
-GROUP = 64
 LEAF = 512
 TREES = 4
 PIVOTS = 256
@@ -99,6 +103,19 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return np.maximum(found, 0)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean length of every row, also where squares would leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        far = np.sqrt((x * x).sum(axis=1))
+    odd = np.flatnonzero(~((far > 1e-140) & (far < 1e150)))
+    if len(odd):
+        # powers of two, which round nothing
+        unit = np.ldexp(1.0, np.frexp(np.abs(x[odd]).max(axis=1, initial=0))[1] - 1)
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            far[odd] = unit * np.sqrt(((x[odd] / unit[:, None]) ** 2).sum(axis=1))
+    return far
+
+
 def _packed(column: pa.Array) -> np.ndarray:
     """The rows of a column of packed float32 vectors as doubles, whose squares hold whatever their lengths."""
     return _matrix(column, "<f4").astype(np.float64)
@@ -171,24 +188,24 @@ def _state(ids: list, near: list, far: list, fresh: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*first.columns, pa.array(fresh, pa.list_(pa.bool_()))], ["id", "near", "far", "fresh"])
 
 
+def _few_of_many(edges: DataFrame, centre: str, step: int) -> DataFrame:
+    """About ``REVERSE`` edges of every ``centre``, all where it has no more."""
+    sizes = edges.groupBy(centre).agg(F.count("*").alias("size"))
+    drawn = F.pmod(F.xxhash64("id", "to", F.lit(step)), F.col("size")) < REVERSE
+    return edges.join(sizes, centre).where(drawn).drop("size")
+
+
 def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
     """Neighbours of neighbours: what members of each centre find nearer than their farthest neighbour."""
     edges = graph.select("id", F.posexplode("near").alias("at", "to"), "fresh").select("id", "to", F.col("fresh")[F.col("at")].alias("new"))
     pairs = edges.select(F.col("id").alias("centre"), F.col("to").alias("member"), "new")
-    pairs = pairs.union(edges.select(F.col("to").alias("centre"), F.col("id").alias("member"), "new"))
-    size = F.count("*")
-    parts = F.when(size > 2 * GROUP, F.ceil(size / GROUP)).otherwise(1).alias("parts")
-    sizes = pairs.groupBy("centre").agg(parts, F.max("new").alias("news")).where("news")
-    part = F.pmod(F.xxhash64("member", F.lit(step)), F.col("parts"))
-    pairs = pairs.join(sizes, "centre").select("centre", "member", "new", "parts", part.alias("own"))
-    # one group for every two parts, numbered lesser * parts + greater
-    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
-    pairs = pairs.select("centre", "member", "new", "parts", "own", F.explode(others).alias("other"))
-    pairs = pairs.select("centre", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "member", "new")
+    pairs = pairs.union(_few_of_many(edges, "to", step).select(F.col("to").alias("centre"), F.col("id").alias("member"), "new"))
+    news = pairs.groupBy("centre").agg(F.max("new").alias("news")).where("news").drop("news")
+    pairs = pairs.join(news, "centre", "left_semi")
     reach = graph.select(F.col("id").alias("member"), F.array_max("far").alias("reach"))
     payload = packed.select(F.col("id").alias("member"), "packed").join(reach, "member")
-    rows = pairs.join(payload, "member").select("centre", "part", "member", "new", "reach", "packed")
-    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
+    rows = pairs.join(payload, "member").select("centre", "member", "new", "reach", "packed")
+    rows = rows.repartition("centre").sortWithinPartitions("centre", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # what a task finds for one id from many centres is put together before it is shuffled
@@ -210,7 +227,7 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
             starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
             return _lists(own[starts], np.split(to, starts[1:]), np.split(far, starts[1:]))
 
-        for _, group in _groups(batches, 2):
+        for _, group in _groups(batches, 1):
             ids = np.array([r[0] for r in group], np.int64)
             single = np.unique(ids, return_index=True)[1]
             new = np.zeros(len(single), bool)
@@ -253,9 +270,9 @@ def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIG
 
 
 def adjacency(graph: DataFrame) -> DataFrame:
-    """id and the ids it lists or is listed by."""
+    """id, the ids it lists and about ``REVERSE`` of those that list it."""
     edges = graph.select("id", F.explode("near").alias("to"))
-    both = edges.union(edges.select("to", "id")).distinct()
+    both = edges.union(_few_of_many(edges, "to", -1).select("to", "id")).distinct()
     return both.groupBy("id").agg(F.collect_list("to").alias("links"))
 
 
@@ -275,7 +292,7 @@ def placed_nodes(index: DataFrame, links: DataFrame, n: int) -> DataFrame:
 
 
 def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam: int = BEAM) -> DataFrame:
-    """query, vector (packed), ids and distances of the nearest found; ``queries`` (query, vector, own): own is the query's node, if any."""
+    """query, ids and distances of the nearest found, nodes visited; ``queries`` (query, vector, own): own is the query's node, if any."""
     buckets = max(1, n // BUCKET)
     # PIVOTS vectors, whatever the size of the index
     fixed = index.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow()
@@ -288,7 +305,7 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam:
         for batch in batches:
             starts = []
             for vector, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                far = ((pivots - np.array(vector)) ** 2).sum(axis=1)
+                far = _lengths(pivots - np.array(vector))
                 nearest = pivot_ids[np.argsort(far, kind="stable")[:8]].tolist()
                 starts.append(sorted({*nearest, own} - {None}))
             empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
@@ -309,7 +326,7 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam:
             for own, vector, _, asked, wanted, limit in (r for r in rows if r[0] is None):
                 at = [row_of[x] for x in wanted if x in row_of]
                 if at:
-                    d = np.sqrt(((matrix[at] - np.frombuffer(vector, "<f8")) ** 2).sum(axis=1))
+                    d = _lengths(matrix[at] - np.frombuffer(vector, "<f8"))
                     good = np.flatnonzero(d <= limit).tolist()
                     query.append(asked)
                     ids.append([here[at[i]][0] for i in good])
@@ -354,36 +371,73 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam:
         held = state.withColumn("links", null.cast("array<binary>")).unionByName(found)
         state = stage(held.repartition("query").sortWithinPartitions("query").mapInArrow(advance, state_columns), "beams")
         if not state.where(F.size("next") > 0).limit(1).count():
-            return state.select("query", "vector", "ids", "far")
+            return state.select("query", "ids", "far", (F.octet_length("seen") / 8).cast("bigint").alias("visited"))
 
 
-def recall(found: DataFrame, index: DataFrame, k: int, sample: int = SAMPLE) -> float:
-    """The share of the k nearest other vectors of ``index`` that ``found`` has, over up to ``sample`` of its queries."""
-    drawn = found.orderBy(F.xxhash64("query"), "query").limit(sample).select("vector", "far").collect()
-    asked = [np.frombuffer(r["vector"], "<f8") for r in drawn]
+def compared(asked: list[tuple[int, np.ndarray]], index: DataFrame, keep: int) -> DataFrame:
+    """query, id and far: the nearest ``keep`` of each task's rows, for at most ``PASS`` queries against all rows."""
+    numbers, queries = [q for q, _ in asked], [v for _, v in asked]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.empty(0)] * len(asked)
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         for batch in batches:
             if batch.num_rows:
-                matrix = np.array(batch.column(0).to_pylist(), np.float64)
-                for i, vector in enumerate(asked):
-                    far = np.sqrt(((matrix - vector) ** 2).sum(axis=1))
-                    # the query's own vector is no neighbour of it
-                    best[i] = np.sort(np.concatenate([best[i], far[far > 0]]))[:k]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int32()), pa.array(best, pa.list_(pa.float64()))], ["at", "far"])
-
-    true: list[list[float]] = [[] for _ in asked]
-    for row in index.select("vector").mapInArrow(scan, "at int, far array<double>").toLocalIterator():
-        true[row["at"]] = sorted(true[row["at"]] + row["far"])[:k]
-    hits = sum(sum(0 < d <= want[-1] for d in r["far"][: k + 1]) for r, want in zip(drawn, true) if want)
-    return min(1.0, hits / sum(map(len, true))) if any(true) else 1.0
+                own, matrix = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
+                for i, vector in enumerate(queries):
+                    ids, far = np.concatenate([best[i][0], own]), np.concatenate([best[i][1], _lengths(matrix - vector)])
+                    first = np.lexsort((ids, far))[:keep]
+                    best[i] = ids[first], far[first]
+        for number, (ids, far) in zip(numbers, best):
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(ids), pa.array(far)], ["query", "id", "far"])
+
+    found = index.select("id", "vector").mapInArrow(scan, "query bigint, id bigint, far double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("far", "id"))
+    return found.withColumn("place", rank).where(F.col("place") <= keep).drop("place")
+
+
+def _pass_of(queries: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """The queries of one pass, at most about ``PASS``."""
+    return [(r["query"], np.array(r["vector"], np.float64)) for r in queries.select("query", "vector").collect()]
+
+
+def recall(found: DataFrame, true: dict[int, list[float]], k: int) -> float:
+    """The share of the k nearest other vectors in ``true`` (distances by query) that ``found`` has."""
+    hits = 0
+    for row in found.select("query", "far").collect():
+        want = true.get(row["query"])
+        hits += sum(0 < d <= want[-1] for d in row["far"][: k + 1]) if want else 0
+    return min(1.0, hits / sum(map(len, true.values()))) if any(true.values()) else 1.0
+
+
+def found_by_scan(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """query, ids and far as ``search`` gives them, from all rows, in passes over the index."""
+    passes = -(-queries.count() // PASS)
+    parts = []
+    for i in range(max(1, passes)):
+        asked = _pass_of(queries.where(F.pmod(F.xxhash64("query"), F.lit(max(1, passes))) == i))
+        parts.append(stage(compared(asked, index, keep), "scanned"))
+    found = functools.reduce(DataFrame.union, parts).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("far", "id"))).alias("hits"))
+    return found.select("query", F.col("hits.id").alias("ids"), F.col("hits.far").alias("far"))
+
+
+def chosen_beam(index: DataFrame, nodes: DataFrame, asked: DataFrame, n: int, k: int, beam: int) -> tuple[int, float, DataFrame | None]:
+    """The first of ``beam``, twice that, … that finds ``TARGET`` of a sample's true neighbours, the share it finds, and
+    what it finds if the sample is all that is asked."""
+    sample = stage(asked.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    drawn, true = _pass_of(sample), dict[int, list[float]]()
+    # k + 1 distances of each of at most SAMPLE queries; the query's own vector is no neighbour of it
+    for row in compared(drawn, index, k + 1).orderBy("query", "far").collect():
+        if row["far"] > 0 and len(true.setdefault(row["query"], [])) < k:
+            true[row["query"]].append(row["far"])
+    while (share := recall(found := search(index, nodes, sample, n, beam), true, k)) < TARGET and beam < n:
+        beam *= 2
+    return beam, share, found if len(drawn) < SAMPLE else None
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int = NEIGHBOURS, rounds: int | None = None, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found among ``rows`` for each of ``queries`` (vec_id, vector).
 
-    ``beam`` is the first width tried; ``rounds`` ends the building of the graph early.
+    ``beam`` is the first width tried, at least k + 1; ``rounds`` ends the building of the graph early.
     """
     used = stage(vectors(rows), "vectors")
     first = used.select(F.size("vector")).first()
@@ -410,12 +464,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int =
     asked = vectors(queries, dims).join(own, F.col("vector") == F.col("own_vector"), "left")
     asked = asked.select(F.col("vec_id").alias("query"), "vector", F.col("id").alias("own"))
     asked, nodes = stage(asked, "asked"), placed_nodes(index, adjacency(graph), n)
-    found = search(index, nodes, asked, n, beam)
-    while (share := recall(found, index, k)) < TARGET and beam < n:
-        beam *= 2
-        found = search(index, nodes, asked, n, beam)
+    beam, share, found = chosen_beam(index, nodes, asked, n, k, max(beam, k + 1))
     if share < TARGET:
-        warnings.warn(f"recall of {share:.3f} with a beam as wide as the index", stacklevel=2)
+        found = found_by_scan(index, asked, k + 1)
+    elif found is None:
+        found = search(index, nodes, asked, n, beam)
     hits = found.select("query", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("far").alias("score"))))
     hits = hits.join(copies.select("id", "vec_id"), "id").where("vec_id <> query")
     rank = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))

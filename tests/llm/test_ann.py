@@ -105,3 +105,27 @@ def test_all_members_of_a_large_centre_meet(spark):
         far = ((x[1:] - x[i]) ** 2).sum(axis=1)
         far[i - 1] = np.inf
         assert int(far.argmin()) + 1 in found[i]
+
+
+def test_parts_that_no_way_joins_are_searched_row_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 8))
+    x[300:] += 1e3  # no edge leads there, and no query starts there
+    monkeypatch.setattr(ann, "PIVOTS", 1)
+    monkeypatch.setattr(ann, "PASS", 7)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    asked = spark.createDataFrame([(1000 + i, (x[i] + 0.01).tolist()) for i in range(0, 600, 30)], "vec_id long, vector array<double>")
+    found = {}
+    for r in ann.nearest(rows, asked, k=10).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in range(0, 600, 30):
+        far = np.sqrt(((x - (x[q] + 0.01)) ** 2).sum(axis=1))
+        assert [found[1000 + q][r] for r in range(1, 11)] == np.argsort(far, kind="stable")[:10].tolist()
+
+
+def test_lengths_whose_squares_leave_the_range_of_doubles(spark):
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0], [3e307, 4e307]])
+    assert ann._lengths(x).tolist() == pytest.approx([5e200, 5e-200, 5.0, 0.0, 5e307], rel=1e-15)
+    rows = spark.createDataFrame([(i, [1e200 * i, 1e200]) for i in range(1, 6)], "vec_id long, vector array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(rows, rows.where("vec_id = 1"), k=3).collect()}
+    assert got == {(1, 1): (2, 1e200), (1, 2): (3, 2e200), (1, 3): (4, pytest.approx(3e200))}

@@ -25,7 +25,7 @@ Scores of answers are Euclidean distances of the original vectors in double
 precision.
 
 Recall.  Up to ``SAMPLE`` of the queries are compared with all rows and searched
-with beams of ``BEAM``, twice that, and so on, until ``TARGET`` of their true
+with beams of ``BEAM``, twice that, and so on (widths up to ``TOGETHER`` in one search), until ``TARGET`` of their true
 neighbours is found; all queries are then searched with that beam, so its width
 follows from the table.  If a beam as wide as the index falls short (parts of
 the graph that no way joins), every query is compared with every row instead.
@@ -54,10 +54,12 @@ from tablewright.operators.staging import stage
 NEIGHBOURS = 20
 #: the first beam tried
 BEAM = 16
-REVERSE = 300
+REVERSE = 60
 #: queries compared with all rows in one pass
 PASS = 4_096
 SAMPLE = 128
+#: beams up to this width are tried in one search of the sample, wider ones alone
+TOGETHER = 128
 TARGET = 0.95
 LEAF = 512
 TREES = 4
@@ -95,6 +97,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield place, rows
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """member, new, reach and packed vectors of each centre, as arrays, over batches sorted by centre."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_matrix(batch.column(4), "<f4")]
+            rows = [np.concatenate(parts) for parts in zip(held, rows)] if held else rows
+            starts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist()]
+            for a, b in zip(starts, starts[1:]):
+                yield tuple(r[a:b] for r in rows[1:])
+            held = [r[starts[-1] :] for r in rows]
+    if held:
+        yield tuple(held[1:])
+
+
 def _distances(x: np.ndarray) -> np.ndarray:
     """Squared distances between all rows of a small matrix; infinite on the diagonal."""
     squares = (x * x).sum(axis=1)
@@ -195,14 +212,15 @@ def _few_of_many(edges: DataFrame, centre: str, step: int) -> DataFrame:
     return edges.join(sizes, centre).where(drawn).drop("size")
 
 
-def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
+def local_join(graph: DataFrame, packed: DataFrame, step: int, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Neighbours of neighbours: what members of each centre find nearer than their farthest neighbour."""
     edges = graph.select("id", F.posexplode("near").alias("at", "to"), "fresh").select("id", "to", F.col("fresh")[F.col("at")].alias("new"))
     pairs = edges.select(F.col("id").alias("centre"), F.col("to").alias("member"), "new")
     pairs = pairs.union(_few_of_many(edges, "to", step).select(F.col("to").alias("centre"), F.col("id").alias("member"), "new"))
     news = pairs.groupBy("centre").agg(F.max("new").alias("news")).where("news").drop("news")
     pairs = pairs.join(news, "centre", "left_semi")
-    reach = graph.select(F.col("id").alias("member"), F.array_max("far").alias("reach"))
+    reach = F.when(F.size("far") >= neighbours, F.array_max("far")).otherwise(F.lit(float("inf")))
+    reach = graph.select(F.col("id").alias("member"), reach.alias("reach"))
     payload = packed.select(F.col("id").alias("member"), "packed").join(reach, "member")
     rows = pairs.join(payload, "member").select("centre", "member", "new", "reach", "packed")
     rows = rows.repartition("centre").sortWithinPartitions("centre", "member")
@@ -222,22 +240,27 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int) -> DataFrame:
             own, to, far = own[order], to[order], far[order]
             starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
             within = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-            kept = within < NEIGHBOURS
+            kept = within < neighbours
             own, to, far = own[kept], to[kept], far[kept]
             starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
             return _lists(own[starts], np.split(to, starts[1:]), np.split(far, starts[1:]))
 
-        for _, group in _groups(batches, 1):
-            ids = np.array([r[0] for r in group], np.int64)
-            single = np.unique(ids, return_index=True)[1]
-            new = np.zeros(len(single), bool)
-            np.logical_or.at(new, np.searchsorted(ids[single], ids), [r[1] for r in group])
-            group, ids = [group[i] for i in single], ids[single]
+        for members, fresh, reach, matrix in _met(batches):
+            ids, single, place = np.unique(members, return_index=True, return_inverse=True)
             if len(ids) < 2:
                 continue
-            far = _distances(_packed(pa.array([r[3] for r in group], pa.binary())))
-            better = (far < np.array([r[2] for r in group], np.float64)[:, None]) & (new[:, None] | new[None, :])
-            own, to = np.nonzero(better)
+            new = np.zeros(len(ids), bool)
+            np.logical_or.at(new, place, fresh)
+            far = _distances(matrix[single].astype(np.float64))
+            better = (far < reach[single][:, None]) & (new[:, None] | new[None, :])
+            if better.sum() > neighbours * len(ids):
+                # no more than fit in a list
+                far = np.where(better, far, np.inf)
+                best = np.argpartition(far, neighbours - 1, axis=1)[:, :neighbours]
+                own, to = np.repeat(np.arange(len(ids)), neighbours), best.ravel()
+                own, to = own[np.isfinite(far[own, to])], to[np.isfinite(far[own, to])]
+            else:
+                own, to = np.nonzero(better)
             if len(own):
                 found_id.append(ids[own])
                 found_to.append(ids[to])
@@ -260,7 +283,7 @@ def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIG
         lists = found if lists is None else lists.union(found)
     graph = stage(merged(lists.withColumn("fresh", F.lit(True)), neighbours), "graph")
     for step in itertools.count() if rounds is None else range(rounds):
-        found = local_join(graph, packed, step).withColumn("fresh", F.lit(True))
+        found = local_join(graph, packed, step, neighbours).withColumn("fresh", F.lit(True))
         known = graph.select("id", "near", "far", F.lit(False).alias("fresh"))
         graph = stage(merged(known.union(found), neighbours), "graph")
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0]
@@ -291,15 +314,15 @@ def placed_nodes(index: DataFrame, links: DataFrame, n: int) -> DataFrame:
     return stage(joined.mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
 
 
-def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam: int = BEAM) -> DataFrame:
-    """query, ids and distances of the nearest found, nodes visited; ``queries`` (query, vector, own): own is the query's node, if any."""
+def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query, ids and distances of the nearest found, nodes visited; ``queries`` (query, vector, own, beam): own is the query's node, if any."""
     buckets = max(1, n // BUCKET)
     # PIVOTS vectors, whatever the size of the index
     fixed = index.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow()
     pivot_ids = fixed["id"].to_numpy()
     pivots = np.array(fixed["vector"].to_pylist(), np.float64)
 
-    state_columns = "query bigint, vector binary, ids array<bigint>, far array<double>, seen binary, next array<bigint>"
+    state_columns = "query bigint, vector binary, ids array<bigint>, far array<double>, seen binary, next array<bigint>, beam int"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,8 +336,8 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam:
             unseen = pa.array([b""] * batch.num_rows, pa.binary())
             packed = pa.array([np.array(v, "<f8").tobytes() for v in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), packed, empty, no_far, unseen, pa.array(starts, pa.list_(pa.int64()))],
-                ["query", "vector", "ids", "far", "seen", "next"],
+                [batch.column(0), packed, empty, no_far, unseen, pa.array(starts, pa.list_(pa.int64())), batch.column(3)],
+                ["query", "vector", "ids", "far", "seen", "next", "beam"],
             )
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,40 +361,40 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, beam:
             )
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for (asked,), rows in _groups(batches, 1):
             state = next(r for r in rows if r[0] is not None)
-            vector, ids, far, seen, following, _ = state
+            vector, ids, far, seen, following, beam, _ = state
             known = dict(zip(ids, far))
             links_of: dict[int, bytes] = {}
-            for _, found, distances, _, _, packed in (r for r in rows if r[0] is None):
+            for _, found, distances, _, _, _, packed in (r for r in rows if r[0] is None):
                 known.update(zip(found, distances))
                 links_of.update(zip(found, packed))
             best = sorted(known.items(), key=lambda x: (x[1], x[0]))[:beam]
             past = np.union1d(np.frombuffer(seen, "<i8"), np.array(following, "<i8"))
             reached = np.unique(np.frombuffer(b"".join(links_of[i] for i, _ in best if i in links_of), "<i8"))
             wanted = np.setdiff1d(reached, past, assume_unique=True)
-            for column, value in zip(out, (asked, vector, [i for i, _ in best], [d for _, d in best], past.astype("<i8").tobytes(), wanted)):
+            for column, value in zip(out, (asked, vector, [i for i, _ in best], [d for _, d in best], past.astype("<i8").tobytes(), wanted, beam)):
                 column.append(value)
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query", "vector", "ids", "far", "seen", "next"])
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query", "vector", "ids", "far", "seen", "next", "beam"])
 
-    state = stage(queries.select("query", "vector", "own").mapInArrow(begin, state_columns), "beams")
+    state = stage(queries.select("query", "vector", "own", F.col("beam").cast("int")).mapInArrow(begin, state_columns), "beams")
     null = F.lit(None)
     as_nodes = nodes.select("bucket", "id", "vector", "links", *(null.cast(t).alias(c) for c, t in (("query", "bigint"), ("wanted", "array<bigint>"), ("limit", "double"))))
     while True:
-        limit = F.when(F.size("far") >= beam, F.array_max("far")).otherwise(F.lit(float("inf")))
+        limit = F.when(F.size("far") >= F.col("beam"), F.array_max("far")).otherwise(F.lit(float("inf")))
         trips = state.select("query", "vector", limit.alias("limit"), F.explode("next").alias("to"))
         to = F.pmod(F.xxhash64("to"), F.lit(buckets)).cast("int")
         trips = trips.groupBy(to.alias("bucket"), "query").agg(F.first("vector").alias("vector"), F.first("limit").alias("limit"), F.collect_list("to").alias("wanted"))
         trips = trips.select("bucket", null.cast("bigint").alias("id"), "vector", null.cast("binary").alias("links"), "query", "wanted", "limit")
         at_place = as_nodes.unionByName(trips).repartition("bucket").sortWithinPartitions("bucket")
         found = at_place.mapInArrow(visit, "query bigint, ids array<bigint>, far array<double>, links array<binary>")
-        found = found.select("query", null.cast("binary").alias("vector"), "ids", "far", null.cast("binary").alias("seen"), null.cast("array<bigint>").alias("next"), "links")
+        found = found.select("query", null.cast("binary").alias("vector"), "ids", "far", null.cast("binary").alias("seen"), null.cast("array<bigint>").alias("next"), null.cast("int").alias("beam"), "links")
         held = state.withColumn("links", null.cast("array<binary>")).unionByName(found)
         state = stage(held.repartition("query").sortWithinPartitions("query").mapInArrow(advance, state_columns), "beams")
         if not state.where(F.size("next") > 0).limit(1).count():
-            return state.select("query", "ids", "far", (F.octet_length("seen") / 8).cast("bigint").alias("visited"))
+            return state.select("query", "beam", "ids", "far", (F.octet_length("seen") / 8).cast("bigint").alias("visited"))
 
 
 def compared(asked: list[tuple[int, np.ndarray]], index: DataFrame, keep: int) -> DataFrame:
@@ -429,9 +452,19 @@ def chosen_beam(index: DataFrame, nodes: DataFrame, asked: DataFrame, n: int, k:
     for row in compared(drawn, index, k + 1).orderBy("query", "far").collect():
         if row["far"] > 0 and len(true.setdefault(row["query"], [])) < k:
             true[row["query"]].append(row["far"])
-    while (share := recall(found := search(index, nodes, sample, n, beam), true, k)) < TARGET and beam < n:
-        beam *= 2
-    return beam, share, found if len(drawn) < SAMPLE else None
+    while True:
+        # several widths go through the rounds together; a round costs more than a narrow beam's visits
+        tried = [beam, *itertools.takewhile(lambda w: w <= TOGETHER and w < 2 * n, (beam << i for i in itertools.count(1)))]
+        trials = sample.withColumn("beam", F.explode(F.lit(tried))).withColumn("asked", F.col("query"))
+        trials = stage(trials.withColumn("query", F.dense_rank().over(W.orderBy("asked", "beam")).cast("bigint")), "trials")
+        found = search(index, nodes, trials, n).join(trials.select("query", "asked"), "query")
+        found = stage(found.select(F.col("asked").alias("query"), "beam", "ids", "far", "visited"), "tried")
+        for width in tried:
+            one = found.where(F.col("beam") == width)
+            share = recall(one, true, k)
+            if share >= TARGET or width >= n:
+                return width, share, one if len(drawn) < SAMPLE else None
+        beam = 2 * tried[-1]
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int = NEIGHBOURS, rounds: int | None = None, beam: int = BEAM) -> DataFrame:
@@ -468,7 +501,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, neighbours: int =
     if share < TARGET:
         found = found_by_scan(index, asked, k + 1)
     elif found is None:
-        found = search(index, nodes, asked, n, beam)
+        found = search(index, nodes, asked.withColumn("beam", F.lit(beam)), n)
     hits = found.select("query", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("far").alias("score"))))
     hits = hits.join(copies.select("id", "vec_id"), "id").where("vec_id <> query")
     rank = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))

@@ -54,7 +54,7 @@ from tablewright.operators.staging import stage
 NEIGHBOURS = 20
 #: the first beam tried
 BEAM = 16
-REVERSE = 60
+REVERSE = 300
 #: queries compared with all rows in one pass
 PASS = 4_096
 SAMPLE = 128

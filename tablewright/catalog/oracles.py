@@ -409,6 +409,29 @@ ORACLES: dict[str, str] = {
     "merge_tables": "SELECT file AS 来源文件, " + ", ".join(f'c{i} AS "{n}"' for i, n in enumerate(MERGED_NAMES)) + f" FROM ({MERGED}) m",
     "null_stats": f'SELECT file, "column", rows, filled, empty, note FROM ({STATS}) s',
     "alignment_warnings": WARNINGS,
+    "alignment_groups": f"""
+        WITH st AS ({STATS}), c AS (
+          SELECT "column", pos, count(*) FILTER (filled > 0) AS f, count(*) FILTER (filled = 0) AS m,
+            coalesce(string_agg(ord::VARCHAR, ',' ORDER BY ord) FILTER (filled > 0), '') AS ins,
+            coalesce(string_agg(ord::VARCHAR, ',' ORDER BY ord) FILTER (filled = 0), '') AS outs
+          FROM st GROUP BY "column", pos),
+        g AS (SELECT ins, arg_min("column", pos) AS name FROM c WHERE f > 0 AND m > 0 GROUP BY ins)
+        SELECT c."column", c.pos::INTEGER AS position, a.name AS "group", b.name AS twin_group, c.f AS filled_sources, c.m AS missing_sources
+        FROM c JOIN g a ON a.ins = c.ins LEFT JOIN g b ON b.ins = c.outs WHERE c.f > 0 AND c.m > 0""",
+    "compare_keys": """
+        WITH cells AS (
+          SELECT 'l' AS side, '状态' AS "column", 0 AS position, false AS hinted, o_orderstatus::VARCHAR AS cell FROM orders
+          UNION ALL SELECT 'l', '客户编号', 1, true, o_custkey::VARCHAR FROM orders
+          UNION ALL SELECT 'l', '订单号', 2, true, o_orderkey::VARCHAR FROM orders
+          UNION ALL SELECT 'r', '状态', 0, false, l_linestatus::VARCHAR FROM lineitem
+          UNION ALL SELECT 'r', '客户编号', 1, true, l_partkey::VARCHAR FROM lineitem
+          UNION ALL SELECT 'r', '订单号', 2, true, l_orderkey::VARCHAR FROM lineitem),
+        n AS (SELECT "column", position, hinted, count(*) FILTER (side = 'l') AS rl, count(*) FILTER (side = 'r') AS rr,
+            count(DISTINCT cell) FILTER (side = 'l') AS cl, count(DISTINCT cell) FILTER (side = 'r') AS cr, count(DISTINCT cell) AS c
+          FROM cells GROUP BY ALL),
+        f AS (SELECT "column", position, hinted, cl > 0 AND cl >= 0.9 * rl AS unique_left, cr > 0 AND cr >= 0.9 * rr AS unique_right,
+            least(cl, cr) > 0 AND cl + cr - c >= 0.5 * least(cl, cr) AS "overlaps" FROM n)
+        SELECT *, row_number() OVER (ORDER BY (unique_left AND unique_right AND "overlaps") DESC, "overlaps" DESC, hinted DESC, position)::INTEGER AS rank FROM f""",
     "header_matrix": " UNION ALL ".join(
         f"SELECT '{name}' AS \"column\", 'orders_{s}.csv' AS file, '{OWN_HEADERS[s].get(p, '—（本表无此列）')}' AS header"
         for s in SLICES

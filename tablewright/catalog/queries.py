@@ -27,7 +27,7 @@ from tablewright.operators.repair import (
     role_slots,
     row_markers,
 )
-from tablewright.operators.schema import ContactRoles, SalesRoles, role_profile, sink_cells
+from tablewright.operators.schema import ContactRoles, SalesRoles, key_evidence, role_profile, sink_cells
 from tablewright.operators.staging import staging_root
 from tablewright.plans.jobs import (
     CleanOptions,
@@ -314,6 +314,18 @@ def column_roles(spark, sf):
     return role_profile(people, distinct=False)
 
 
+@query
+def compare_keys(spark, sf):
+    """The columns that orders and their lines share, as keys to compare by."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("状态"), F.col("o_custkey").alias("客户编号"), F.col("o_orderkey").alias("订单号"), F.col("o_orderpriority").alias("级别")
+    )
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("订单号"), F.col("l_linestatus").alias("状态"), F.col("l_partkey").alias("客户编号"), F.col("l_quantity").alias("数量")
+    )
+    return key_evidence(orders, lines)
+
+
 # ---- duplicates -----------------------------------------------------------
 
 
@@ -450,6 +462,11 @@ def alignment_warnings(spark, sf):
     return mrg.alignment_warnings(mrg.null_stats(order_slices(spark, sf)))
 
 
+@query
+def alignment_groups(spark, sf):
+    return mrg.alignment_groups(mrg.null_stats(order_slices(spark, sf)))
+
+
 @query
 def header_matrix(spark, sf):
     slices = order_slices(spark, sf)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,29 +230,62 @@ def null_stats(
     )
 
 
-def alignment_warnings(stats: DataFrame) -> DataFrame:
-    """Columns filled in only some sources, and pairs that look like one field under two names.
+def _fill_patterns(stats: DataFrame) -> DataFrame:
+    """Columns filled in only some sources, each with its group and the group that complements it.
 
-    A pair is reported when one column is filled exactly in the sources where the
-    other is not.  That is an equality of two source lists, so it is found by an
-    equi-join of the per-column table with itself.
+    The sources a column is filled in are told by 128 bits, the XOR of their hashes, and so are those it
+    is not filled in; columns meet under the lesser of both, so no list of sources is ever a key.
     """
     has = F.col("filled") > 0
-    per_column = stats.groupBy("column", "position").agg(
-        F.sort_array(F.collect_list(F.when(has, F.col("source_order")))).alias("inside"),
-        F.sort_array(F.collect_list(F.when(~has, F.col("source_order")))).alias("outside"),
+    marks = [F.xxhash64("source_order", F.lit(seed)) for seed in (0, 1)]
+
+    def signature(which) -> Column:
+        return F.concat_ws(":", *[F.lpad(F.hex(F.bit_xor(F.when(which, m))), 16, "0") for m in marks])
+
+    columns = stats.groupBy("column", "position").agg(
+        F.count_if(has).alias("filled_sources"),
+        F.count_if(~has).alias("missing_sources"),
+        signature(has).alias("inside"),
+        signature(~has).alias("outside"),
         F.sort_array(F.collect_set(F.when(~has, F.col("file")))).alias("names"),
     )
-    partial = per_column.filter((F.size("inside") > 0) & (F.size("outside") > 0))
+    partial = columns.filter((F.col("filled_sources") > 0) & (F.col("missing_sources") > 0))
+    lesser = F.col("inside") < F.col("outside")
+    both = W.partitionBy(F.least("inside", "outside"))
+    place = F.struct("position", "column")
+    one, other = F.min(F.when(lesser, place)).over(both)["column"], F.min(F.when(~lesser, place)).over(both)["column"]
+    return partial.withColumns(
+        {"group": F.when(lesser, one).otherwise(other), "twin_group": F.when(lesser, other).otherwise(one)}
+    )
+
+
+def alignment_groups(stats: DataFrame) -> DataFrame:
+    """One row per column filled in only some sources: column, position, group, twin_group, filled_sources, missing_sources.
+
+    Columns of one ``group`` (named by its first column) are filled in the same sources; those of its
+    ``twin_group`` are filled exactly in the others (null: there are none), so any two columns across the
+    two look like one field under two names.  The table has a row per column, however many pairs that is.
+    An empty table of counts, or one source alone, gives no rows.
+    """
+    return _fill_patterns(stats).select("column", "position", "group", "twin_group", "filled_sources", "missing_sources")
+
+
+def alignment_warnings(stats: DataFrame) -> DataFrame:
+    """Columns filled in only some sources, and pairs that look like one field under two names.
+
+    A pair is reported when one column is filled exactly in the sources where the other is not: the
+    columns of a group of ``alignment_groups`` and those of its twin, written out for the report.
+    """
+    partial = _fill_patterns(stats)
     some = partial.select(
         F.lit("partly_filled").alias("kind"),
         "column",
         F.lit(None).cast("string").alias("other_column"),
         F.array_join("names", "、").alias("missing_in"),
     )
-    first = partial.select(F.col("column"), F.col("position").alias("p1"), F.col("inside").alias("sources"))
-    second = partial.select(F.col("column").alias("other"), F.col("position").alias("p2"), F.col("outside").alias("sources"))
-    pairs = first.join(second, "sources").filter(F.col("p1") < F.col("p2"))
+    first = partial.select("column", F.col("position").alias("p1"), "group")
+    second = partial.select(F.col("column").alias("other"), F.col("position").alias("p2"), F.col("twin_group").alias("group"))
+    pairs = first.join(second, "group").filter(F.col("p1") < F.col("p2"))
     twins = pairs.select(
         F.lit("same_field").alias("kind"),
         "column",

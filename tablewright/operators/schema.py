@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,7 @@ from tablewright.functions.text import (
     is_blank,
     plain_text,
     text_cell,
+    ustrip,
 )
 
 
@@ -163,6 +165,62 @@ def suggest_compare_key(left: list[str], right: list[str]) -> str:
     return next((c for c in shared if any(h in c for h in K.COMPARE_KEY_HINTS)), shared[0])
 
 
+#: registers of a sketch of distinct cells, as a power of two: counts are within about 1 %
+SKETCH_BITS = 14
+#: what makes a column a key: distinct cells a row in both tables, shared cells of the smaller side
+KEY_UNIQUE, KEY_SHARED = 0.9, 0.5
+
+
+def key_evidence(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row per shared column: what its header and its cells say for comparing the two tables by it.
+
+    ``hinted`` is the header's word; ``unique_left`` and ``unique_right`` say that at least ``KEY_UNIQUE`` of the
+    rows have a cell of their own; ``overlaps``, that both tables share at least ``KEY_SHARED`` of the cells of the
+    side with fewer.  ``rank`` puts the column to compare by first: unique and overlapping ones, then
+    overlapping ones, then hinted ones, then as they stand.  Distinct cells are counted by mergeable sketches:
+    each table is read once, and one row of fixed size per column and partition is shuffled.
+    Blank cells count as none.  Tables without rows have no cells that overlap.
+    """
+    shared = [c for c in data_columns(left) if c in set(data_columns(right))]
+    if not shared:
+        raise ValueError("the two tables share no column")
+
+    def sketches(df: DataFrame, side: str) -> DataFrame:
+        types = {f.name: f.dataType for f in df.schema.fields}
+        measures = [F.count(F.lit(1)).alias("rows")]
+        for i, c in enumerate(shared):
+            text = plain_text(named(c), types[c])
+            cell = F.when(~is_blank(text, "compare"), ustrip(text))
+            measures.append(F.hll_sketch_agg(cell, F.lit(SKETCH_BITS)).alias(f"s{i}"))
+        cells = [F.struct(F.lit(i).alias("position"), F.col(f"s{i}").alias("sketch")) for i in range(len(shared))]
+        return df.agg(*measures).select(F.lit(side).alias("side"), "rows", F.inline(F.array(*cells)))
+
+    def of(side: str, value) -> Column:
+        return F.max(F.when(F.col("side") == side, value))
+
+    distinct = F.hll_sketch_estimate("sketch")
+    counts = sketches(left, "left").unionByName(sketches(right, "right")).groupBy("position").agg(
+        *[of(side, F.col("rows")).alias(f"rows_{side}") for side in ("left", "right")],
+        *[of(side, distinct).alias(f"cells_{side}") for side in ("left", "right")],
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("cells"),
+    )
+    at = F.col("position") + 1
+    hints = [any(h in c for h in K.COMPARE_KEY_HINTS) for c in shared]
+    fewer = F.least("cells_left", "cells_right")
+    facts = counts.select(
+        F.element_at(F.lit(shared), at).alias("column"),
+        "position",
+        F.element_at(F.lit(hints), at).alias("hinted"),
+        ((F.col("cells_left") > 0) & (F.col("cells_left") >= KEY_UNIQUE * F.col("rows_left"))).alias("unique_left"),
+        ((F.col("cells_right") > 0) & (F.col("cells_right") >= KEY_UNIQUE * F.col("rows_right"))).alias("unique_right"),
+        ((fewer > 0) & (F.col("cells_left") + F.col("cells_right") - F.col("cells") >= KEY_SHARED * fewer)).alias("overlaps"),
+    )
+    key = F.col("unique_left") & F.col("unique_right") & F.col("overlaps")
+    # one row per column of a header
+    order = W.orderBy(key.desc(), F.col("overlaps").desc(), F.col("hinted").desc(), "position")
+    return facts.withColumn("rank", F.row_number().over(order))
+
+
 def require_columns(df: DataFrame, names: list[str | None], what: str) -> None:
     missing = [n for n in names if not n or n not in df.columns]
     if missing:

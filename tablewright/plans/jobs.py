@@ -226,6 +226,7 @@ def merge_job(
     report = {
         "summary": mrg.merge_summary(stats, warnings, add_source),
         "warnings": mrg.warning_text(warnings),
+        "groups": mrg.alignment_groups(stats),
         "headers": mrg.header_matrix(groups, stats, aliases),
         "null_stats": stats,
     }

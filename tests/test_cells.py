@@ -180,3 +180,17 @@ def test_headers_and_roles():
     with pytest.raises(ValueError):
         S.suggest_compare_key(["a"], ["b"])
     assert S.order_columns(["b", "k"], ["a", "k"], ["k"]) == ["k", "a", "b"]
+
+
+def test_key_evidence_prefers_unique_cells_over_headers(spark):
+    left = spark.range(500).selectExpr("'x' AS `城市`", "id % 3 AS `编号`", "id AS code", "cast(id AS string) AS note")
+    right = spark.range(400).selectExpr("concat(' ', id, ' ') AS code", "id % 3 AS `编号`", "cast(id + 10000 AS string) AS note", "'' AS `城市`")
+    rows = {r["column"]: r for r in S.key_evidence(left, right).collect()}
+    assert [c for c, r in sorted(rows.items(), key=lambda x: x[1]["rank"])] == ["code", "编号", "城市", "note"]
+    assert rows["note"]["unique_left"] and not rows["note"]["overlaps"]
+    assert rows["编号"]["hinted"] and rows["编号"]["overlaps"] and not rows["编号"]["unique_right"]
+    assert not rows["城市"]["unique_right"]
+    empty = S.key_evidence(left.limit(0), right).collect()
+    assert len(empty) == 4 and not any(r["overlaps"] or r["unique_left"] for r in empty)
+    with pytest.raises(ValueError):
+        S.key_evidence(left.select("code"), right.select("note"))

@@ -135,3 +135,19 @@ def test_numbers_that_a_double_would_round_stay_exact(table):
     assert merged(Decimal("0.1"), "decimal(20,2)") == ("double", {0.1, None, 1.5})
     assert merged(Decimal("12345678901234567.25"), "decimal(20,2)") == ("string", {"12345678901234567.25", None, "1.5"})
     assert merged(7, "int") == ("double", {7.0, None, 1.5})
+
+
+def test_groups_of_columns_filled_alike_and_their_twins(table):
+    a = table([("1", "x", "p"), ("2", " ", "q")], ["id", "客户级别", "城市名"])
+    b = table([("3", "y"), ("4", "none")], ["id", "等级"])
+    c = table([("5", "x", "p")], ["id", "客户级别", "城市名"])
+    job = merge_job(groups(("a", a), ("b", b), ("c", c)))
+    rows = {r["column"]: (r["group"], r["twin_group"], r["filled_sources"], r["missing_sources"]) for r in job.report["groups"].collect()}
+    assert rows == {"客户级别": ("客户级别", "等级", 2, 1), "城市名": ("客户级别", "等级", 2, 1), "等级": ("等级", "客户级别", 1, 2)}
+    pairs = {(r["column"], r["other_column"]) for r in job.report["warnings"].collect() if r["kind"] == "same_field"}
+    assert pairs == {("客户级别", "等级"), ("城市名", "等级")}
+
+
+def test_one_source_or_none_filled_gives_no_groups(table):
+    a = table([("1", " ")], ["id", "级别"])
+    assert merge_job(groups(("a", a))).report["groups"].collect() == []

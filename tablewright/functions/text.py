@@ -17,6 +17,9 @@ from tablewright.constants import (
     WHITESPACE,
 )
 
+#: whole doubles from here on have more digits than a decimal holds and keep their exponent
+LONGEST_WHOLE = 2.0**125
+
 SPACE = r"[\s\x1c-\x1f]"
 NUMERIC_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 SCIENTIFIC_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]\d+\z"
@@ -129,7 +132,7 @@ def text_cell(c: Column, dtype: T.DataType | None = None) -> Column:
         return c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
-        finite = ~F.isnan(d) & (F.abs(d) < 1e38)
+        finite = ~F.isnan(d) & (F.abs(d) < LONGEST_WHOLE)
         return F.when(F.isnan(d), F.lit(None)).when(
             finite & (d == F.rint(d)), _whole_number_text(d)
         ).otherwise(plain_text(c, dtype))
@@ -137,7 +140,7 @@ def text_cell(c: Column, dtype: T.DataType | None = None) -> Column:
         return plain_text(c, dtype)
     text = ustrip(c)
     number = F.when(text.rlike(SCIENTIFIC_TEXT), text.try_cast("double"))
-    whole = number.isNotNull() & (number == F.rint(number)) & (F.abs(number) < 1e38)
+    whole = number.isNotNull() & (number == F.rint(number)) & (F.abs(number) < LONGEST_WHOLE)
     return (
         F.when(is_blank(c), F.lit(None))
         .when(whole, _whole_number_text(number))
@@ -147,8 +150,20 @@ def text_cell(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def _whole_number_text(d: Column) -> Column:
+    """All digits of a whole double under ``LONGEST_WHOLE``; a cast to decimal would round them to the shortest that tell it apart."""
     exact = d.try_cast("bigint").cast("string")
-    return F.when(F.abs(d) < 9e18, exact).otherwise(d.try_cast("decimal(38,0)").cast("string"))
+    # a double is a whole number of 61 bits times a power of two, and powers of two divide it exactly
+    power = F.greatest(F.floor(F.log2(F.abs(d))) - 60, F.lit(0))
+    scale = F.pow(F.lit(2.0), power)
+    bits = (d / scale).try_cast("bigint").cast("decimal(19,0)")
+    return F.when(F.abs(d) < 9e18, exact).otherwise((bits * _power_of_two(power)).cast("string"))
+
+
+def _power_of_two(power: Column) -> Column:
+    """2 to the power, at most 64, as a decimal of 20 digits."""
+    half = F.least(power, F.lit(62))
+    low, high = (F.pow(F.lit(2.0), x).cast("bigint") for x in (half, power - half))
+    return low.cast("decimal(19,0)") * high.cast("decimal(1,0)")
 
 
 def to_number(c: Column, dtype: T.DataType | None = None) -> Column:

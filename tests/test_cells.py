@@ -194,3 +194,12 @@ def test_key_evidence_prefers_unique_cells_over_headers(spark):
     assert len(empty) == 4 and not any(r["overlaps"] or r["unique_left"] for r in empty)
     with pytest.raises(ValueError):
         S.key_evidence(left.select("code"), right.select("note"))
+
+
+def test_long_identifiers_keep_every_digit_of_their_double(spark):
+    texts = ["1E+23", "9.1E+18", "9.3e+18", "-1e+23", "1.8446744073709552e+19", "1.2345678901234567e+30", "3.3e+37", "4.2e+37", "1e+22", "-7.77e+36"]
+    texts += [f"{2.0**i!r}" for i in range(63, 125, 3) if "e+" in repr(2.0**i)] + [repr(2.0**i * (1 + 2**-52)) for i in range(64, 125, 5)]
+    want = [str(int(float(x))) for x in texts]
+    assert column(spark, texts, X.text_cell) == want
+    assert column(spark, [float(x) for x in texts], lambda c: X.text_cell(c, T.DoubleType()), "double") == want
+    assert column(spark, ["1e+40"], X.text_cell) == ["1e+40"]

@@ -132,3 +132,21 @@ def test_many_files_are_several_scans(spark, tmp_path, monkeypatch):
         (tmp_path / f"{i}.csv").write_text(f"k\n{i}\n")
     rows = scan_table(spark, str(tmp_path))
     assert [r.k for r in rows.orderBy("_row_id").collect()] == ["0", "1", "2", "3", "4"]
+
+
+def test_small_splits_are_few_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [f'{i},"{"x" * rng.randrange(60)}\n""{i}"",\n"' for i in range(4000)]
+    rows.insert(2000, '-1,"' + "\n".join(["y" * 90] * 400) + '"')  # runs through many splits
+    (tmp_path / "a.csv").write_text("k,v\n" + "\n".join(rows) + "\n")
+    cut = spark.newSession()
+    cut.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    cut.conf.set("spark.sql.files.openCostInBytes", "0")
+    file = str(tmp_path / "a.csv")
+    assert cut.read.text(file).rdd.getNumPartitions() > 150
+    most = records.TASKS * spark.sparkContext.defaultParallelism
+    assert records.lines(cut, [file]).rdd.getNumPartitions() <= most
+    read = scan_table(cut, file)
+    assert read.rdd.getNumPartitions() <= most
+    want = spark.read.csv(file, header=True, escape='"', multiLine=True)
+    assert [(r.k, r.v) for r in read.orderBy("_row_id").collect()] == [(r.k, r.v) for r in want.collect()]

@@ -60,6 +60,15 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None, unique: bool =
     return stage(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "row-id")
 
 
+def spread(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Rows dealt out evenly by their id.
+
+    Scans are cut by bytes; where a row is much work, a well compressed file of
+    many rows would be one long task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), named(row_id))
+
+
 def block_counts(df: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
     """(keys, _block, _n, _offset): rows per block and rows of the key in earlier blocks."""
     counts = df.groupBy(*keys, block_of(F.col(row_id), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))

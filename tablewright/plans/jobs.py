@@ -22,7 +22,7 @@ from tablewright.operators.dedupe import (
     recency,
     split_kept_removed,
 )
-from tablewright.operators.identity import ROW_ID, global_position, rank_rows, with_row_id
+from tablewright.operators.identity import ROW_ID, global_position, rank_rows, spread, with_row_id
 from tablewright.operators.quality import health_score, quality_profile
 from tablewright.operators.repair import RepairSteps, repair_contacts, review_reasons, row_markers
 from tablewright.operators.schema import (
@@ -96,8 +96,8 @@ def _keeps_latest(options: CleanOptions) -> bool:
 def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | None = None) -> DataFrame:
     """Every input row repaired, with ``_fixes``, ``_reviews`` and ``_removed_reason``.
 
-    The repaired rows are written once, and so are the groups that lose a row;
-    whoever reads the result scans those, so nothing is repaired or grouped twice.
+    Rows are dealt out evenly before they are repaired.  The repaired rows are
+    written once, and so are the groups that lose a row; whoever reads the result scans those, so nothing is repaired or grouped twice.
     """
     if not options.chosen():
         raise ValueError("choose at least one cleaning step")
@@ -107,7 +107,7 @@ def mark_cleaned(df: DataFrame, options: CleanOptions, roles: ContactRoles | Non
         require_columns(df, [options.dedupe_latest_column], "date column for keeping the latest row")
     roles = roles or contact_roles(data_columns(df))
     marked = mark_blank_rows(df) if options.drop_blank_rows else df
-    repaired = stage(repair_contacts(marked, roles, options.steps()), "repaired")
+    repaired = stage(repair_contacts(spread(marked), roles, options.steps()), "repaired")
     return mark_duplicates(
         repaired,
         full=options.drop_duplicates,

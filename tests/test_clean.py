@@ -190,3 +190,17 @@ def test_repairs_run_on_a_stream(spark, table, tmp_path):
     query.awaitTermination(60)
     streamed = {tuple(r)[:4] for r in spark.table("repaired_rows").collect()}
     assert streamed == {tuple(r)[:4] for r in repair_contacts(df, roles, steps).collect()}
+
+
+def test_repair_is_dealt_out_by_rows(spark, tmp_path):
+    from tablewright.operators.identity import ROW_ID, spread
+    from tablewright.plans.jobs import mark_cleaned
+
+    # a few bytes in one file, read by one task
+    spark.range(2000).selectExpr("id AS _row_id", "'张三' AS name", "'13800000000' AS phone").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert one.rdd.getNumPartitions() == 1
+    marked = mark_cleaned(one, CleanOptions(fix_phone=True))
+    written = marked.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(written) > 1 and max(r["count"] for r in written) < 1000
+    assert sorted(r[ROW_ID] for r in spread(one).collect()) == list(range(2000))

@@ -23,6 +23,7 @@ from tablewright.functions.names import bind, named
 from tablewright.functions.text import key_parts, plain_text, ustrip
 from tablewright.operators.identity import BLOCK_BITS, ROW_ID, block_of, fingerprint, rank_in_block
 from tablewright.operators.schema import data_columns, order_columns, require_columns
+from tablewright.operators.staging import stage
 
 
 Types = dict[str, T.DataType]
@@ -53,12 +54,45 @@ def _narrow(df: DataFrame, keys: list[str], columns: list[str], others: Types, r
     return df.select(key.alias("_key"), named(row_id).alias(ROW_ID), *prints)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_ord``, ``_in_a`` and ``_in_b`` of rows whose keys have few rows each: one shuffle and one sort."""
+    of_side = W.partitionBy("_hash", "_key", "_right").orderBy(ROW_ID)
+    of_key = W.partitionBy("_hash", "_key")
+    met = rows.repartition("_hash").withColumn("_ord", F.row_number().over(of_side).cast("bigint"))
+    return met.select(
+        *rows.columns,
+        "_ord",
+        F.count_if(~F.col("_right")).over(of_key).alias("_in_a"),
+        F.count_if("_right").over(of_key).alias("_in_b"),
+    )
+
+
+def _numbered_in_blocks(rows: DataFrame, bits: int) -> DataFrame:
+    """The same of keys with any number of rows.
+
+    One count per (key, side, block) gives the offsets of the blocks and the
+    totals of both sides.
+    """
+    by = ["_hash", "_key", "_right", "_block"]
+    counts = rows.groupBy("_hash", "_key", "_right", block_of(F.col(ROW_ID), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    of_key = W.partitionBy("_hash", "_key")
+    earlier = W.partitionBy("_hash", "_key", "_right").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.select(
+        *by,
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum(F.when(~F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_a"),
+        F.coalesce(F.sum(F.when(F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_b"),
+    )
+    ranked = rank_in_block(rows, ["_hash", "_key", "_right"], ROW_ID, bits).join(blocks, by)
+    return ranked.select(*rows.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias("_ord"), "_in_a", "_in_b")
+
+
 def statuses(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID, bits: int = BLOCK_BITS) -> DataFrame:
     """One row per pair or unmatched row: ``_key``, ``_ord``, ``_status`` and the row ids ``_id_a`` and ``_id_b``.
 
-    Both tables are numbered at once: one count per (key, side, block) gives the
-    offsets of the blocks and the totals of both sides, and the n-th rows of the
-    two sides meet in one aggregate.
+    Both tables are numbered at once, and the n-th rows of the two sides meet in
+    one aggregate.  Only keys with more rows than a sixteenth of a block (told by
+    one count, written once) are numbered in blocks.
     """
     if not keys:
         raise ValueError("choose at least one key column")
@@ -67,20 +101,14 @@ def statuses(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID,
     columns = compared_columns(a, b, keys, row_id)
     left = _narrow(a, keys, columns, _types(b), row_id).withColumn("_right", F.lit(False))
     right = _narrow(b, keys, columns, _types(a), row_id).withColumn("_right", F.lit(True))
-    rows = left.union(right)
-    counts = rows.groupBy("_key", "_right", block_of(F.col(ROW_ID), bits).alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    of_key = W.partitionBy("_key")
-    earlier = W.partitionBy("_key", "_right").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = counts.select(
-        "_key",
-        "_right",
-        "_block",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.coalesce(F.sum(F.when(~F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_a"),
-        F.coalesce(F.sum(F.when(F.col("_right"), F.col("_n"))).over(of_key), F.lit(0)).alias("_in_b"),
-    )
-    ranked = rank_in_block(rows, ["_key", "_right"], ROW_ID, bits).join(blocks, ["_key", "_right", "_block"])
-    ordinal = (F.col("_local") + F.col("_offset")).cast("bigint")
+    # keys are brought together and sorted by a number first: comparing their arrays costs many times as much
+    rows = left.union(right).withColumn("_hash", F.xxhash64("_key"))
+    many = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (1 << max(0, bits - 4)))
+    many = stage(many.select("_hash"), "many-rows")
+    if many.isEmpty():
+        ranked = _numbered(rows)
+    else:
+        ranked = _numbered(rows.join(many, "_hash", "left_anti")).unionByName(_numbered_in_blocks(rows.join(many, "_hash", "left_semi"), bits))
 
     # at most one row of either side has a key's n-th place; numbers, so nothing is sorted
     def of_side(right: bool, column: str) -> Column:
@@ -88,7 +116,7 @@ def statuses(a: DataFrame, b: DataFrame, keys: list[str], row_id: str = ROW_ID,
 
     found = {f"{c}_{side}": of_side(side == "b", c) for c in (ROW_ID, "_p0", "_p1") for side in "ab"}
     totals = [F.max(c).alias(c) for c in ("_in_a", "_in_b")]
-    paired = ranked.groupBy("_key", ordinal.alias("_ord")).agg(*(c.alias(n) for n, c in found.items()), *totals)
+    paired = ranked.groupBy("_hash", "_key", "_ord").agg(*(c.alias(n) for n, c in found.items()), *totals)
     id_a, id_b = F.col(f"{ROW_ID}_a"), F.col(f"{ROW_ID}_b")
     equal = (F.col("_p0_a") == F.col("_p0_b")) & (F.col("_p1_a") == F.col("_p1_b"))
     status = (
@@ -222,11 +250,15 @@ def difference_list(compared: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sink_order() -> list[Column]:
-    """Only in A, only in B, changed; whole-key misses before surplus rows; then key and ordinal."""
+    """Only in A, only in B, changed; whole-key misses before surplus rows; then key and ordinal.
+
+    Section and key are one text, so that a sort tells most rows apart by the first bytes.
+    """
     section = reduce(
         lambda c, pair: c.when(F.col("_status").startswith(pair[0]), F.lit(pair[1])),
-        [("only_b", 1), ("changed", 2)],
-        F.when(F.col("_status").startswith("only_a"), F.lit(0)),
+        [("only_b", "1"), ("changed", "2")],
+        F.when(F.col("_status").startswith("only_a"), F.lit("0")),
     )
-    surplus = F.col("_status").endswith("_surplus")
-    return [section, surplus, F.array_join("_key", "||"), F.col("_ord")]
+    surplus = F.when(F.col("_status").endswith("_surplus"), F.lit("1")).otherwise(F.lit("0"))
+    # a pair that is the same has no section and comes first
+    return [F.concat(F.coalesce(section, F.lit("-")), surplus, F.array_join("_key", "||")), F.col("_ord")]

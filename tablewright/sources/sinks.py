@@ -35,6 +35,12 @@ def _save(
         raise ValueError(f"unknown format {fmt!r}; use csv or parquet")
 
 
+def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in ``order``, whose values are taken once for each row; a sort would take them anew whenever it compares two."""
+    taken = {unused(df.columns, f"_sort{i}"): c for i, c in enumerate(order)}
+    return df.withColumns(taken).orderBy(*taken).drop(*taken)
+
+
 def write_result(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", order_by: list[str | Column] | None = None
 ) -> None:
@@ -96,7 +102,7 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
     """Write the audit tables of a job side by side as ``<path>/<table>``, each in reading order."""
     for name, table in tables.items():
         order = report_order(table)
-        plain = (table.orderBy(*order) if order else table).drop(ROW_ID)
+        plain = (_sorted(table, order) if order else table).drop(ROW_ID)
         if fmt == "csv":
             plain = plain.select(
                 *[

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import compare_job
-from tablewright.operators.compare import compare_tables, only_in, sink_order
+from tablewright.operators.compare import compare_tables, only_in, sink_order, statuses
+from tablewright.sources.sinks import _sorted
 
 
 def counts(job):
@@ -92,3 +93,26 @@ def test_missing_keys_are_refused(table):
         compare_job(a, table([("1",)], ["other"]), ["id"])
     with pytest.raises(ValueError, match="at least one"):
         compare_job(a, a, [])
+
+
+def test_keys_of_few_rows_meet_in_one_shuffle(spark):
+    a = spark.range(3000).select(F.col("id").alias("_row_id"), (F.col("id") % 700).alias("k"), F.lit("x").alias("v"))
+    b = a.where("_row_id % 5 > 0").withColumn("v", F.when(F.col("_row_id") % 7 == 0, "y").otherwise("x"))
+    few = statuses(a, b, ["k"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    # blocks of 16 ids: every key is numbered in blocks, keys of one side among them
+    lone = spark.range(50).select((F.col("id") + 10_000).alias("_row_id"), F.lit(-1).cast("bigint").alias("k"), F.lit("x").alias("v"))
+    for left, right in ((a, b), (a.union(lone), b)):
+        whole, cut = (sorted(map(tuple, statuses(left, right, ["k"], bits=bits).collect())) for bits in (16, 4))
+        assert whole == cut and len(whole) > 3000 - 1
+    mixed = sorted(map(tuple, statuses(a.union(lone), b, ["k"], bits=8).collect()))  # -1 alone in blocks
+    assert mixed == whole
+
+
+def test_sort_keys_are_taken_once(table):
+    rows = table([("b", 2), ("a", 10), ("a", 9)], ["k", "_sort0"], ["string", "int"])
+    done = _sorted(rows, [F.concat("k", F.lit("!")), F.col("_sort0")])
+    assert [tuple(r) for r in done.collect()] == [("a", 9), ("a", 10), ("b", 2)]
+    sort = next(line for line in done._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line)
+    assert "concat" not in sort

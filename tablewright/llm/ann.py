@@ -5,7 +5,8 @@ smallest ids of each are kept aside and put back into the answers, so ties go
 to the smaller id however many copies a vector has.
 
 Graph.  Every vector starts with its best neighbours among those on the same
-side of a few random hyperplanes.  Then neighbours of neighbours meet: for each
+side of a few random hyperplanes, drawn ``TREES`` times; comparing whole groups
+costs less than the rounds it saves.  Then neighbours of neighbours meet: for each
 centre, the vectors it lists and those that list it are compared with each
 other, and each keeps the ``neighbours`` nearest it has ever seen.  Only pairs
 with an edge that is new since the last round meet again.  Of the vectors that
@@ -18,8 +19,9 @@ doubles; answers never do.
 Search.  A query holds a beam of the ``beam`` nearest vectors it has seen.
 Each round it visits all neighbours (its own and about ``REVERSE`` of those that
 list it) of those in the beam it hasn't asked yet, until none is left; visits of all queries are dealt out
-by the place of the visited vector, so vectors stay where they are and a query
-travels once to each bucket it visits.  A query starts from the nearest of
+by the place of the visited vector, so a query travels once to each bucket it
+visits.  There it goes on along the neighbours that lie in the same bucket until
+the nearest ``beam`` of what it found there have been asked.  A query starts from the nearest of
 ``PIVOTS`` fixed vectors, and from its own node if the index has its vector.
 Scores of answers are Euclidean distances of the original vectors in double
 precision.
@@ -61,10 +63,10 @@ SAMPLE = 128
 #: beams up to this width are tried in one search of the sample, wider ones alone
 TOGETHER = 128
 TARGET = 0.95
-LEAF = 512
-TREES = 4
+LEAF = 1_024
+TREES = 12
 PIVOTS = 256
-BUCKET = 1_024
+BUCKET = 4_096
 
 
 def vectors(rows: DataFrame, dims: int | None = None) -> DataFrame:
@@ -138,87 +140,101 @@ def _packed(column: pa.Array) -> np.ndarray:
     return _matrix(column, "<f4").astype(np.float64)
 
 
-def _lists(ids: np.ndarray, near: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64()))], ["id", "near", "far"]
-    )
+def _lists(ids: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """id, near, far and, if given, fresh: the first ``sizes[0]`` values belong to the first id, and so on."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["id", "near", "far", "fresh"][: len(lists) + 1])
+
+
+def _nearest_of(own: np.ndarray, to: np.ndarray, far: np.ndarray, fresh: np.ndarray, keep: int) -> pa.RecordBatch:
+    """Per id the ``keep`` nearest of its edges; of an edge met twice the one known before counts."""
+    order = np.lexsort((far, fresh, to, own))
+    own, to, far, fresh = own[order], to[order], far[order], fresh[order]
+    single = np.ones(len(own), bool)
+    single[1:] = (own[1:] != own[:-1]) | (to[1:] != to[:-1])
+    own, to, far, fresh = own[single], to[single], far[single], fresh[single]
+    order = np.lexsort((to, far, own))
+    own, to, far, fresh = own[order], to[order], far[order], fresh[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(own)))
+    kept = np.arange(len(own)) - np.repeat(starts, sizes) < keep
+    return _lists(own[starts], np.minimum(sizes, keep), to[kept], far[kept], fresh[kept])
 
 
 LISTS = "id bigint, near array<bigint>, far array<double>"
 
 
-def first_lists(packed: DataFrame, n: int, dims: int, keep: int, tree: int) -> DataFrame:
-    """Each vector's nearest among those on its side of some random hyperplanes, in groups of about ``LEAF``."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    planes = np.random.default_rng(1000 + tree).standard_normal((dims, bits)) if bits else np.zeros((dims, 0))
+def first_lists(packed: DataFrame, n: int, dims: int, keep: int, trees: int) -> DataFrame:
+    """Each vector's nearest among those on its side of some random hyperplanes, in groups of about ``LEAF``, ``trees`` times."""
+    bits = int(np.ceil(np.log2(n / LEAF))) if n > 2 * LEAF else 0
+    planes = [np.random.default_rng(1000 + tree).standard_normal((dims, bits)) for tree in range(trees)]
 
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = ((_packed(batch.column(1)) @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.astype(np.int64))], ["id", "packed", "leaf"])
+                x = _packed(batch.column(1))
+                for tree, plane in enumerate(planes):
+                    code = ((x @ plane) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x))
+                    places = [pa.array(np.full(len(x), tree, np.int32)), pa.array(code.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *places], ["id", "packed", "tree", "leaf"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 2):
+        for _, rows in _groups(batches, 3):
             ids = np.array([r[0] for r in rows], np.int64)
             if len(ids) > 1:
                 far = _distances(_packed(pa.array([r[1] for r in rows], pa.binary())))
                 k = min(keep, len(ids) - 1)
                 best = np.argpartition(far, k - 1, axis=1)[:, :k]
-                yield _lists(ids, list(ids[best]), list(np.take_along_axis(far, best, 1)))
+                yield _lists(ids, np.full(len(ids), k), ids[best].ravel(), np.take_along_axis(far, best, 1).ravel())
 
-    placed = packed.mapInArrow(side, "id bigint, packed binary, leaf bigint")
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(tree)), F.col("parts")).alias("part")
-    dealt = placed.join(parts, "leaf").select("leaf", part, "id", "packed").repartition("leaf", "part")
-    return dealt.sortWithinPartitions("leaf", "part", "id").mapInArrow(meet, LISTS)
+    placed = packed.mapInArrow(side, "id bigint, packed binary, tree int, leaf bigint")
+    parts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
+    part = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).alias("part")
+    dealt = placed.join(parts, ["tree", "leaf"]).select("tree", "leaf", part, "id", "packed").repartition("tree", "leaf", "part")
+    return dealt.sortWithinPartitions("tree", "leaf", "part", "id").mapInArrow(meet, LISTS)
 
 
 def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """Per id the ``keep`` nearest of all its lists (old ones first in ``fresh`` order): id, near, far, fresh."""
+    """Per id the ``keep`` nearest of all its lists; edges known before stay known (not ``fresh``): id, near, far, fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, near, far, fresh = [], [], [], []
-        for (own,), rows in _groups(batches, 1):
-            # what was known before stays known: an id's first row by ``fresh`` counts
-            rows.sort(key=lambda r: r[2])
-            to = np.array([x for r in rows for x in r[0]], np.int64)
-            at = np.array([x for r in rows for x in r[1]], np.float64)
-            new = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows]).astype(bool)
-            _, first = np.unique(to, return_index=True)
-            first = first[np.lexsort((to[first], at[first]))][:keep]
-            ids.append(own)
-            near.append(to[first])
-            far.append(at[first])
-            fresh.append(new[first])
-            if len(ids) == 4096:
-                yield _state(ids, near, far, fresh)
-                ids, near, far, fresh = [], [], [], []
-        yield _state(ids, near, far, fresh)
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)]
+        for batch in batches:
+            if batch.num_rows:
+                sizes = batch.column(1).value_lengths().to_numpy()
+                own = np.repeat(batch.column(0).to_numpy(), sizes)
+                to, far = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+                fresh = np.repeat(batch.column(3).to_numpy(zero_copy_only=False), sizes)
+                held = [np.concatenate(x) for x in zip(held, (own, to, far, fresh))]
+                # the last id may go on in the next batch
+                end = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+                if end:
+                    yield _nearest_of(*(x[:end] for x in held), keep)
+                    held = [x[end:] for x in held]
+        if len(held[0]):
+            yield _nearest_of(*held, keep)
 
     placed = lists.select("id", "near", "far", "fresh").repartition("id").sortWithinPartitions("id")
     return placed.mapInArrow(run, f"{LISTS}, fresh array<boolean>")
 
 
-def _state(ids: list, near: list, far: list, fresh: list) -> pa.RecordBatch:
-    first = _lists(np.array(ids, np.int64), near, far)
-    return pa.RecordBatch.from_arrays([*first.columns, pa.array(fresh, pa.list_(pa.bool_()))], ["id", "near", "far", "fresh"])
-
-
-def _few_of_many(edges: DataFrame, centre: str, step: int) -> DataFrame:
-    """About ``REVERSE`` edges of every ``centre``, all where it has no more."""
-    sizes = edges.groupBy(centre).agg(F.count("*").alias("size"))
-    drawn = F.pmod(F.xxhash64("id", "to", F.lit(step)), F.col("size")) < REVERSE
-    return edges.join(sizes, centre).where(drawn).drop("size")
+def _centres(graph: DataFrame, step: int) -> DataFrame:
+    """centre and members (member, new): all that a centre lists and ``REVERSE`` of those that list it, drawn by ``step``."""
+    edges = graph.select("id", F.inline(F.arrays_zip(F.col("near").alias("to"), F.col("fresh").alias("new"))))
+    # cut while rows are still where they were, so a centre that many list is no large group
+    drawn = F.row_number().over(W.partitionBy("to").orderBy(F.xxhash64("id", "to", F.lit(step)), "id"))
+    listing = edges.withColumn("drawn", drawn).where(F.col("drawn") <= REVERSE)
+    listing = listing.groupBy(F.col("to").alias("id")).agg(F.collect_list(F.struct(F.col("id").alias("member"), "new")).alias("listing"))
+    listed = F.arrays_zip(F.col("near").alias("member"), F.col("fresh").alias("new"))
+    both = graph.select("id", listed.alias("listed")).join(listing, "id", "full_outer")
+    none = F.array().cast("array<struct<member:bigint,new:boolean>>")
+    return both.select(F.col("id").alias("centre"), F.concat(F.coalesce("listed", none), F.coalesce("listing", none)).alias("members"))
 
 
 def local_join(graph: DataFrame, packed: DataFrame, step: int, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Neighbours of neighbours: what members of each centre find nearer than their farthest neighbour."""
-    edges = graph.select("id", F.posexplode("near").alias("at", "to"), "fresh").select("id", "to", F.col("fresh")[F.col("at")].alias("new"))
-    pairs = edges.select(F.col("id").alias("centre"), F.col("to").alias("member"), "new")
-    pairs = pairs.union(_few_of_many(edges, "to", step).select(F.col("to").alias("centre"), F.col("id").alias("member"), "new"))
-    news = pairs.groupBy("centre").agg(F.max("new").alias("news")).where("news").drop("news")
-    pairs = pairs.join(news, "centre", "left_semi")
+    pairs = _centres(graph, step).where(F.exists("members", lambda m: m["new"])).select("centre", F.inline("members"))
     reach = F.when(F.size("far") >= neighbours, F.array_max("far")).otherwise(F.lit(float("inf")))
     reach = graph.select(F.col("id").alias("member"), reach.alias("reach"))
     payload = packed.select(F.col("id").alias("member"), "packed").join(reach, "member")
@@ -227,23 +243,13 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int, neighbours: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # what a task finds for one id from many centres is put together before it is shuffled
-        found_id, found_to, found_far, held = [], [], [], 0
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            own, to, far = np.concatenate(found_id), np.concatenate(found_to), np.concatenate(found_far)
-            order = np.lexsort((far, to, own))
-            own, to, far = own[order], to[order], far[order]
-            single = np.ones(len(own), bool)
-            single[1:] = (own[1:] != own[:-1]) | (to[1:] != to[:-1])
-            own, to, far = own[single], to[single], far[single]
-            order = np.lexsort((far, own))
-            own, to, far = own[order], to[order], far[order]
-            starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
-            within = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-            kept = within < neighbours
-            own, to, far = own[kept], to[kept], far[kept]
-            starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
-            return _lists(own[starts], np.split(to, starts[1:]), np.split(far, starts[1:]))
+            own, to, far = (np.concatenate(x) for x in zip(*found))
+            lists = _nearest_of(own, to, far, np.ones(len(own), bool), neighbours)
+            return lists.select(["id", "near", "far"])
 
         for members, fresh, reach, matrix in _met(batches):
             ids, single, place = np.unique(members, return_index=True, return_inverse=True)
@@ -262,13 +268,12 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int, neighbours: int =
             else:
                 own, to = np.nonzero(better)
             if len(own):
-                found_id.append(ids[own])
-                found_to.append(ids[to])
-                found_far.append(far[own, to])
+                found.append((ids[own], ids[to], far[own, to]))
                 held += len(own)
             if held >= 1_000_000:
                 yield flush()
-                found_id, found_to, found_far, held = [], [], [], 0
+                found.clear()
+                held = 0
         if held:
             yield flush()
 
@@ -277,10 +282,7 @@ def local_join(graph: DataFrame, packed: DataFrame, step: int, neighbours: int =
 
 def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIGHBOURS, rounds: int | None = None) -> DataFrame:
     """id, near, far, fresh: NN-descent over packed float32 vectors (id, packed)."""
-    lists = None
-    for tree in range(TREES if n > 2 * LEAF else 1):
-        found = first_lists(packed, n, dims, neighbours, tree)
-        lists = found if lists is None else lists.union(found)
+    lists = first_lists(packed, n, dims, neighbours, TREES if n > 2 * LEAF else 1)
     graph = stage(merged(lists.withColumn("fresh", F.lit(True)), neighbours), "graph")
     for step in itertools.count() if rounds is None else range(rounds):
         found = local_join(graph, packed, step, neighbours).withColumn("fresh", F.lit(True))
@@ -294,24 +296,50 @@ def neighbour_graph(packed: DataFrame, n: int, dims: int, neighbours: int = NEIG
 
 def adjacency(graph: DataFrame) -> DataFrame:
     """id, the ids it lists and about ``REVERSE`` of those that list it."""
-    edges = graph.select("id", F.explode("near").alias("to"))
-    both = edges.union(_few_of_many(edges, "to", -1).select("to", "id")).distinct()
-    return both.groupBy("id").agg(F.collect_list("to").alias("links"))
+    return _centres(graph, -1).select(F.col("centre").alias("id"), F.array_distinct("members.member").alias("links"))
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of every id, by multiplicative hashing."""
+    with np.errstate(over="ignore"):
+        mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def placed_nodes(index: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """bucket, id, vector and links of every node, the last two packed."""
     buckets = max(1, n // BUCKET)
-    place = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # packed once: every round reads all nodes, and unpacking long lists costs more than the distances
         for batch in batches:
-            lines = [pa.array([np.array(v or (), t).tobytes() for v in batch.column(i).to_pylist()], pa.binary()) for i, t in ((2, "<f8"), (3, "<i8"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lines], ["bucket", "id", "vector", "links"])
-
-    joined = index.join(links, "id", "left").select(place, "id", "vector", "links").repartition("bucket")
-    return stage(joined.mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
+            lines = [pa.array([np.array(v or (), t).tobytes() for v in batch.column(i).to_pylist()], pa.binary()) for i, t in ((1, "<f8"), (2, "<i8"))]
+            place = pa.array(_bucket(batch.column(0).to_numpy(), buckets))
+            yield pa.RecordBatch.from_arrays([place, batch.column(0), *lines], ["bucket", "id", "vector", "links"])
+
+    return stage(index.join(links, "id", "left").select("id", "vector", "links").mapInArrow(pack, "bucket int, id bigint, vector binary, links binary"), "nodes")
+
+
+def _walk(ids: np.ndarray, matrix: np.ndarray, links: list[bytes], vector: np.ndarray, wanted: np.ndarray, limit: float, beam: int):
+    """Rows (of a bucket's sorted ids) visited from the ``wanted`` ones on, and the nearest ``beam`` within ``limit`` with distances."""
+    met, asked = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    at = np.searchsorted(ids, wanted)
+    known = ids[np.minimum(at, len(ids) - 1)] == wanted
+    front, best, far = np.unique(at[known]), np.empty(0, np.int64), np.empty(0)
+    while len(front):
+        met[front] = True
+        d = _lengths(matrix[front] - vector)
+        near = d <= limit
+        best, far = np.concatenate([best, front[near]]), np.concatenate([far, d[near]])
+        first = np.lexsort((ids[best], far))[:beam]
+        best, far = best[first], far[first]
+        ask = best[~asked[best]]
+        asked[ask] = True
+        reached = np.frombuffer(b"".join([links[i] for i in ask]), "<i8")
+        at = np.minimum(np.searchsorted(ids, reached), len(ids) - 1)
+        front = np.unique(at[ids[at] == reached])
+        front = front[~met[front]]
+    return np.flatnonzero(met), best, far
 
 
 def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -322,75 +350,73 @@ def search(index: DataFrame, nodes: DataFrame, queries: DataFrame, n: int) -> Da
     pivot_ids = fixed["id"].to_numpy()
     pivots = np.array(fixed["vector"].to_pylist(), np.float64)
 
-    state_columns = "query bigint, vector binary, ids array<bigint>, far array<double>, seen binary, next array<bigint>, beam int"
+    trips_type = pa.list_(pa.struct([("bucket", pa.int32()), ("wanted", pa.binary())]))
+    state_type = [("query", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("far", pa.list_(pa.float64()))]
+    state_type += [("seen", pa.binary()), ("next", trips_type), ("beam", pa.int32())]
+    state_columns = "query bigint, vector binary, ids array<bigint>, far array<double>, seen binary, next array<struct<bucket:int,wanted:binary>>, beam int"
+
+    def trips(wanted: np.ndarray) -> list[dict]:
+        """What is to be visited, by bucket."""
+        place = _bucket(wanted, buckets)
+        order = np.argsort(place, kind="stable")
+        where, starts = np.unique(place[order], return_index=True)
+        return [{"bucket": int(b), "wanted": w.astype("<i8").tobytes()} for b, w in zip(where, np.split(wanted[order], starts[1:]))]
+
+    def states(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(state_type)], [c for c, _ in state_type])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = []
-            for vector, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                far = _lengths(pivots - np.array(vector))
-                nearest = pivot_ids[np.argsort(far, kind="stable")[:8]].tolist()
-                starts.append(sorted({*nearest, own} - {None}))
-            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
-            no_far = pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))
-            unseen = pa.array([b""] * batch.num_rows, pa.binary())
-            packed = pa.array([np.array(v, "<f8").tobytes() for v in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), packed, empty, no_far, unseen, pa.array(starts, pa.list_(pa.int64())), batch.column(3)],
-                ["query", "vector", "ids", "far", "seen", "next", "beam"],
-            )
+            rows = []
+            for query, values, own, beam in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                vector = np.array(values, "<f8")
+                nearest = pivot_ids[np.argsort(_lengths(pivots - vector), kind="stable")[:8]].tolist()
+                start = np.array(sorted({*nearest, own} - {None}), np.int64)
+                rows.append((query, vector.tobytes(), [], [], b"", trips(start), beam))
+            yield states(rows)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 1):
-            here = [r for r in rows if r[0] is not None]
-            row_of = {r[0]: i for i, r in enumerate(here)}
+            here = sorted(r[:3] for r in rows if r[0] is not None)
+            place = np.array([r[0] for r in here], np.int64)
             matrix = np.frombuffer(b"".join(r[1] for r in here), "<f8").reshape(len(here), -1)
-            query, ids, far, links = [], [], [], []
-            for own, vector, _, asked, wanted, limit in (r for r in rows if r[0] is None):
-                at = [row_of[x] for x in wanted if x in row_of]
-                if at:
-                    d = _lengths(matrix[at] - np.frombuffer(vector, "<f8"))
-                    good = np.flatnonzero(d <= limit).tolist()
-                    query.append(asked)
-                    ids.append([here[at[i]][0] for i in good])
-                    far.append(d[good])
-                    links.append([here[at[i]][2] for i in good])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64())), pa.array(links, pa.list_(pa.binary()))],
-                ["query", "ids", "far", "links"],
-            )
+            links = [r[2] for r in here]
+            out: list[list] = [[] for _ in range(5)]
+            for _, vector, _, asked, wanted, limit, beam in (r for r in rows if r[0] is None and here):
+                met, best, far = _walk(place, matrix, links, np.frombuffer(vector, "<f8"), np.frombuffer(wanted, "<i8"), limit, beam)
+                for column, value in zip(out, (asked, place[best], far, place[met].astype("<i8").tobytes(), [links[i] for i in best])):
+                    column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query", "ids", "far", "seen", "links"])
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(7)]
+        out = []
         for (asked,), rows in _groups(batches, 1):
-            state = next(r for r in rows if r[0] is not None)
-            vector, ids, far, seen, following, beam, _ = state
+            vector, ids, far, seen, following, beam, _ = next(r for r in rows if r[0] is not None)
             known = dict(zip(ids, far))
             links_of: dict[int, bytes] = {}
-            for _, found, distances, _, _, _, packed in (r for r in rows if r[0] is None):
+            past = [seen, *(t["wanted"] for t in following)]
+            for _, found, distances, met, _, _, packed in (r for r in rows if r[0] is None):
                 known.update(zip(found, distances))
                 links_of.update(zip(found, packed))
+                past.append(met)
             best = sorted(known.items(), key=lambda x: (x[1], x[0]))[:beam]
-            past = np.union1d(np.frombuffer(seen, "<i8"), np.array(following, "<i8"))
+            past = np.unique(np.frombuffer(b"".join(past), "<i8"))
             reached = np.unique(np.frombuffer(b"".join(links_of[i] for i, _ in best if i in links_of), "<i8"))
             wanted = np.setdiff1d(reached, past, assume_unique=True)
-            for column, value in zip(out, (asked, vector, [i for i, _ in best], [d for _, d in best], past.astype("<i8").tobytes(), wanted, beam)):
-                column.append(value)
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["query", "vector", "ids", "far", "seen", "next", "beam"])
+            out.append((asked, vector, [i for i, _ in best], [d for _, d in best], past.astype("<i8").tobytes(), trips(wanted), beam))
+        yield states(out)
 
     state = stage(queries.select("query", "vector", "own", F.col("beam").cast("int")).mapInArrow(begin, state_columns), "beams")
     null = F.lit(None)
-    as_nodes = nodes.select("bucket", "id", "vector", "links", *(null.cast(t).alias(c) for c, t in (("query", "bigint"), ("wanted", "array<bigint>"), ("limit", "double"))))
+    as_nodes = nodes.select("bucket", "id", "vector", "links", *(null.cast(t).alias(c) for c, t in (("query", "bigint"), ("wanted", "binary"), ("limit", "double"), ("beam", "int"))))
     while True:
         limit = F.when(F.size("far") >= F.col("beam"), F.array_max("far")).otherwise(F.lit(float("inf")))
-        trips = state.select("query", "vector", limit.alias("limit"), F.explode("next").alias("to"))
-        to = F.pmod(F.xxhash64("to"), F.lit(buckets)).cast("int")
-        trips = trips.groupBy(to.alias("bucket"), "query").agg(F.first("vector").alias("vector"), F.first("limit").alias("limit"), F.collect_list("to").alias("wanted"))
-        trips = trips.select("bucket", null.cast("bigint").alias("id"), "vector", null.cast("binary").alias("links"), "query", "wanted", "limit")
-        at_place = as_nodes.unionByName(trips).repartition("bucket").sortWithinPartitions("bucket")
-        found = at_place.mapInArrow(visit, "query bigint, ids array<bigint>, far array<double>, links array<binary>")
-        found = found.select("query", null.cast("binary").alias("vector"), "ids", "far", null.cast("binary").alias("seen"), null.cast("array<bigint>").alias("next"), null.cast("int").alias("beam"), "links")
+        asking = state.select("query", "vector", limit.alias("limit"), "beam", F.inline("next"))
+        asking = asking.select("bucket", null.cast("bigint").alias("id"), "vector", null.cast("binary").alias("links"), "query", "wanted", "limit", "beam")
+        at_place = as_nodes.unionByName(asking).repartition("bucket").sortWithinPartitions("bucket")
+        found = at_place.mapInArrow(visit, "query bigint, ids array<bigint>, far array<double>, seen binary, links array<binary>")
+        found = found.select("query", null.cast("binary").alias("vector"), "ids", "far", "seen", null.cast(state.schema["next"].dataType).alias("next"), null.cast("int").alias("beam"), "links")
         held = state.withColumn("links", null.cast("array<binary>")).unionByName(found)
         state = stage(held.repartition("query").sortWithinPartitions("query").mapInArrow(advance, state_columns), "beams")
         if not state.where(F.size("next") > 0).limit(1).count():

@@ -129,3 +129,73 @@ def test_lengths_whose_squares_leave_the_range_of_doubles(spark):
     rows = spark.createDataFrame([(i, [1e200 * i, 1e200]) for i in range(1, 6)], "vec_id long, vector array<double>")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(rows, rows.where("vec_id = 1"), k=3).collect()}
     assert got == {(1, 1): (2, 1e200), (1, 2): (3, 2e200), (1, 3): (4, pytest.approx(3e200))}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_the_graph_takes_few_shuffles(spark, monkeypatch):
+    x = np.random.default_rng(9).standard_normal((2500, 8)).astype("<f4")
+    packed = ann.stage(spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, packed binary"))
+    plans = []
+    merged = ann.merged
+
+    def planned(lists, keep):
+        out = merged(lists, keep)
+        plans.append(exchanges(out))
+        return out
+
+    monkeypatch.setattr(ann, "merged", planned)
+    graph = ann.neighbour_graph(packed, 2500, 8, rounds=1)
+    first, step = plans
+    # whatever the number of starting groups; every shuffle of a small index costs as much as its tasks
+    assert first <= 4 and step <= 7
+    assert exchanges(ann.adjacency(graph)) <= 2
+
+
+def test_a_query_walks_through_a_bucket_in_one_round(spark, monkeypatch):
+    n, staged, stage = 40, [], ann.stage
+    monkeypatch.setattr(ann, "PIVOTS", 1)
+    monkeypatch.setattr(ann, "stage", lambda df, label="stage": staged.append(label) or stage(df, label))
+    index = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "id long, vector array<double>")
+    links = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < n]) for i in range(n)], "id long, links array<long>")
+    asked = spark.createDataFrame([(100, [0.0, 1.0], None, 3), (101, [n - 1.0, 1.0], None, 3)], "query long, vector array<double>, own long, beam int")
+    found = {r.query: r for r in ann.search(index, ann.placed_nodes(index, links, n), asked, n).collect()}
+    assert found[100].ids == [0, 1, 2] and found[101].ids == [39, 38, 37] and found[101].far == [0, 1, 2]
+    assert staged.count("beams") == 2
+
+
+def test_queries_travel_between_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET", 64)
+    x = np.random.default_rng(10).standard_normal((700, 16)).astype(np.float32)
+    ids = np.arange(700) * 7 - 2100  # negative ones, too
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], SCHEMA)
+    found = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 35 = 0"), k=10, neighbours=8, rounds=2).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    x, hits = x.astype(np.float64), 0
+    for q in np.flatnonzero(ids % 35 == 0):
+        want = brute(ids, x, q, 10)
+        hits += len({v for v, _ in found[ids[q]].values()} & {v for v, _ in want})
+    assert len(found) == 140 and hits / 1400 >= 0.9
+
+
+def test_edges_known_before_stay_known(spark):
+    lists = [(1, [3, 4], [2.0, 1.5], True), (1, [2, 3], [1.0, 2.0], False), (1, [4], [1.5], True), (2, [], [], True), (-5, [9], [0.5], True)]
+    given = spark.createDataFrame(lists, "id long, near array<long>, far array<double>, fresh boolean")
+    got = {r.id: (r.near, r.far, r.fresh) for r in ann.merged(given, 3).collect()}
+    assert got == {1: ([2, 4, 3], [1.0, 1.5, 2.0], [False, True, False]), -5: ([9], [0.5], [True])}
+
+
+def test_members_of_a_centre_are_drawn_anew_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ann, "REVERSE", 5)
+    graph = [(0, [100, 101], [1.0, 1.0], [True, False])] + [(i, [0], [1.0], [i == 7]) for i in range(1, 40)]
+    graph = spark.createDataFrame(graph, "id long, near array<long>, far array<double>, fresh array<boolean>")
+    drawn = []
+    for step in (0, 1):
+        members = {r.centre: {(m.member, m.new) for m in r.members} for r in ann._centres(graph, step).collect()}
+        assert members[100] == {(0, True)} and members[1] == {(0, False)} and len(members) == 42
+        assert {(100, True), (101, False)} <= members[0] and len(members[0]) == 7
+        drawn.append(members[0])
+    assert drawn[0] != drawn[1]
